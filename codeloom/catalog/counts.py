@@ -114,7 +114,7 @@ def file_summary(spark, sf):
     " on e.project = h.project and e.source_path = h.file_path",
 )
 def imports_from(spark, sf):
-    imports = fx.imports(spark, sf)
+    imports = fx.stored_imports(spark, sf)
     return lookup.imports_from(imports, hot_files(imports))
 
 
@@ -124,7 +124,7 @@ def imports_from(spark, sf):
     " on e.project = h.project and e.target_path = h.file_path",
 )
 def importers_of(spark, sf):
-    imports = fx.imports(spark, sf)
+    imports = fx.stored_imports(spark, sf)
     return lookup.importers_of(imports, hot_files(imports))
 
 
@@ -164,8 +164,8 @@ def file_detail(spark, sf):
     + " where (f.project, f.file_path) in (select (project, file_path) from hot)",
 )
 def file_detail_hot(spark, sf):
-    imports = fx.imports(spark, sf)
-    return _flat_detail(detail.detail_of(fx.files(spark, sf), imports, hot_files(imports)))
+    imports = fx.stored_imports(spark, sf)
+    return _flat_detail(detail.detail_of(fx.files(spark, sf), imports, detail.distinct_keys(hot_files(imports))))
 
 
 # A suffix per nation; the leading '_' is a one-character wildcard.

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from codeloom import fixture as fx
 from codeloom.catalog import Catalog
 from codeloom.catalog.counts import HOT, hot_files
-from codeloom.functions import symbols as S
 from codeloom.functions.paths import relative_path
 from codeloom.operators import cycles, graph, search
 from codeloom.schema import ENTRY_SEARCH_LIMIT
@@ -59,11 +58,11 @@ def _walk_rows(walked, files):
 
 
 def _hot_walk(spark, sf, depth, max_results):
-    imports = fx.imports(spark, sf)
+    imports = fx.stored_imports(spark, sf)
     entries = hot_files(imports).select(
         F.col("project").alias("walk"), "project", F.col("file_path").alias("path"), F.lit(0).cast("bigint").alias("ord")
     )
-    return _walk_rows(graph.walk_many(fx.raw_imports(spark, sf), entries, depth, max_results), fx.files(spark, sf))
+    return _walk_rows(graph.walk_many(imports, entries, depth, max_results), fx.files(spark, sf))
 
 
 @catalog.add("walk_depth1", W("edges", "files", extra=_HOT_ENTRIES) + _walk_sql(1, 20) + _WALK_ROWS)
@@ -83,14 +82,15 @@ def walk_depth3(spark, sf):
 
 @catalog.add("walk_multi_entry", W("edges", "files", extra=_MANY_ENTRIES) + _walk_sql(2, 50) + _WALK_ROWS)
 def walk_multi_entry(spark, sf):
-    ends = fx.raw_imports(spark, sf).groupBy("project").agg(
+    imports = fx.stored_imports(spark, sf)
+    ends = imports.groupBy("project").agg(
         F.min("source_path").alias("a"), F.max("source_path").alias("b"), F.max("target_path").alias("c")
     )
     listed = F.array("a", "b", "c", F.concat("project", F.lit("/not/indexed.ts")), "a")
     entries = ends.select("project", F.posexplode(listed).alias("ord", "path")).select(
         F.col("project").alias("walk"), "project", "path", F.col("ord").cast("bigint").alias("ord")
     )
-    return _walk_rows(graph.walk_many(fx.raw_imports(spark, sf), entries, 2, 50), fx.files(spark, sf))
+    return _walk_rows(graph.walk_many(imports, entries, 2, 50), fx.files(spark, sf))
 
 
 def _bm25_sql(table: str, key: str, terms: list[str]) -> str:
@@ -123,7 +123,7 @@ def walk_from_search(spark, sf):
     entries = found.select(
         F.col("project").alias("walk"), "project", F.col("file_path").alias("path"), F.col("rank").cast("bigint").alias("ord")
     )
-    return _walk_rows(graph.walk_many(fx.raw_imports(spark, sf), entries, 2, 20), files)
+    return _walk_rows(graph.walk_many(fx.stored_imports(spark, sf), entries, 2, 20), files)
 
 
 @catalog.add(
@@ -179,7 +179,7 @@ _PATHS = """e as (select distinct project, source_path s, target_path t from edg
  len(path) as length from cycles""",
 )
 def cycles_complete(spark, sf):
-    found = cycles.relative_cycles(cycles.find_cycles(fx.raw_imports(spark, sf)))
+    found = cycles.relative_cycles(cycles.find_cycles(fx.imports(spark, sf)))
     return found.withColumn("cycle", F.array_join("cycle", "|"))
 
 
@@ -190,7 +190,7 @@ def cycles_complete(spark, sf):
  select project, unnest(path) file_path, len(path) len from cycles) z group by all""",
 )
 def cycle_membership(spark, sf):
-    return cycles.cycle_members(cycles.find_cycles(fx.raw_imports(spark, sf)))
+    return cycles.cycle_members(cycles.find_cycles(fx.imports(spark, sf)))
 
 
 @catalog.add(
@@ -208,9 +208,9 @@ select project walk, project, start file_path, direct_dependents, transitive_dep
  when direct_dependents >= 3 then 'medium' else 'low' end risk from c""",
 )
 def blast_radius(spark, sf):
-    imports = fx.imports(spark, sf)
+    imports = fx.stored_imports(spark, sf)
     starts = hot_files(imports).select(F.col("project").alias("walk"), "project", F.col("file_path").alias("path"))
-    return graph.blast_radius(fx.raw_imports(spark, sf), starts)
+    return graph.blast_radius(imports, starts)
 
 
 @catalog.add(
@@ -226,9 +226,8 @@ select d.project walk, d.project, depth, count(*) n_files, (count(f.file_path) *
 from d left join files f on f.project = d.project and f.file_path = d.n where depth > 0 group by all""",
 )
 def deps_by_level(spark, sf):
-    first = fx.raw_imports(spark, sf).groupBy("project").agg(F.min("source_path").alias("path"))
+    imports = fx.stored_imports(spark, sf)
+    first = imports.groupBy("project").agg(F.min("source_path").alias("path"))
     entries = first.select(F.col("project").alias("walk"), "project", "path")
-    return graph.dependencies_by_level(fx.files(spark, sf), fx.raw_imports(spark, sf), entries)
+    return graph.dependencies_by_level(fx.files(spark, sf), imports, entries)
 
-
-__all__ = ["S", "catalog"]

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.functions import symbols as S
+from codeloom.session import durable
 
 PROJECTS = 30
 
@@ -45,15 +46,31 @@ DOC_SQL = "case p_size % 3 when 0 then null else p_type end"
 HASH_SQL = "md5(p_name || p_brand || p_type)"
 
 
-def raw_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every line item as an edge row, before duplicates are resolved."""
-    columns = [c.strip() for c in EDGE_COLUMNS_SQL.split(", ")]
-    return read(spark, sf_dir, "lineitem").selectExpr(*columns)
+def imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line item as an edge, one row per (project, source, target, specifier).
+
+    Duplicates are resolved on the integer keys the paths are made of, so the shuffle
+    carries numbers and the strings are built once per surviving edge.
+    """
+    keyed = read(spark, sf_dir, "lineitem").selectExpr(
+        f"l_orderkey % {PROJECTS} as p", "l_partkey as a", f"{TARGET_KEY_SQL} as b", "l_linestatus = 'O' as same_dir", "l_returnflag"
+    )
+    return (
+        keyed.groupBy("p", "a", "b", "same_dir")
+        .agg(F.min("l_returnflag").alias("sym"))
+        .selectExpr(
+            "'/w/p' || p as project",
+            f"'/w/p' || p || {path_sql('a')} as source_path",
+            f"'/w/p' || p || {path_sql('b')} as target_path",
+            "if(same_dir, './f', '../f') || b as specifier",
+            "array(sym) as symbols",
+        )
+    )
 
 
-def imports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = ["project", "source_path", "target_path", "specifier"]
-    return raw_imports(spark, sf_dir).groupBy(*key).agg(F.array(F.min("sym")).alias("symbols"))
+def stored_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``imports`` written once, for operators that read the edges level after level."""
+    return durable(imports(spark, sf_dir))
 
 
 def part_files(spark: SparkSession, sf_dir: str) -> DataFrame:

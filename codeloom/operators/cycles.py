@@ -7,32 +7,34 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.paths import relative_path
 from codeloom.schema import CYCLE_NODE_CAP
-from codeloom.session import durable, fits_broadcast, spread_join
+from codeloom.session import durable_counted, spread_join
 
 # Peeling stops early once a round removes less than this share; it only saves work.
 _WORTH_PEELING = 0.02
 
 
-def cyclic_core(imports: DataFrame, rounds: int = 12) -> DataFrame:
-    """Distinct edges left after repeatedly dropping files without importers or imports.
+def cyclic_core(imports: DataFrame, rounds: int = 12) -> tuple[DataFrame, int]:
+    """Distinct edges (project, s, t) left after repeatedly dropping files that import nothing or
+    that nothing imports, and their count.
 
     Every edge of every cycle of two or more files survives, whatever the round count.
     """
-    core = durable(
+    core, size = durable_counted(
         imports.filter(F.col("source_path") != F.col("target_path"))
         .select("project", F.col("source_path").alias("s"), F.col("target_path").alias("t"))
         .distinct()
     )
-    size = core.count()
+    left = size
     for _ in range(rounds):
         sources = core.select("project", F.col("s").alias("t")).distinct()
         targets = core.select("project", F.col("t").alias("s")).distinct()
-        core = durable(core.join(sources, ["project", "t"], "left_semi").join(targets, ["project", "s"], "left_semi"))
-        left = core.count()
+        core, left = durable_counted(
+            core.join(sources, ["project", "t"], "left_semi").join(targets, ["project", "s"], "left_semi")
+        )
         if left == 0 or size - left <= size * _WORTH_PEELING:
             break
         size = left
-    return core.select("project", "s", "t")
+    return core, left
 
 
 def find_cycles(imports: DataFrame, max_nodes: int = CYCLE_NODE_CAP) -> DataFrame:
@@ -42,19 +44,19 @@ def find_cycles(imports: DataFrame, max_nodes: int = CYCLE_NODE_CAP) -> DataFram
     end. Paths grow by one file per round, only from a smallest start and only through the
     cyclic core; closed paths leave the loop at once.
     """
-    core = cyclic_core(imports)
+    core, core_rows = cyclic_core(imports)
     steps = core.select("project", F.col("s").alias("cur"), F.col("t").alias("next"))
-    steps_fit = fits_broadcast(steps)
     paths = core.filter(F.col("t") > F.col("s")).select(
         "project", F.col("s").alias("start"), F.col("t").alias("cur"), F.array("s", "t").alias("path")
     )
     closed = None
     for nodes in range(2, max_nodes + 1):
-        grown = spread_join(paths, steps, ["project", "cur"], F.concat_ws("|", "path"), steps_fit).filter(
-            (F.col("next") == F.col("start"))
-            | ((F.col("next") > F.col("start")) & ~F.array_contains("path", F.col("next")) & F.lit(nodes < max_nodes))
+        grown, rows = durable_counted(
+            spread_join(paths, steps, ["project", "cur"], F.concat_ws("|", "path"), core_rows).filter(
+                (F.col("next") == F.col("start"))
+                | ((F.col("next") > F.col("start")) & ~F.array_contains("path", F.col("next")) & F.lit(nodes < max_nodes))
+            )
         )
-        grown = durable(grown)
         done = grown.filter(F.col("next") == F.col("start")).select(
             "project", F.array_append("path", F.col("start")).alias("cycle"), F.lit(nodes).cast("bigint").alias("length")
         )
@@ -62,7 +64,7 @@ def find_cycles(imports: DataFrame, max_nodes: int = CYCLE_NODE_CAP) -> DataFram
         paths = grown.filter(F.col("next") != F.col("start")).select(
             "project", "start", F.col("next").alias("cur"), F.array_append("path", F.col("next")).alias("path")
         )
-        if paths.isEmpty():
+        if rows == 0:
             break
     return closed
 

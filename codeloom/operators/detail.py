@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import symbols as S
 from codeloom.operators.stats import degree
-from codeloom.session import durable, fits_broadcast, spread_join
+from codeloom.session import durable_counted, spread_join
 
 PAGE = 1000
 _EMPTY_LIST = "array<struct<path:string,symbols:array<string>>>"
@@ -21,9 +21,9 @@ _EMPTY_LIST = "array<struct<path:string,symbols:array<string>>>"
 def neighbour_pages(imports: DataFrame, near: str, far: str, page_size: int = PAGE) -> DataFrame:
     """(project, file_path, page, total, items): the ``far`` ends of each file's edges, by path."""
     edges = imports.select("project", F.col(near).alias("file_path"), F.col(far).alias("path"), "symbols", "specifier")
-    hubs = durable(degree(imports, near, "total").filter(F.col("total") > page_size))
+    hubs, n = durable_counted(degree(imports, near, "total").filter(F.col("total") > page_size))
     paged = spread_join(
-        edges, hubs, ["project", "file_path"], F.concat_ws("|", "path", "specifier"), fits_broadcast(hubs), "left"
+        edges, hubs, ["project", "file_path"], F.concat_ws("|", "path", "specifier"), n, "left"
     ).withColumn(
         "page",
         F.when(F.col("total").isNull(), F.lit(0)).otherwise(
@@ -69,21 +69,27 @@ def file_detail(files: DataFrame, imports: DataFrame, page_size: int = PAGE) ->
     )
 
 
-def edges_of(imports: DataFrame, wanted: DataFrame, near: str) -> DataFrame:
-    """Whole edge rows whose ``near`` end is wanted; ``wanted`` is (project, file_path)."""
-    keys = wanted.select("project", F.col("file_path").alias(near)).distinct()
-    far = "source_path" if near == "target_path" else "target_path"
-    return spread_join(imports, keys, ["project", near], F.col(far), fits_broadcast(keys))
+def distinct_keys(wanted: DataFrame) -> tuple[DataFrame, int]:
+    """The wanted (project, file_path) rows, stored and counted for use in several joins."""
+    return durable_counted(wanted.select("project", "file_path").distinct())
 
 
-def detail_of(files: DataFrame, imports: DataFrame, wanted: DataFrame, page_size: int = PAGE) -> DataFrame:
-    """``file_detail`` of the wanted (project, file_path) rows, reading only their edges."""
-    keys = wanted.select("project", "file_path").distinct()
-    chosen = spread_join(files, keys, ["project", "file_path"], F.col("file_path"), fits_broadcast(keys))
-    outgoing = edges_of(imports, keys, "source_path")
-    incoming = edges_of(imports, keys, "target_path")
-    touching = outgoing.unionByName(incoming).select("project", "source_path", "target_path", "specifier", "symbols").distinct()
-    return file_detail(chosen, touching, page_size)
+def edges_of(imports: DataFrame, keys: tuple[DataFrame, int], near: str) -> DataFrame:
+    """Whole edge rows whose ``near`` end is among ``distinct_keys``."""
+    far = "source_path" if near == "target_path" else "target_path"
+    ends = keys[0].withColumnRenamed("file_path", near)
+    return spread_join(imports, ends, ["project", near], F.col(far), keys[1])
+
+
+def detail_of(
+    files: DataFrame, imports: DataFrame, keys: tuple[DataFrame, int], page_size: int = PAGE
+) -> DataFrame:
+    """``file_detail`` of the ``distinct_keys``, reading only their edges."""
+    chosen = spread_join(files, keys[0], ["project", "file_path"], F.col("file_path"), keys[1])
+    columns = ["project", "source_path", "target_path", "specifier", "symbols"]
+    outgoing = edges_of(imports, keys, "source_path").select(*columns)
+    incoming = edges_of(imports, keys, "target_path").select(*columns)
+    return file_detail(chosen, outgoing.unionByName(incoming).distinct(), page_size)
 
 
 def first_neighbours(imports: DataFrame, near: str, far: str, cap: int, name: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from codeloom.functions import symbols as S
 from codeloom.functions.paths import relative_path
 from codeloom.schema import DEFAULT_MAX_DEPTH, DEFAULT_MAX_RESULTS
-from codeloom.session import durable, fits_broadcast, spread_join
+from codeloom.session import BROADCAST_ROWS, durable_counted, spread_join
 
 
 def entry_frame(spark: SparkSession, project: str, entry_points: list[str], walk: str = "walk") -> DataFrame:
@@ -21,10 +21,28 @@ def entry_frame(spark: SparkSession, project: str, entry_points: list[str], walk
     return spark.createDataFrame(rows, "walk string, project string, path string, ord bigint")
 
 
-def _hop(imports: DataFrame, frontier: DataFrame, near: str, far: str, small: bool) -> DataFrame:
-    """Edges whose ``near`` end is in the frontier, as (walk…, node=far end)."""
+def _hop(imports: DataFrame, frontier: DataFrame, rows: int, near: str, far: str) -> DataFrame:
+    """Edges whose ``near`` end is in the frontier, as (frontier columns, node = far end)."""
     ends = imports.select("project", F.col(near).alias("at"), F.col(far).alias("node"))
-    return spread_join(ends, frontier, ["project", "at"], F.col("node"), small)
+    return spread_join(ends, frontier, ["project", "at"], F.col("node"), rows)
+
+
+def _hop_both(imports: DataFrame, frontier: DataFrame, rows: int) -> DataFrame:
+    """``_hop`` along imports (dir 0) and importers (dir 1) in one pass over the edges."""
+    s, t = F.col("source_path"), F.col("target_path")
+    ends = F.array(
+        F.struct(s.alias("at"), t.alias("node"), F.lit(0).alias("dir")),
+        F.struct(t.alias("at"), s.alias("node"), F.lit(1).alias("dir")),
+    )
+    doubled = imports.select("project", F.inline(ends))
+    return spread_join(doubled, frontier, ["project", "at"], F.col("node"), rows)
+
+
+def _unseen(found: DataFrame, visited: DataFrame, visited_rows: int) -> DataFrame:
+    seen = visited.select("walk", "project", "node")
+    if visited_rows <= BROADCAST_ROWS:
+        seen = F.broadcast(seen)
+    return found.join(seen, ["walk", "project", "node"], "left_anti")
 
 
 def walk_many(
@@ -42,7 +60,7 @@ def walk_many(
     """
     first_seen = entries.groupBy("walk", "project", "path").agg(F.min("ord").alias("ord"))
     by_order = Window.partitionBy("walk").orderBy("ord")
-    level = durable(
+    level, rows = durable_counted(
         first_seen.select(
             "walk",
             "project",
@@ -52,29 +70,25 @@ def walk_many(
             F.row_number().over(by_order).cast("bigint").alias("pos"),
         )
     )
-    visited = level
+    visited, total = level, rows
 
     for depth in range(1, max_depth + 1):
+        if rows == 0:
+            break
         held = F.max("pos").over(Window.partitionBy("walk"))
         frontier = level.select(
             "walk", "project", F.col("node").alias("at"), F.col("pos").alias("parent"), held.alias("held")
         ).filter(F.col("held") < max_results)
-        if frontier.isEmpty():
-            break
-        small = fits_broadcast(frontier)
-        dependencies = _hop(imports, frontier, "source_path", "target_path", small).withColumn("dir", F.lit(0))
-        dependents = _hop(imports, frontier, "target_path", "source_path", small).withColumn("dir", F.lit(1))
         found = (
-            dependencies.unionByName(dependents)
+            _hop_both(imports, frontier, rows)
             .groupBy("walk", "project", "node")
             .agg(F.min(F.col("parent") * 2 + F.col("dir")).alias("key"), F.max("held").alias("held"))
         )
-        seen = visited.select("walk", "project", "node")
-        fresh = found.join(F.broadcast(seen) if fits_broadcast(seen) else seen, ["walk", "project", "node"], "left_anti")
         rank = F.row_number().over(Window.partitionBy("walk").orderBy("key", "node"))
         # The literal bound lets Spark cut each task's rows per walk before the shuffle.
-        level = durable(
-            fresh.withColumn("rank", rank)
+        level, rows = durable_counted(
+            _unseen(found, visited, total)
+            .withColumn("rank", rank)
             .filter(F.col("rank") <= max_results)
             .filter(F.col("rank") + F.col("held") <= max_results)
             .select(
@@ -86,17 +100,16 @@ def walk_many(
                 (F.col("held") + F.col("rank")).alias("pos"),
             )
         )
-        visited = visited.unionByName(level)
+        visited, total = visited.unionByName(level), total + rows
 
     return visited.filter(F.col("pos") <= max_results)
 
 
 def attach_symbols(walked: DataFrame, files: DataFrame) -> DataFrame:
     """Add each visited file's symbols; files outside the index keep an empty array."""
-    keys = walked.select("project", F.col("node").alias("file_path")).distinct()
+    keys, rows = durable_counted(walked.select("project", F.col("node").alias("file_path")).distinct())
     known = spread_join(
-        files.select("project", "file_path", "symbols"), keys, ["project", "file_path"], F.col("file_path"),
-        fits_broadcast(keys),
+        files.select("project", "file_path", "symbols"), keys, ["project", "file_path"], F.col("file_path"), rows
     )
     return (
         walked.withColumnRenamed("node", "file_path")
@@ -137,19 +150,19 @@ def reach(imports: DataFrame, starts: DataFrame, max_hops: int, backwards: bool
     included at distance 0.
     """
     near, far = ("target_path", "source_path") if backwards else ("source_path", "target_path")
-    level = durable(
+    level, rows = durable_counted(
         starts.select("walk", "project", F.col("path").alias("node"), F.lit(0).cast("bigint").alias("depth")).distinct()
     )
-    visited = level
+    visited, total = level, rows
     for depth in range(1, max_hops + 1):
-        frontier = level.select("walk", "project", F.col("node").alias("at"))
-        if frontier.isEmpty():
+        if rows == 0:
             break
-        found = _hop(imports, frontier, near, far, fits_broadcast(frontier)).select("walk", "project", "node").distinct()
-        seen = visited.select("walk", "project", "node")
-        fresh = found.join(F.broadcast(seen) if fits_broadcast(seen) else seen, ["walk", "project", "node"], "left_anti")
-        level = durable(fresh.withColumn("depth", F.lit(depth).cast("bigint")))
-        visited = visited.unionByName(level)
+        frontier = level.select("walk", "project", F.col("node").alias("at"))
+        found = _hop(imports, frontier, rows, near, far).select("walk", "project", "node").distinct()
+        level, rows = durable_counted(
+            _unseen(found, visited, total).withColumn("depth", F.lit(depth).cast("bigint"))
+        )
+        visited, total = visited.unionByName(level), total + rows
     return visited
 
 
@@ -169,13 +182,14 @@ def blast_radius(imports: DataFrame, starts: DataFrame, hops: int = 5, cycle_nod
     cycle of at most ``cycle_nodes`` files when one of its own imports reaches it again
     within ``cycle_nodes - 1`` hops, so one backward search answers both questions.
     """
+    starts, rows = durable_counted(starts.select("walk", "project", "path").distinct())
     reached = reach(imports, starts, max(hops, cycle_nodes - 1))
     counts = reached.groupBy("walk").agg(
         F.count_if(F.col("depth") == 1).alias("direct_dependents"),
         F.count_if(F.col("depth").between(1, hops)).alias("transitive_dependents"),
     )
-    origin = starts.select("walk", "project", F.col("path").alias("at")).distinct()
-    own_imports = _hop(imports, origin, "source_path", "target_path", fits_broadcast(origin))
+    origin = starts.withColumnRenamed("path", "at")
+    own_imports = _hop(imports, origin, rows, "source_path", "target_path")
     on_cycle = (
         own_imports.select("walk", "project", "node")
         .distinct()

@@ -7,16 +7,15 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import symbols as S
 from codeloom.schema import SUFFIX_LIMIT
-from codeloom.session import fits_broadcast, spread_join
+from codeloom.session import durable_counted, spread_join
 
 # Longest literal tail of a suffix used as an equi-join key.
 _TAIL = 24
 
 
 def _neighbours(imports: DataFrame, wanted: DataFrame, near: str, far: str) -> DataFrame:
-    keys = wanted.select("project", F.col("file_path").alias(near)).distinct()
-    edges = imports.select("project", near, far)
-    return spread_join(edges, keys, ["project", near], F.col(far), fits_broadcast(keys))
+    keys, n = durable_counted(wanted.select("project", F.col("file_path").alias(near)).distinct())
+    return spread_join(imports.select("project", near, far), keys, ["project", near], F.col(far), n)
 
 
 def imports_from(imports: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -48,7 +47,9 @@ def suffix_matches(files: DataFrame, suffixes: DataFrame, limit: int = SUFFIX_LI
     """
     wanted = suffixes.select("project", "suffix").distinct()
     literal = F.regexp_extract("suffix", "[^%_]*$", 0)
-    keyed = wanted.withColumn("tail", F.right(literal, F.lit(_TAIL))).withColumn("tail_len", F.length("tail"))
+    keyed, n = durable_counted(
+        wanted.withColumn("tail", F.right(literal, F.lit(_TAIL))).withColumn("tail_len", F.length("tail"))
+    )
     # At most _TAIL + 1 different lengths exist.
     lengths = sorted(r.tail_len for r in keyed.select("tail_len").distinct().collect())
     if not lengths:
@@ -58,9 +59,9 @@ def suffix_matches(files: DataFrame, suffixes: DataFrame, limit: int = SUFFIX_LI
     ).filter(F.length("file_path") >= F.col("tail_len")).withColumn(
         "tail", F.when(F.col("tail_len") == 0, F.lit("")).otherwise(F.expr("right(file_path, tail_len)"))
     )
-    hits = spread_join(
-        paths, keyed, ["project", "tail_len", "tail"], F.col("file_path"), fits_broadcast(keyed)
-    ).filter(F.expr("file_path LIKE concat('%', suffix)"))
+    hits = spread_join(paths, keyed, ["project", "tail_len", "tail"], F.col("file_path"), n).filter(
+        F.expr("file_path LIKE concat('%', suffix)")
+    )
     first = Window.partitionBy("project", "suffix").orderBy("file_path")
     return (
         hits.withColumn("rank", F.row_number().over(first))

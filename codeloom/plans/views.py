@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from codeloom.functions import symbols as S
 from codeloom.functions.paths import absolute_path, relative_path
 from codeloom.functions.text import capped_list, file_mentions
-from codeloom.operators.detail import detail_of, edges_of, file_summary, first_neighbours
+from codeloom.operators.detail import detail_of, distinct_keys, edges_of, first_neighbours
 from codeloom.operators.lookup import suffix_matches
 from codeloom.operators.stats import degree
 from codeloom.schema import COMPACT_LIST_CAP, HIGH_FAN_IN, TOOL_LIST_CAP
@@ -49,7 +49,7 @@ def prompt_context(files: DataFrame, imports: DataFrame, prompts: DataFrame) ->
         "prompt_id", "project", F.explode(file_mentions(F.col("prompt"))).alias("suffix")
     )
     matched = suffix_matches(files, mentions).drop("rank")
-    text = _prompt_texts(detail_of(files, imports, matched))
+    text = _prompt_texts(detail_of(files, imports, distinct_keys(matched)))
     return (
         mentions.join(matched, ["project", "suffix"])
         .select("prompt_id", "project", "file_path")
@@ -80,9 +80,10 @@ def tool_context(files: DataFrame, imports: DataFrame, touched: DataFrame, actio
 
     Dependents are listed up to eight; a file with symbols only has nothing to show.
     """
-    detail = detail_of(files, imports, touched)
+    keys = distinct_keys(touched)
+    detail = detail_of(files, imports, keys)
     few = first_neighbours(
-        edges_of(imports, touched, "target_path"), "target_path", "source_path", TOOL_LIST_CAP, "first_dependents"
+        edges_of(imports, keys, "target_path"), "target_path", "source_path", TOOL_LIST_CAP, "first_dependents"
     )
     n = F.col("n_dependents")
     context = F.concat_ws(
@@ -108,7 +109,7 @@ def post_edit_lines(imports: DataFrame, files: DataFrame, changed: DataFrame) ->
     Dependents count only for indexed files.
     """
     located = changed.withColumn("file_path", absolute_path(F.col("file"), F.col("project")))
-    known = degree(edges_of(imports, located, "target_path"), "target_path", "n").join(
+    known = degree(edges_of(imports, distinct_keys(located), "target_path"), "target_path", "n").join(
         files.select(*_KEY), _KEY, "left_semi"
     )
     n = F.coalesce(F.col("n"), F.lit(0))
@@ -122,9 +123,10 @@ def post_edit_lines(imports: DataFrame, files: DataFrame, changed: DataFrame) ->
 def compact_context(files: DataFrame, imports: DataFrame, changed: DataFrame) -> DataFrame:
     """Short structural summary of changed files, kept across a conversation reset."""
     located = changed.withColumn("file_path", absolute_path(F.col("file"), F.col("project")))
-    detail = detail_of(files, imports, located)
+    keys = distinct_keys(located)
+    detail = detail_of(files, imports, keys)
     few = first_neighbours(
-        edges_of(imports, located, "target_path"), "target_path", "source_path", COMPACT_LIST_CAP, "first_dependents"
+        edges_of(imports, keys, "target_path"), "target_path", "source_path", COMPACT_LIST_CAP, "first_dependents"
     )
     n, symbols = F.col("n_dependents"), F.col("symbols")
     context = F.concat_ws(
@@ -164,7 +166,3 @@ def session_context(files: DataFrame, imports: DataFrame, projects: DataFrame) -
     )
     return joined.select("project", text.alias("context"))
 
-
-__all__ = [
-    "compact_context", "file_summary", "post_edit_lines", "prompt_context", "session_context", "tool_context",
-]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 # A side is broadcast only after its rows have been counted and found to be below this.
@@ -44,9 +44,15 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def fits_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """True when ``df`` (a materialised or cheap frame) has at most ``limit`` rows."""
-    return df.limit(limit + 1).count() <= limit
+def durable_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """``durable`` plus the row count, taken while the rows are being written.
+
+    A task that Spark has to repeat may be counted twice, never missed: 0 means empty, and
+    a count below a size bound proves the bound.
+    """
+    seen = Observation()
+    stored = durable(df.observe(seen, F.count(F.lit(1)).alias("rows")))
+    return stored, seen.get["rows"]
 
 
 def spread_join(
@@ -54,16 +60,16 @@ def spread_join(
     small: DataFrame,
     keys: list[str],
     spread_by: Column,
-    small_fits: bool,
+    small_rows: int,
     how: str = "inner",
 ) -> DataFrame:
     """Join on ``keys`` where one key may hold a large share of ``big``.
 
-    A counted-small side is broadcast, so ``big`` never moves. Otherwise each row of
+    ``small`` is broadcast when its counted ``small_rows`` allow it, so ``big`` never moves. Otherwise each row of
     ``big`` takes a salt from ``spread_by`` and ``small`` is repeated once per salt, so
     a hot key is shared by ``SALTS`` tasks. ``how`` must keep ``big`` on the left.
     """
-    if small_fits:
+    if small_rows <= BROADCAST_ROWS:
         return big.join(F.broadcast(small), keys, how)
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(SALTS)))
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
