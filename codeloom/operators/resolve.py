@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions.paths import append_extension, normalize_path, parent, to_snake_case
 from codeloom.schema import SCRIPT_EXTENSIONS
+from codeloom.sources.listing import existing
 
 _NONE = "array<string>"
 
@@ -58,30 +61,40 @@ def _ancestors(path: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
 
 
-def nearest_root(paths: DataFrame, listing: DataFrame, marker: str) -> DataFrame:
+# Keeps the rows of a (project, path, …) frame whose path exists.
+Exists = Callable[[DataFrame], DataFrame]
+
+
+def in_listing(listing: DataFrame) -> Exists:
+    """Existence by a (project, path) listing of every file and directory, indexed or not."""
+    known = listing.select("project", "path").distinct()
+    return lambda probes: probes.join(known, ["project", "path"], "left_semi")
+
+
+def on_disk(probes: DataFrame) -> DataFrame:
+    """Existence by asking the file system about the probed paths only."""
+    return probes.join(existing(probes), ["project", "path"], "left_semi")
+
+
+def nearest_root(paths: DataFrame, exists: Exists, marker: str) -> DataFrame:
     """(project, source_path, root): the closest ancestor directory that holds ``marker``."""
-    marked = listing.filter(F.endswith("path", F.lit("/" + marker))).select("project", parent(F.col("path")).alias("root"))
     above = paths.select("project", "source_path").distinct().withColumn("root", F.explode(_ancestors(F.col("source_path"))))
-    return (
-        above.join(marked.distinct(), ["project", "root"])
-        .groupBy("project", "source_path")
-        .agg(F.max_by("root", F.length("root")).alias("root"))
-    )
+    marked = exists(above.withColumn("path", F.concat("root", F.lit("/" + marker))))
+    return marked.groupBy("project", "source_path").agg(F.max_by("root", F.length("root")).alias("root"))
 
 
-def resolve_imports(raw: DataFrame, listing: DataFrame, strict_compat: bool = False) -> DataFrame:
+def resolve_imports(raw: DataFrame, exists: Exists, strict_compat: bool = False) -> DataFrame:
     """Resolved edges (project, source_path, target_path, specifier, symbols, ord).
 
-    ``raw`` is (project, source_path, specifier, kind, symbols, ord); ``listing`` is
-    (project, path) of every file and directory, indexed or not. Unresolved imports are
+    ``raw`` is (project, source_path, specifier, kind, symbols, ord). Unresolved imports are
     dropped and the first of several equal edges wins.
 
     ``crate::`` paths start at the crate's ``src`` folder, found beside Cargo.toml; with
     ``strict_compat`` they start at the importing file and so never resolve.
     """
     source, specifier, kind = F.col("source_path"), F.col("specifier"), F.col("kind")
-    elixir = nearest_root(raw.filter(kind == "elixir"), listing, "mix.exs").withColumnRenamed("root", "mix_root")
-    crates = nearest_root(raw.filter(kind == "rust_use"), listing, "Cargo.toml").select(
+    elixir = nearest_root(raw.filter(kind == "elixir"), exists, "mix.exs").withColumnRenamed("root", "mix_root")
+    crates = nearest_root(raw.filter(kind == "rust_use"), exists, "Cargo.toml").select(
         "project", "source_path", F.concat("root", F.lit("/src")).alias("crate_src")
     )
     rooted = raw.join(elixir, ["project", "source_path"], "left").join(crates, ["project", "source_path"], "left")
@@ -96,8 +109,7 @@ def resolve_imports(raw: DataFrame, listing: DataFrame, strict_compat: bool = Fa
     probes = rooted.select(
         "project", "source_path", "specifier", "symbols", "ord", F.posexplode(candidates).alias("probe", "path")
     )
-    exists = listing.select("project", "path").distinct()
-    hits = probes.join(exists, ["project", "path"], "left_semi")
+    hits = exists(probes)
     # The best probe of each written import, then the first of equal edges: one grouping
     # each, both pre-aggregated, and the second on a key that extends the first.
     best = hits.groupBy("project", "source_path", "specifier", "ord").agg(

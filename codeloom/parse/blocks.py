@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.parse.lexing import BEFORE, FILE, SO_FAR, running
+from codeloom.parse.lexing import before, FILE, so_far, running
 
 
 def nest(rows: DataFrame, opens: Column, closes: Column, closed_to_view: Column) -> DataFrame:
@@ -19,7 +19,7 @@ def nest(rows: DataFrame, opens: Column, closes: Column, closed_to_view: Column)
     neighbour in a window over (file, level).
     """
     flagged = rows.withColumn("opens", opens).withColumn("closes", closes & ~opens)
-    level = running(F.col("opens"), SO_FAR) - running(F.col("closes"), BEFORE)
+    level = running(F.col("opens"), so_far()) - running(F.col("closes"), before())
     flagged = flagged.withColumn("level", F.when(F.col("opens") | F.col("closes"), level))
     by_level = Window.partitionBy(*FILE, "level").orderBy("i")
     shut = F.coalesce(closed_to_view, F.lit(False)) & F.col("opens")
@@ -28,5 +28,5 @@ def nest(rows: DataFrame, opens: Column, closes: Column, closed_to_view: Column)
         F.when(F.col("opens"), F.lead("stop").over(by_level)).alias("node_end"),
         F.coalesce(F.col("closes") & F.lag("shut").over(by_level), F.lit(False)).alias("reopens"),
     )
-    hidden = running(F.col("shut"), BEFORE) - running(F.col("reopens"), BEFORE)
+    hidden = running(F.col("shut"), before()) - running(F.col("reopens"), before())
     return paired.withColumn("hidden", hidden)

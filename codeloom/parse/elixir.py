@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from codeloom.functions.text import signature, trim_ws
 from codeloom.parse import docs
 from codeloom.parse.blocks import nest
-from codeloom.parse.lexing import ELIXIR, FILE, SO_FAR, latest, previous, statements, tokens, with_text
+from codeloom.parse.lexing import ELIXIR, FILE, so_far, latest, previous, statements, tokens, with_text
 from codeloom.parse.rows import import_row, imports_array, symbol_row, symbols_array
 
 _HEADS = ("defmodule", "def", "defp", "defmacro", "defmacrop", "defstruct", "alias", "import", "use", "require")
@@ -25,7 +25,7 @@ def extract(sources: DataFrame) -> DataFrame:
     new_line = F.contains(F.col("gap"), F.lit("\n")) | (F.col("i") == 1)
     leads = (F.col("i") > 0) & (new_line | prev.isin(";", "do", "->"))
     heads_line = F.when(leads, sig)
-    rows = rows.withColumn("head_word", latest(heads_line, SO_FAR))
+    rows = rows.withColumn("head_word", latest(heads_line, so_far()))
     opens = (F.col("i") > 0) & sig.isin("(", "[", "{", "do", "fn")
     closes = sig.isin(")", "]", "}", "end")
     sealed = sig.isin("(", "[", "{") | ((sig == "do") & F.col("head_word").isin(*_SEALED))

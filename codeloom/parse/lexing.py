@@ -4,13 +4,24 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 FILE = ["project", "file_path"]
-IN_ORDER = Window.partitionBy(*FILE).orderBy("i")
-BEFORE = IN_ORDER.rowsBetween(Window.unboundedPreceding, -1)
-SO_FAR = IN_ORDER.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def in_order() -> WindowSpec:
+    return Window.partitionBy(*FILE).orderBy("i")
+
+
+def before() -> WindowSpec:
+    """All earlier tokens of the file."""
+    return in_order().rowsBetween(Window.unboundedPreceding, -1)
+
+
+def so_far() -> WindowSpec:
+    """All earlier tokens and the current one."""
+    return in_order().rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
 @dataclass(frozen=True)
@@ -127,34 +138,35 @@ def tokens(sources: DataFrame, lexicon: Lexicon) -> DataFrame:
         "i",
         "sig",
         "trivia",
-        F.coalesce(F.lag("trivia").over(IN_ORDER), F.lit("")).alias("gap"),
-        (F.lit(1) + F.coalesce(F.sum(newlines).over(BEFORE), F.lit(0))).cast("int").alias("line"),
-        (F.lit(1) + F.coalesce(F.sum(F.length("raw")).over(BEFORE), F.lit(0))).cast("int").alias("start"),
+        F.coalesce(F.lag("trivia").over(in_order()), F.lit("")).alias("gap"),
+        (F.lit(1) + F.coalesce(F.sum(newlines).over(before()), F.lit(0))).cast("int").alias("line"),
+        (F.lit(1) + F.coalesce(F.sum(F.length("raw")).over(before()), F.lit(0))).cast("int").alias("start"),
     ).withColumn("stop", F.col("start") + F.length("sig"))
 
 
 def previous(column: str, n: int = 1) -> Column:
-    return F.coalesce(F.lag(column, n).over(IN_ORDER), F.lit(""))
+    return F.coalesce(F.lag(column, n).over(in_order()), F.lit(""))
 
 
 def following(column: str, n: int = 1) -> Column:
-    return F.coalesce(F.lead(column, n).over(IN_ORDER), F.lit(""))
+    return F.coalesce(F.lead(column, n).over(in_order()), F.lit(""))
 
 
-def running(flag: Column, frame=SO_FAR) -> Column:
-    """How many rows satisfied ``flag`` within the frame."""
-    return F.coalesce(F.sum(F.when(flag, 1).otherwise(0)).over(frame), F.lit(0))
+def running(flag: Column, frame: WindowSpec | None = None) -> Column:
+    """How many rows satisfied ``flag`` within the frame (default: so far)."""
+    return F.coalesce(F.sum(F.when(flag, 1).otherwise(0)).over(frame or so_far()), F.lit(0))
 
 
-def latest(value: Column, frame=BEFORE) -> Column:
-    return F.last(value, ignorenulls=True).over(frame)
+def latest(value: Column, frame: WindowSpec | None = None) -> Column:
+    """The newest non-NULL value within the frame (default: before)."""
+    return F.last(value, ignorenulls=True).over(frame or before())
 
 
 def bracket_depth(rows: DataFrame) -> DataFrame:
     """Add ``depth``: brackets open around a token (a bracket itself counts as outside)."""
     opens = F.col("sig").isin("(", "[", "{")
     closes = F.col("sig").isin(")", "]", "}")
-    return rows.withColumn("depth", running(opens, BEFORE) - running(closes, SO_FAR))
+    return rows.withColumn("depth", running(opens, before()) - running(closes, so_far()))
 
 
 def statements(rows: DataFrame, gathered: dict[str, Column], ends: Column | None = None) -> DataFrame:

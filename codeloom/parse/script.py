@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from codeloom.functions.text import signature, strip_quotes, trim_ws
 from codeloom.parse import docs
 from codeloom.parse.lexing import (
-    FILE, SCRIPT, SO_FAR, bracket_depth, following, latest, previous, statements, tokens, with_text,
+    FILE, SCRIPT, so_far, bracket_depth, following, latest, previous, statements, tokens, with_text,
 )
 from codeloom.parse.rows import import_row, imports_array, symbol_row, symbols_array
 
@@ -49,7 +49,7 @@ def _mark(sources: DataFrame) -> DataFrame:
     decorated = F.coalesce(F.startswith(latest(F.when(F.col("candidate"), sig)), F.lit("@")), F.lit(False))
     rows = rows.withColumn("is_start", F.col("candidate") & ~decorated)
     opening = F.when(sig == "export", F.col("next")).otherwise(sig)
-    return rows.withColumn("opening", latest(F.when(F.col("is_start"), opening), SO_FAR))
+    return rows.withColumn("opening", latest(F.when(F.col("is_start"), opening), so_far()))
 
 
 def _newlines(text: Column) -> Column:
