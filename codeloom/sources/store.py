@@ -86,6 +86,7 @@ class CodeStore:
         return durable_counted(df.select("project").distinct())
 
     def upsert_files(self, new: DataFrame) -> None:
+        new = durable(new)
         touched = self._projects(new)
         self._swap("code_file", touched, changes.upsert_files(self._within("code_file", touched), new))
 
@@ -99,6 +100,7 @@ class CodeStore:
 
     def remove(self, gone: DataFrame) -> None:
         """Remove (project, file_path) rows and every edge at either end of them."""
+        gone = durable(gone.select("project", "file_path"))  # may be read from the tables changed below
         touched = self._projects(gone)
         self._swap("code_file", touched, changes.remove_files(self._within("code_file", touched), gone))
         self._swap("code_import", touched, changes.remove_edges(self._within("code_import", touched), gone))
