@@ -155,7 +155,7 @@ select s source_path, p target_path, spec specifier, syms from r where p in (sel
 @catalog.add("resolve_imports", _EDGES)
 def resolve(spark, sf):
     text = sources(spark, sf)
-    _, raw = split_parse(text, parse_statements(text))
+    _, raw = split_parse(text, durable(parse_statements(text)))
     edges = resolve_imports(raw, in_listing(listing(spark, sf)))
     return edges.select("source_path", "target_path", "specifier", F.array_join("symbols", ",").alias("syms"))
 

@@ -75,7 +75,9 @@ def stored_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(project, k, part columns): part k is present in project p unless (k + p) % 5 = 0."""
-    parts = read(spark, sf_dir, "part").withColumn("k", F.col("p_partkey"))
+    # Spread before every row becomes many: the parts file alone may be a single split.
+    parts = read(spark, sf_dir, "part").drop("p_retailprice").withColumn("k", F.col("p_partkey"))
+    parts = parts.repartition(spark.sparkContext.defaultParallelism)
     spread = parts.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(PROJECTS - 1))))
     return spread.filter("(k + p) % 5 <> 0").withColumn("project", F.expr("'/w/p' || p"))
 

@@ -86,8 +86,9 @@ def nearest_root(paths: DataFrame, exists: Exists, marker: str) -> DataFrame:
 def resolve_imports(raw: DataFrame, exists: Exists, strict_compat: bool = False) -> DataFrame:
     """Resolved edges (project, source_path, target_path, specifier, symbols, ord).
 
-    ``raw`` is (project, source_path, specifier, kind, symbols, ord). Unresolved imports are
-    dropped and the first of several equal edges wins.
+    ``raw`` is (project, source_path, specifier, kind, symbols, ord) and is read three times,
+    so it should come from a stored parse. Unresolved imports are dropped and the first of
+    several equal edges wins.
 
     ``crate::`` paths start at the crate's ``src`` folder, found beside Cargo.toml; with
     ``strict_compat`` they start at the importing file and so never resolve.

@@ -1,6 +1,6 @@
 """BM25 search.
 
-Two forms share one scoring expression. ``search`` scans the text once and counts query
+Two forms share one scoring expression. ``search`` reads the texts once and counts query
 terms inside each row, so nothing is exploded or shuffled but the top rows. A stored
 inverted index (``postings``) answers repeated queries by reading only the query's terms.
 """
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.text import analyze
 from codeloom.schema import DEFAULT_SEARCH_LIMIT
+from codeloom.session import durable
 
 
 @dataclass(frozen=True)
@@ -60,19 +61,19 @@ def search(
 
     Term and length statistics come from the whole corpus; ``keep`` (a SQL predicate such
     as a project filter) is applied after scoring. With ``by`` the limit counts per group.
-    Result: the corpus columns plus ``score`` and, when grouped, ``rank``.
+    Result: the corpus columns but the text, plus ``score`` and, when grouped, ``rank``.
     """
     terms = query_terms(corpus.sparkSession, query)
+    kept = [c for c in corpus.columns if c != text]
     if not terms:
-        return corpus.limit(0).withColumn("score", F.lit(0.0)).withColumn("rank", F.lit(0))
-    tokens = analyze(F.col(text))
-    counted = corpus.withColumn("_tokens", tokens).select(
-        *corpus.columns,
-        F.size("_tokens").cast("bigint").alias("_dl"),
-        *[
-            _occurrences(F.col("_tokens"), w).alias(f"_tf{i}")
-            for i, w in enumerate(terms)
-        ],
+        return corpus.select(*kept).limit(0).withColumn("score", F.lit(0.0)).withColumn("rank", F.lit(0))
+    # The texts are tokenised once; what is stored of them is a few numbers per row.
+    counted = durable(
+        corpus.select(*kept, analyze(F.col(text)).alias("_tokens")).select(
+            *kept,
+            F.size("_tokens").cast("bigint").alias("_dl"),
+            *[_occurrences(F.col("_tokens"), w).alias(f"_tf{i}") for i, w in enumerate(terms)],
+        )
     )
     # One row: corpus size, mean length and the document frequency of each term.
     facts = counted.agg(
@@ -94,7 +95,7 @@ def search(
             F.col(f"_tf{i}"), F.col("_dl"), F.col(f"_facts.df{i}"), F.col("_facts.n"), F.col("_facts.avgdl"), params
         )
         total = part if total is None else total + part
-    hits = matching.select(*corpus.columns, F.round(total, params.digits).alias("score"))
+    hits = matching.select(*kept, F.round(total, params.digits).alias("score"))
     if by:
         return _top(hits, by, key, limit)
     return hits.orderBy(F.desc("score"), key).limit(limit)

@@ -40,12 +40,23 @@ _DOUBLE = rf'"(?:[^"\\]++|{_ESCAPED})*+"?'
 _SLASH_COMMENTS = r"(?://[^\n]*+|/\*(?:[^*]++|\*(?!/))*+(?:\*/)?|\s++)*+"
 _REGEX_LITERAL = r"(?<=[=(,:\[!&|?{{};\n]{space})/(?![/*])(?:[^/\\\n\[]++|\\.|\[(?:[^\]\\\n]++|\\.)*+\])++/[a-z]*+"
 
+
+
+def _template(levels: int) -> str:
+    """A template literal whose ``${…}`` parts may hold templates, ``levels`` deep."""
+    if levels == 0:
+        return rf"`(?:[^`\\]++|{_ESCAPED})*+`"
+    inner = _template(levels - 1)
+    part = rf"(?:[^`{{}}]++|{inner}|\{{(?:[^`{{}}]++|{inner}|\{{[^{{}}]*+\}})*+\}})*+"
+    return rf"`(?:[^`\\$]++|{_ESCAPED}|\$\{{{part}\}}|\$)*+`"
+
+
 SCRIPT = Lexicon(
     token="|".join(
         [
             rf'"(?:[^"\\\n]++|{_ESCAPED})*+"?',
             rf"'(?:[^'\\\n]++|{_ESCAPED})*+'?",
-            rf"`(?:[^`\\]++|{_ESCAPED})*+`?",
+            _template(3),
             _REGEX_LITERAL.replace("{{", "{").replace("{space}", r"\s{0,4}"),
             r"[@#]?[\p{L}\p{N}_$]++",
             "=>",

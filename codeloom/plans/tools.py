@@ -133,7 +133,7 @@ class Toolbox:
         hits = self._search(store, project, query, limit)
         files = store.files().filter(F.col("project") == project).select("project", "file_path", "symbols")
         return (
-            files.join(F.broadcast(hits.drop("searchable")), ["project", "file_path"])  # at most ``limit`` rows
+            files.join(F.broadcast(hits), ["project", "file_path"])  # at most ``limit`` rows
             .orderBy(F.desc("score"), "file_path")
             .select(F.col("file_path").alias("filePath"), _relative().alias("relativePath"), _camel().alias("symbols"))
         )
