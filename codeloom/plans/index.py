@@ -22,21 +22,35 @@ def parse_sources(sources: DataFrame, exists: Exists, strict_compat: bool = Fals
     return files, resolve_imports(raw, exists, strict_compat)
 
 
-def _store_sources(store: CodeStore, sources: DataFrame, exists: Exists, gate: bool = True) -> None:
-    """Parse and store sources, those of unchanged content left out unless ``gate`` is off."""
-    changed = sources.filter(F.col("content").isNotNull()).withColumn("content_hash", content_hash(F.col("content")))
-    if gate:
-        changed = changes.needs_parse(changed, store.files())
-    changed = durable(changed.drop("content_hash"))
-    files, edges = parse_sources(changed, exists)
+def _hashes(paths: DataFrame) -> DataFrame:
+    """(project, file_path, content_hash) of paths, stored; the hash of an unreadable file is NULL."""
+    return durable(
+        read_sources(paths).select("project", "file_path", content_hash(F.col("content")).alias("content_hash"))
+    )
+
+
+def _store_paths(store: CodeStore, paths: DataFrame, exists: Exists) -> None:
+    """Read, parse and store (project, file_path) rows.
+
+    The contents are written down once, so that tokens, texts and hash come from the same
+    version of a file.
+    """
+    sources = durable(read_sources(paths).filter(F.col("content").isNotNull()))
+    files, edges = parse_sources(sources, exists)
     files, edges = durable(files), durable(edges)
     store.upsert_files(files)
     store.replace_imports(files.select("project", F.col("file_path").alias("source_path")), edges)
 
 
-def _counts(sources: DataFrame) -> DataFrame:
-    ok = F.col("content").isNotNull()
-    return sources.groupBy("project").agg(F.count_if(ok).alias("indexed"), F.count_if(~ok).alias("skipped"))
+def _store_changed(store: CodeStore, hashes: DataFrame, exists: Exists) -> None:
+    """Index the readable files whose hash differs from the stored one."""
+    changed = changes.needs_parse(hashes.filter(F.col("content_hash").isNotNull()), store.files())
+    _store_paths(store, durable(changed.select("project", "file_path")), exists)
+
+
+def _counts(hashes: DataFrame) -> DataFrame:
+    ok = F.col("content_hash").isNotNull()
+    return hashes.groupBy("project").agg(F.count_if(ok).alias("indexed"), F.count_if(~ok).alias("skipped"))
 
 
 def full_index(store: CodeStore, projects: list[str], purge: bool = False) -> DataFrame:
@@ -45,30 +59,26 @@ def full_index(store: CodeStore, projects: list[str], purge: bool = False) -> Da
     Files that vanished stay in the tables unless ``purge`` is set.
     """
     listing = list_tree(store.spark, projects)
-    sources = durable(
-        read_sources(listing.filter("indexable").select("project", F.col("path").alias("file_path")))
-    )
-    _store_sources(store, sources, in_listing(listing))
+    hashes = _hashes(listing.filter("indexable").select("project", F.col("path").alias("file_path")))
+    _store_changed(store, hashes, in_listing(listing))
     roots = store.spark.createDataFrame([(p,) for p in projects], "project string")
     if purge:
-        here = sources.select("project", "file_path")
+        here = hashes.select("project", "file_path")
         known = store.files().join(roots, "project", "left_semi").select("project", "file_path")
-        store.remove(durable(known.join(here, ["project", "file_path"], "left_anti")))
+        store.remove(known.join(here, ["project", "file_path"], "left_anti"))
     store.save_status(roots, durable(gittext.parse_status(gittext.command_lines(roots, gittext.STATUS))))
-    counted = _counts(sources)
-    return roots.join(counted, "project", "left").fillna(0)
+    return roots.join(_counts(hashes), "project", "left").fillna(0)
 
 
 def parse_only(spark, projects: list[str]) -> DataFrame:
     """(project, indexed, skipped) of parsing whole trees without storing anything."""
     listing = list_tree(spark, projects, skipped=False)
-    sources = read_sources(listing.filter("indexable").select("project", F.col("path").alias("file_path")))
-    return _counts(sources)
+    return _counts(_hashes(listing.filter("indexable").select("project", F.col("path").alias("file_path"))))
 
 
 def index_files(store: CodeStore, paths: DataFrame) -> None:
     """Parse and store single (project, file_path) rows, whatever their stored hash."""
-    _store_sources(store, durable(read_sources(paths)), on_disk, gate=False)
+    _store_paths(store, paths, on_disk)
 
 
 def incremental_index(store: CodeStore, found: DataFrame) -> DataFrame:
@@ -76,10 +86,10 @@ def incremental_index(store: CodeStore, found: DataFrame) -> DataFrame:
     actions = durable(changes.split_changes(found, existing(found)))
     store.remove(actions.filter("action = 'remove'").select("project", F.col("path").alias("file_path")))
     todo = actions.filter("action = 'index'").select("project", F.col("path").alias("file_path"))
-    sources = durable(read_sources(todo))
-    _store_sources(store, sources, on_disk)
+    hashes = _hashes(todo)
+    _store_changed(store, hashes, on_disk)
     removed = changes.action_counts(actions).select("project", "removed")
-    return removed.join(_counts(sources).select("project", "indexed"), "project", "left").select(
+    return removed.join(_counts(hashes).select("project", "indexed"), "project", "left").select(
         "project", F.coalesce("indexed", F.lit(0)).alias("indexed"), "removed"
     )
 
@@ -102,6 +112,6 @@ def detect_changes(store: CodeStore | None, spark, projects: list[str]) -> tuple
         store.save_status(roots, current)
         return found, counts
     todo = found.filter("change = 'modified'").select("project", F.col("path").alias("file_path"))
-    parsed = _counts(read_sources(todo)).select("project", "indexed")
+    parsed = _counts(_hashes(todo)).select("project", "indexed")
     gone = found.groupBy("project").agg(F.count_if(F.col("change") == "deleted").alias("removed"))
     return found, gone.join(parsed, "project", "left").fillna(0).select("project", "indexed", "removed")

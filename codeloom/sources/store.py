@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.functions.text import epoch_ms
@@ -11,19 +13,26 @@ from codeloom.schema import FILES, IMPORTS, SNAPSHOTS
 from codeloom.session import durable, durable_counted, spread_join
 
 _TABLES = {"code_file": FILES, "code_import": IMPORTS, "code_status": SNAPSHOTS}
-_SORT = {"code_file": "file_path", "code_import": "source_path", "code_status": "path"}
+# The path that orders a table's rows and picks their bucket.
+_PATH = {"code_file": "file_path", "code_import": "source_path", "code_status": "path"}
+_PARTITION = ["project", "bucket"]
 
 
 class CodeStore:
     """Reads and maintains the tables of one database.
 
-    Every change rewrites only the projects it touches: their rows are merged, staged in
-    the checkpoint folder and swapped in with a dynamic partition overwrite, so readers see
-    a project before or after the change.
+    Tables are partitioned by project and by a bucket of the path. A change rewrites only
+    the partitions that hold its rows: they are merged, staged in the checkpoint folder and
+    swapped in with a dynamic partition overwrite, so readers see a partition before or
+    after the change. One bucket suits many small projects; raise ``buckets`` when a single
+    project holds much of the data, so that a small change stays a small rewrite. The
+    number belongs to the stored tables: always open them with the one they were made with.
     """
 
-    def __init__(self, spark: SparkSession, database: str = "codeloom", location: str | None = None):
-        self.spark, self.database, self.location = spark, database, location
+    def __init__(
+        self, spark: SparkSession, database: str = "codeloom", location: str | None = None, buckets: int = 1
+    ):
+        self.spark, self.database, self.location, self.buckets = spark, database, location, buckets
         self.init_schema()
 
     def init_schema(self) -> None:
@@ -34,17 +43,21 @@ class CodeStore:
             columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema)
             at = f" LOCATION '{self.location}/{name}'" if self.location else ""
             self.spark.sql(
-                f"CREATE TABLE IF NOT EXISTS {self.database}.{name} ({columns}) USING parquet PARTITIONED BY (project){at}"
+                f"CREATE TABLE IF NOT EXISTS {self.database}.{name} ({columns}, bucket int)"
+                f" USING parquet PARTITIONED BY (project, bucket){at}"
             )
             if self.location:
                 # An empty append makes the folder; the repair finds partitions written by other sessions.
-                self.spark.createDataFrame([], schema).select(*self._columns(name)).write.insertInto(f"{self.database}.{name}")
+                self._placed(name, self.spark.createDataFrame([], schema)).write.insertInto(f"{self.database}.{name}")
                 self.spark.sql(f"MSCK REPAIR TABLE {self.database}.{name}")
 
-    @staticmethod
-    def _columns(name: str) -> list[str]:
-        """Column order of the table: the partition column last."""
-        return [c for c in _TABLES[name].fieldNames() if c != "project"] + ["project"]
+    def _bucket(self, path: str) -> Column:
+        return F.pmod(F.xxhash64(path), F.lit(self.buckets)).cast("int").alias("bucket")
+
+    def _placed(self, name: str, rows: DataFrame) -> DataFrame:
+        """Rows in the table's column order, partition columns last."""
+        data = [c for c in _TABLES[name].fieldNames() if c != "project"]
+        return rows.select(*data, "project", self._bucket(_PATH[name]))
 
     def _table(self, name: str) -> DataFrame:
         return self.spark.table(f"{self.database}.{name}").select(*_TABLES[name].fieldNames())
@@ -58,15 +71,23 @@ class CodeStore:
     def snapshots(self) -> DataFrame:
         return self._table("code_status")
 
+    def _partitions(self, *rows: tuple[DataFrame, str]) -> tuple[DataFrame, int]:
+        """The distinct partitions of (rows, path column) pairs, stored and counted."""
+        found = [df.select("project", self._bucket(path)) for df, path in rows]
+        return durable_counted(reduce(DataFrame.unionByName, found).distinct())
+
     def _within(self, name: str, touched: tuple[DataFrame, int]) -> DataFrame:
-        return spread_join(self._table(name), touched[0], ["project"], F.col(_SORT[name]), touched[1])
+        """The table's rows in the touched partitions; others are pruned from the scan."""
+        whole = self.spark.table(f"{self.database}.{name}")
+        kept = spread_join(whole, touched[0], _PARTITION, F.col(_PATH[name]), touched[1])
+        return kept.select(*_TABLES[name].fieldNames())
 
     def _swap(self, name: str, touched: tuple[DataFrame, int], merged: DataFrame) -> None:
         if touched[1] == 0:
             return
-        staged = durable(merged)
-        # Rebalancing sizes the output files, splitting a project that holds much of the data.
-        rows = staged.select(*self._columns(name)).hint("rebalance", "project").sortWithinPartitions("project", _SORT[name])
+        staged = durable(self._placed(name, merged))
+        # Rebalancing sizes the output files, splitting a partition that holds much of the data.
+        rows = staged.hint("rebalance", *_PARTITION).sortWithinPartitions(*_PARTITION, _PATH[name])
         # Catalog inserts take the overwrite mode from the session, not from the writer.
         mode = "spark.sql.sources.partitionOverwriteMode"
         before = self.spark.conf.get(mode)
@@ -75,24 +96,22 @@ class CodeStore:
             rows.write.insertInto(f"{self.database}.{name}", overwrite=True)
         finally:
             self.spark.conf.set(mode, before)
-        # A project without rows left has no partition in the staged data to overwrite.
-        emptied = touched[0].join(staged.select("project").distinct(), "project", "left_anti")
+        # A partition without rows left has nothing in the staged data to overwrite it.
+        emptied = touched[0].join(staged.select(*_PARTITION).distinct(), _PARTITION, "left_anti")
         for row in emptied.toLocalIterator():
             value = row.project.replace("\\", "\\\\").replace("'", "\\'")
-            self.spark.sql(f"ALTER TABLE {self.database}.{name} DROP IF EXISTS PARTITION (project = '{value}')")
-
-    @staticmethod
-    def _projects(df: DataFrame) -> tuple[DataFrame, int]:
-        return durable_counted(df.select("project").distinct())
+            self.spark.sql(
+                f"ALTER TABLE {self.database}.{name} DROP IF EXISTS PARTITION (project = '{value}', bucket = {row.bucket})"
+            )
 
     def upsert_files(self, new: DataFrame) -> None:
         new = durable(new)
-        touched = self._projects(new)
+        touched = self._partitions((new, "file_path"))
         self._swap("code_file", touched, changes.upsert_files(self._within("code_file", touched), new))
 
     def replace_imports(self, sources: DataFrame, edges: DataFrame) -> None:
         """Replace the edges of the re-read ``sources`` (project, source_path)."""
-        touched = self._projects(sources)
+        touched = self._partitions((sources, "source_path"))
         stamped = edges.withColumn("updated_at_epoch", epoch_ms())
         self._swap(
             "code_import", touched, changes.replace_imports(self._within("code_import", touched), sources, stamped)
@@ -101,12 +120,21 @@ class CodeStore:
     def remove(self, gone: DataFrame) -> None:
         """Remove (project, file_path) rows and every edge at either end of them."""
         gone = durable(gone.select("project", "file_path"))  # may be read from the tables changed below
-        touched = self._projects(gone)
+        touched = self._partitions((gone, "file_path"))
+        if touched[1] == 0:
+            return
         self._swap("code_file", touched, changes.remove_files(self._within("code_file", touched), gone))
+        # Importers of a removed file live in the buckets of their own paths.
+        inbound = self.imports().join(
+            gone.withColumnRenamed("file_path", "target_path"), ["project", "target_path"], "left_semi"
+        )
+        touched = self._partitions((gone, "file_path"), (inbound, "source_path"))
         self._swap("code_import", touched, changes.remove_edges(self._within("code_import", touched), gone))
 
     def save_status(self, projects: DataFrame, status: DataFrame) -> None:
         """Replace the snapshot of each project; an empty status clears it."""
-        touched = self._projects(projects)
+        roots = projects.select("project").distinct()
+        held = self.snapshots().join(roots, "project", "left_semi")
+        touched = self._partitions((held, "path"), (status, "path"))
         rows = status.select("project", "path", "code", epoch_ms().alias("updated_at_epoch"))
         self._swap("code_status", touched, rows)

@@ -177,7 +177,7 @@ def test_detect_changes(spark, tmp_path, tmp_path_factory):
     git(tmp_path, "init", "-q")
     git(tmp_path, "add", "-A")
     git(tmp_path, "commit", "-qm", "start")
-    store = CodeStore(spark, "changing", str(tmp_path_factory.mktemp("db2")))
+    store = CodeStore(spark, "changing", str(tmp_path_factory.mktemp("db2")), buckets=3)
     other = store.files().schema
     rows = [("/elsewhere", "/elsewhere/x.ts", "typescript", [], "", "/elsewhere/x.ts ", "h", 1)]
     store.upsert_files(spark.createDataFrame(rows, other))
