@@ -20,8 +20,12 @@ def strip_quotes(text: Column) -> Column:
     return F.regexp_replace(text, "^['\"`]+|['\"`]+$", "")
 
 
+# Unicode white space.
+_BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def trim_ws(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(_BLANKS))
 
 
 def signature(text: Column) -> Column:

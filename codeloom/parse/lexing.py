@@ -122,6 +122,16 @@ ELIXIR = Lexicon(
 )
 
 
+def by_file(sources: DataFrame) -> DataFrame:
+    """(project, file_path, content) placed by file.
+
+    The partition count is given, so that adaptive execution does not merge partitions by
+    the size of the compact text: cut into tokens it grows many times over.
+    """
+    n = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return sources.select(*FILE, "content").repartition(n, *FILE)
+
+
 def tokens(sources: DataFrame, lexicon: Lexicon) -> DataFrame:
     """One row per token of each (project, file_path, content).
 
@@ -135,8 +145,7 @@ def tokens(sources: DataFrame, lexicon: Lexicon) -> DataFrame:
     rest = F.expr("substring(content, length(opening) + 1)")
     pattern = F.lit(f"(?:{lexicon.token}){lexicon.trivia}")
     cut = (
-        sources.select(*FILE, "content")
-        .repartition(*FILE)
+        by_file(sources)
         .withColumn("opening", opening)
         .select(*FILE, F.posexplode(F.concat(F.array("opening"), F.regexp_extract_all(rest, pattern, F.lit(0)))).alias("i", "raw"))
     )
@@ -210,7 +219,6 @@ def with_text(statements: DataFrame, sources: DataFrame) -> DataFrame:
     Both sides are placed by file already; the exchange of the content is the one used by
     ``tokens``.
     """
-    content = sources.select(*FILE, "content").repartition(*FILE)
-    return statements.join(content, FILE).withColumn(
+    return statements.join(by_file(sources), FILE).withColumn(
         "text", F.expr("substring(content, start, end - start)")
     ).drop("content")

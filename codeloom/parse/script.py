@@ -56,19 +56,23 @@ def _newlines(text: Column) -> Column:
     return F.length(text) - F.length(F.regexp_replace(text, "\n", ""))
 
 
-def _declaration(text: Column) -> tuple[Column, Column]:
-    """(kind, name) of a function, class, interface, type or enum declaration, else NULL."""
+_DECLARED = ("function", "enum", "class", "interface", "type")
+
+
+def _declarations(text: Column) -> dict[str, Column]:
+    """Per kind of declaration the declared name, NULL where the statement is none of that kind."""
     head = rf"{_LEAD}(?:export\s+)?"
     patterns = {
-        "function": rf"{head}(?:async\s+)?function\s+({_WORD})[\s\S]*\}}\s*;?$",
+        # A function without a body is an overload signature, which declares nothing.
+        "function": rf"{head}(?:async\s+)?function\s+({_WORD})",
         "enum": rf"{head}(?:const\s+)?enum\s+({_WORD})",
         "class": rf"{head}class\s+({_WORD})",
         "interface": rf"{head}interface\s+({_WORD})",
         "type": rf"{head}type\s+({_WORD})\s*[<=]",
     }
     names = {kind: F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for kind, p in patterns.items()}
-    kind = F.coalesce(*[F.when(n.isNotNull(), F.lit(k)) for k, n in names.items()])
-    return kind, F.coalesce(*names.values())
+    ends_with_body = F.right(F.rtrim(F.regexp_replace(F.right(text, F.lit(8)), ";$", "")), F.lit(1)) == "}"
+    return names | {"function": F.when(ends_with_body, names["function"])}
 
 
 def _export_clause(plain: Column) -> Column:
@@ -141,7 +145,10 @@ def extract(sources: DataFrame) -> DataFrame:
     plain, is_export = F.col("plain"), F.col("is_export")
     visibility = F.when(is_export, "exported").otherwise("private")
 
-    kind, name = _declaration(text)
+    # Columns of their own, so that each pattern is matched once per statement.
+    found = found.select("*", *[n.alias(f"as_{k}") for k, n in _declarations(text).items()])
+    kind = F.coalesce(*[F.when(F.col(f"as_{k}").isNotNull(), F.lit(k)) for k in _DECLARED])
+    name = F.coalesce(*[F.col(f"as_{k}") for k in _DECLARED])
     declaration = F.when(
         ~F.col("is_default") & kind.isNotNull(),
         F.array(symbol_row(name, kind, F.col("signature"), F.col("doc"), visibility, F.col("line"))),
