@@ -92,7 +92,9 @@ def _base(spark, sf) -> DataFrame:
 
 
 def sources(spark, sf) -> DataFrame:
-    return _base(spark, sf).selectExpr(f"'{_ROOT}' as project", f"{_PATH} as file_path", f"{_CONTENT} as content")
+    """(project, file_path, content), written once as a stored tree would be."""
+    spread = _base(spark, sf).repartition(spark.sparkContext.defaultParallelism)
+    return durable(spread.selectExpr(f"'{_ROOT}' as project", f"{_PATH} as file_path", f"{_CONTENT} as content"))
 
 
 def listing(spark, sf) -> DataFrame:
