@@ -20,6 +20,7 @@ SLICE_ROWS = 256
 BROADCAST_BYTES = 64 << 20
 # A key is hot when it holds at least one part in so many of all rows; so at most this many keys are hot.
 HOT_SHARE = 64
+SALTS = 32
 
 # A-Z in lower case, all other bytes as they are; and white space as the contracts list it.
 LOWER_ASCII = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -68,17 +69,17 @@ def stored(df: DataFrame) -> DataFrame:
     return durable(df)
 
 
-def hot_split_join(rows: DataFrame, keyed: DataFrame, key: str, count: str, total: int, how: str = "inner") -> DataFrame:
-    """``rows`` joined with ``keyed``, which has one row per value of ``key`` and the number of ``rows`` it meets in ``count``.
+def hot_split_join(rows: DataFrame, keyed: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
+    """``rows`` joined with ``keyed``, which has one row per ``keys`` and the number of ``rows`` it meets in ``count``.
 
-    Keys with at least a ``HOT_SHARE``-th of the ``total`` rows are joined by a broadcast of
-    at most ``HOT_SHARE`` rows, so their rows stay where they are; all others by a shuffle.
+    Keys with at least a ``HOT_SHARE``-th of the ``total`` rows are hot; there are at most
+    ``HOT_SHARE`` of them, so their list is broadcast. Their rows are dealt over ``SALTS``
+    parts, to each of which their one row of ``keyed`` is copied. ``rows`` is read once.
     """
-    bar = max(1, total // HOT_SHARE)
-    if how not in ("inner", "left"):
-        raise ValueError(how)
-    hot = keyed.where(F.col(count) > bar).drop(count).withColumn("_hot", F.lit(True))
-    marked = rows.join(F.broadcast(hot.select(key, "_hot")), key, "left")
-    of_hot = marked.where("_hot").drop("_hot").join(F.broadcast(hot.drop("_hot")), key)
-    of_rest = marked.where("_hot is null").drop("_hot").join(keyed.where(F.col(count) <= bar).drop(count), key, how)
-    return of_hot.unionByName(of_rest)
+    bar = max(1000, total // HOT_SHARE)
+    hot = keyed.where(F.col(count) >= bar).select(*keys, F.lit(True).alias("_hot"))
+    part = F.pmod(F.xxhash64(*rows.columns, F.spark_partition_id()), F.lit(SALTS))
+    salted = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.when(F.col("_hot"), part).otherwise(0)).drop("_hot")
+    parts = F.when(F.col(count) >= bar, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    copies = keyed.withColumn("_salt", F.explode(parts.cast("array<bigint>"))).drop(count)
+    return salted.join(copies, [*keys, "_salt"]).drop("_salt")
