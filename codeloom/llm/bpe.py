@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from codeloom.llm.common import arrow_map, file_broadcast, slices
 from codeloom.llm.merges import RankMerges
 
 # Chunks, and pieces, whose ids a task remembers: twice so many at most.
-REMEMBERED = 120_000
+REMEMBERED = 250_000
 # Positions that are held before agreed tokens are put out.
 _HELD = 4096
 _EDGE = re.compile(r"\A\s|\s\Z")
@@ -159,6 +160,12 @@ class Encoder:
         return out
 
 
+@lru_cache(maxsize=1)
+def _encoder(vocabulary: bytes, pattern: str) -> Encoder:
+    """One encoder per worker process, so what it remembers serves many tasks."""
+    return Encoder(vocabulary, pattern)
+
+
 # States of the UTF-8 machine: how many bytes are missing and which first bytes are allowed.
 _START, _REJECT = 0, 8
 _LEADS = [  # first and last lead byte, state after it
@@ -229,7 +236,7 @@ ENCODED = "ids array<int>, decoded binary, valid_utf8 boolean"
 
 def _round_trip(key: str, text: str, vocabulary: Broadcast, pattern: str):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary.value, pattern)
+        encoder = _encoder(vocabulary.value, pattern)
         decoder = StreamDecoder(encoder.merges)
         for batch in slices(batches):
             ids = [encoder.encode(t) if t else [] for t in batch.column(text).to_pylist()]

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark import Broadcast
@@ -69,6 +71,20 @@ def stored(df: DataFrame) -> DataFrame:
     return durable(df)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """A new folder beside the checkpoints, which executors share, removed at the end."""
+    root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
+    path = f"{root.rstrip('/')}/codeloom-{uuid.uuid4().hex}"
+    try:
+        yield path
+    finally:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def hot_split_join(rows: DataFrame, keyed: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
     """``rows`` joined with ``keyed``, which has one row per ``keys`` and the number of ``rows`` it meets in ``count``.
 

@@ -9,6 +9,7 @@ largest cosine. Runs of other characters count as one space, which is a letter o
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -98,7 +99,7 @@ class Profiler:
 
 def _bundle_task(text: str, label: str, dimensions: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        profiler, bundles = Profiler(dimensions), {}
+        profiler, bundles = _profiler(dimensions), {}
         for batch in slices(batches):
             for t, lang in zip(batch.column(text).to_pylist(), batch.column(label).to_pylist(), strict=True):
                 vector = profiler.vector(t) if t else None
@@ -136,11 +137,17 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str =
     return {lang: v / np.linalg.norm(v) for lang, v in sorted(sums.items()) if v.any()}
 
 
+@lru_cache(maxsize=1)
+def _profiler(dimensions: int) -> Profiler:
+    """One profiler per worker process, so its trigram vectors serve many tasks."""
+    return Profiler(dimensions)
+
+
 class Predictor:
     def __init__(self, prototypes: dict[str, np.ndarray]) -> None:
         self.names = sorted(prototypes)
         self.matrix = np.array([prototypes[n] for n in self.names])
-        self.profiler = Profiler(self.matrix.shape[1] if self.names else DIMENSIONS)
+        self.profiler = _profiler(self.matrix.shape[1] if self.names else DIMENSIONS)
 
     def __call__(self, text: str | None) -> tuple[str, float]:
         vector = self.profiler.vector(text) if text and self.names else None

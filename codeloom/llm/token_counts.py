@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from codeloom.llm.common import arrow_map, file_broadcast, slices
 from codeloom.llm.merges import WordEndMerges
 
 # Words, and chunks between white space, that a task remembers: twice so many at most.
-REMEMBERED = 120_000
+REMEMBERED = 300_000
 # Fixed value: how the vocabulary's words are cut.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
 
@@ -161,6 +162,12 @@ class PrefixCounter:
         return table
 
 
+@lru_cache(maxsize=1)
+def _counter(vocabulary: bytes) -> PrefixCounter:
+    """One counter per worker process, so what it remembers serves many tasks."""
+    return PrefixCounter(vocabulary)
+
+
 _CONTROL = regex.compile("[\x1c-\x1f]")
 
 
@@ -177,7 +184,7 @@ def _normal(text: str) -> str:
 
 def _task(key: str, text: str, vocabulary: Broadcast, budget: int, keep: bool):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = PrefixCounter(vocabulary.value)
+        counter = _counter(vocabulary.value)
         for batch in slices(batches):
             texts = [t or "" for t in batch.column(text).to_pylist()]
             counts, fits, tables = [], [], []
