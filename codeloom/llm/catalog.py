@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.catalog import Catalog
-from codeloom.llm import bpe, decontaminate, jaccard_join, language_id, quality, sharding, substring_dedup, token_counts, url_filter
+from codeloom.llm import bpe, decontaminate, jaccard_join, language_id, quality, sharding, substring_dedup, token_counts, url_filter, warc
+from codeloom.llm.common import scratch, stored
 
 catalog = Catalog()
 
@@ -35,6 +36,13 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, prototypes).select("doc_id", out.alias("held_out"), "lang_pred", "score")
 
 
+@catalog.add("op3_warc")
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with scratch(spark) as folder:
+        warc.write_archives(table(spark, sf_dir, "pages"), folder + "/archives")
+        return stored(warc.read_digests(spark, folder + "/archives"))
+
+
 @catalog.add("op4_quality")
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).select(
