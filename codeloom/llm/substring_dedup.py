@@ -265,7 +265,7 @@ def repeated_runs(texts: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     return runs.unionByName(again.select("doc", "mark", F.col("start").alias("first"), F.col("start").alias("last")))
 
 
-def _cut_task(columns: list[str]):
+def _cut_task(columns: list[str], as_was: bool):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             kept, counts, removed = [], [], []
@@ -281,7 +281,7 @@ def _cut_task(columns: list[str]):
                     words = [words[i] for i in left.tolist()]
                 else:
                     removed.append(0)
-                kept.append(b" ".join(words))
+                kept.append(text.encode() if as_was and text and not removed[-1] else None if as_was and text is None else b" ".join(words))
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in columns), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())],
                 names=[*columns, "n_words", "n_removed", "kept"],
@@ -290,9 +290,12 @@ def _cut_task(columns: list[str]):
     return task
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", group_rows: int = GROUP_ROWS, carry: list[str] | None = None) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", group_rows: int = GROUP_ROWS, carry: list[str] | None = None, as_was: bool = False
+) -> DataFrame:
     """``key`` (and ``carry``) with ``n_words``, ``n_removed`` and ``kept``, the words left joined by one space.
 
+    With ``as_was`` a text that loses nothing is kept as it was, null included.
     Removed is every word covered by a window whose words also start, as a window, in a row
     with a smaller key; repeats within one row, or between rows of one key, remove nothing.
     Rows without key come after all others and lose what any of those has. Null texts and
@@ -310,5 +313,16 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", gro
     runs = repeated_runs(texts, group_rows).groupBy("doc", "mark").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
     kinds = {f.name: f.dataType.simpleString() for f in texts.schema}
     schema = ", ".join([*(f"{n} {kinds[n]}" for n in named.values()), "n_words bigint, n_removed bigint, kept string"])
-    done = arrow_map(texts.join(runs, ["doc", "mark"], "left"), _cut_task(list(named.values())), schema)
+    done = arrow_map(texts.join(runs, ["doc", "mark"], "left"), _cut_task(list(named.values()), as_was), schema)
     return done.select(*[F.col(n).alias(c) for c, n in named.items()], "n_words", "n_removed", "kept")
+
+
+def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: str = "n_chars") -> DataFrame:
+    """``docs`` with texts that have lost their repeated words; same columns. ``length``, if present, follows the text."""
+    others = [c for c in docs.columns if c != text]
+    done = remove_repeats(docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(others)], F.col(f"`{text}`").alias("t")),
+                          f"k{others.index(key)}", "t", carry=[f"k{i}" for i in range(len(others))], as_was=True)
+    out = {text: F.col("kept")} | {c: F.col(f"k{i}") for i, c in enumerate(others)}
+    if length in out and length != key:
+        out[length] = F.when(F.col("n_removed") > 0, F.char_length("kept")).otherwise(out[length]).cast(docs.schema[length].dataType)
+    return done.select(*[out[c].alias(c) for c in docs.columns])
