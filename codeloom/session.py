@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -25,22 +26,24 @@ def spark_session(app: str = "codeloom", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the cluster's shared checkpoint folder and cut its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``, which all executors must reach.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only a local-mode session
-    without that setting gets a folder of its own.
+    Where it is unset, a session whose only machine is this one (``local``, not ``local-cluster``)
+    gets a folder of its own; any other is an error.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         configured = spark.conf.get("spark.checkpoint.dir", None)
-        if configured:
-            sc.setCheckpointDir(configured)
-        elif sc.master.startswith("local"):
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="codeloom-checkpoint-"))
-        else:
+        if not configured and not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
+        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="codeloom-checkpoint-"))
+    return sc.getCheckpointDir().rstrip("/")
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the cluster's shared checkpoint folder and cut its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
