@@ -38,9 +38,17 @@ class Lexicon:
 _ESCAPED = r"\\[\s\S]"
 _DOUBLE = rf'"(?:[^"\\]++|{_ESCAPED})*+"?'
 _SLASH_COMMENTS = r"(?://[^\n]*+|/\*(?:[^*]++|\*(?!/))*+(?:\*/)?|\s++)*+"
-_REGEX_LITERAL = r"(?<=[=(,:\[!&|?{{};\n]{space})/(?![/*])(?:[^/\\\n\[]++|\\.|\[(?:[^\]\\\n]++|\\.)*+\])++/[a-z]*+"
+_REGEX_BODY = r"/(?![/*])(?:[^/\\\n\[]++|\\.|\[(?:[^\]\\\n]++|\\.)*+\])++/[a-z]*+"
+# Where a slash opens a regular expression: behind an operator or bracket that wants a value, or behind such a word.
+_WANTS_VALUE = r"(?<=[=(,:\[!&|?{};\n]\s{0,4})"
+_VALUE_WORD = r"(?<=\b(?:return|typeof|case|do|else|in|of|void|delete|throw|new|yield|await)[ \t]{1,4})"
 
 
+def _nested_comment(levels: int) -> str:
+    """A block comment that may hold block comments, ``levels`` deep; deeper openers are text."""
+    inner = rf"{_nested_comment(levels - 1)}|/(?!\*)" if levels else "/"
+    return rf"/\*(?:[^*/]++|{inner}|\*(?!/))*+(?:\*/)?"
+
 
 def _template(levels: int) -> str:
     """A template literal whose ``${…}`` parts may hold templates, ``levels`` deep."""
@@ -54,10 +62,11 @@ def _template(levels: int) -> str:
 SCRIPT = Lexicon(
     token="|".join(
         [
-            rf'"(?:[^"\\\n]++|{_ESCAPED})*+"?',
-            rf"'(?:[^'\\\n]++|{_ESCAPED})*+'?",
+            # A quote that its line does not close is an apostrophe of a text between tags.
+            rf'"(?:[^"\\\n]++|{_ESCAPED})*+"',
+            rf"'(?:[^'\\\n]++|{_ESCAPED})*+'",
             _template(3),
-            _REGEX_LITERAL.replace("{{", "{").replace("{space}", r"\s{0,4}"),
+            f"(?:{_WANTS_VALUE}|{_VALUE_WORD}){_REGEX_BODY}",
             r"[@#]?[\p{L}\p{N}_$]++",
             "=>",
             r"[\s\S]",
@@ -69,9 +78,7 @@ SCRIPT = Lexicon(
 RUST = Lexicon(
     token="|".join(
         [
-            r'b?r"[^"]*+"',
-            r'b?r#"(?:[^"]++|"(?!#))*+"#',
-            r'b?r##"(?:[^"]++|"(?!##))*+"##',
+            r'b?r(#*+)"[\s\S]*?"\1',
             "b?" + _DOUBLE,
             r"b?'(?:[^'\\\n]|\\[^\n][^'\n]*+)'",
             r"'\w++",
@@ -80,7 +87,7 @@ RUST = Lexicon(
             r"[\s\S]",
         ]
     ),
-    trivia=_SLASH_COMMENTS,
+    trivia=rf"(?://[^\n]*+|{_nested_comment(8)}|\s++)*+",
 )
 
 RUBY = Lexicon(
@@ -90,7 +97,7 @@ RUBY = Lexicon(
             r"%[wWiIqQr]?(?:\[[^\]]*+\]|\([^)]*+\)|\{[^}]*+\})",
             _DOUBLE,
             rf"'(?:[^'\\]++|{_ESCAPED})*+'?",
-            _REGEX_LITERAL.replace("{{", "{").replace("{space}", r"\s{0,4}"),
+            _WANTS_VALUE + _REGEX_BODY,
             r"[\p{L}_][\p{L}\p{N}_]*+[?!]?:(?!:)",
             r"::",
             rf":(?:{_DOUBLE}|[\p{{L}}_][\p{{L}}\p{{N}}_]*+[?!=]?)",

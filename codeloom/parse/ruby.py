@@ -22,7 +22,8 @@ _CONSTANT = r"(?:::)?[A-Z]\w*(?:::[A-Z]\w*)*"
 
 
 def extract(sources: DataFrame) -> DataFrame:
-    rows = tokens(sources, RUBY).select(
+    program = F.regexp_replace("content", r"(?s)(?<![^\n])__END__\r?(?:\n.*)?$", "")  # what follows is data
+    rows = tokens(sources.withColumn("content", program), RUBY).select(
         "*",
         previous("sig").alias("prev"),
         previous("trivia", 1).alias("prev_trivia"),

@@ -36,6 +36,9 @@ FILES = {
         "pub(super) async unsafe fn parent<'a>(x: &'a str) {}\nmod tests {\n    fn t() {}\n}\nmod db;\n"
         "use crate::auth;\nuse self::x::{a, b};\npub use super::foo::*;\nuse std::io as stdio;\nextern crate alloc;\n"
     ),
+    "text.tsx": "function First() { return <p>Don't</p>; }\nfunction second(s) { return /[{']/.test(s) }\nfunction third() {}\n",
+    "raw.rs": 'const A: &str = r###"}"##{"###;\npub fn middle() {}\n/* a /* { */ b */\npub fn last() {}\n',
+    "data.rb": "class Kept\nend\n__END__\nclass Data\nend\n",
     "lines.rs": "pub fn first() {}\n\npub fn third() {}\n",
     "app.rb": (
         "# A greeter class\nclass Greeter < Base\n  include Comparable, A::B\n  extend self\n  attr_accessor :a, :b\n  MAX_SIZE = 1024\n"
@@ -128,6 +131,13 @@ def test_script_imports(parsed):
     ]
 
 
+def test_nothing_is_lost_behind_odd_tokens(parsed):
+    symbols = parsed[0] if isinstance(parsed, tuple) else parsed
+    assert [s.name for s in symbols["text.tsx"]] == ["First", "second", "third"]
+    assert [s.name for s in symbols["raw.rs"]] == ["A", "middle", "last"]
+    assert [s.name for s in symbols["data.rb"]] == ["Kept"]
+
+
 def test_script_tricky(parsed):
     symbols, _ = parsed
     assert [(s.name, s.kind, s.line) for s in symbols["tricky.ts"]] == [
