@@ -141,13 +141,13 @@ def _pairs(items: str):
 
 def _flat_detail(got):
     return got.select(
-        "project", "file_path", "page", "language", F.array_join(F.transform("symbols", lambda s: s["name"]), " ").alias("names"),
+        "project", "file_path", "language", F.array_join(F.transform("symbols", lambda s: s["name"]), " ").alias("names"),
         _pairs("imports").alias("imports"), _pairs("dependents").alias("dependents"), "n_imports", "n_dependents",
     )
 
 
 _FLAT_DETAIL = (
-    "select f.project, f.file_path, 0::bigint page, f.language, f.symbol_names as names, coalesce(o.l, '') imports,"
+    "select f.project, f.file_path, f.language, f.symbol_names as names, coalesce(o.l, '') imports,"
     " coalesce(i.l, '') dependents, coalesce(o.n, 0) n_imports, coalesce(i.n, 0) n_dependents"
     " from files f left join o using (project, file_path) left join i using (project, file_path)"
 )

@@ -144,7 +144,7 @@ _VIEW_CTES = f"""rel as (select project, source_path, target_path, {_REL.format(
     + """, wanted as (select conv_id * 1000 + turn prompt_id, '/w/p' || (conv_id % 30) project, mention from mentions),
  hits as (select prompt_id, w.project, file_path from wanted w join files f on f.project = w.project and f.file_path like '%' || mention
   qualify row_number() over (partition by prompt_id, w.project, mention order by file_path) <= 3)
-select distinct prompt_id, h.project, h.file_path, 0::bigint page, concat_ws(chr(10), '### ' || r,
+select distinct prompt_id, h.project, h.file_path, concat_ws(chr(10), '### ' || r,
  case when n_in > 5 then 'Careful: ' || n_in || ' files depend on this one' end,
  case when n_sym > 0 and n_doc = 0 then 'Undocumented: all ' || n_sym || ' symbols' end,
  case when n_out > 0 then 'Imports: ' || out_list end, case when n_in > 0 then 'Used by: ' || in_list end) context
@@ -161,7 +161,7 @@ def prompt_context(spark, sf):
 @catalog.add(
     "tool_context",
     W("edges", "files", "symbols", extra=HOT + ",\n" + _VIEW_CTES)
-    + """select project, file_path, 0::bigint page, concat_ws(chr(10), '## Editing ' || r,
+    + """select project, file_path, concat_ws(chr(10), '## Editing ' || r,
  case when n_in > 5 then 'Careful: ' || n_in || ' files depend on this one' when n_in > 0 then 'Dependents: ' || n_in end,
  case when n_out > 0 then 'Imports: ' || out_list end,
  case when n_in > 0 then 'Used by: ' || in8 || case when n_in > 8 then ' + ' || (n_in - 8) || ' more' else '' end end) context
@@ -182,7 +182,7 @@ def _changed(imports):
 @catalog.add(
     "compact_context",
     W("edges", "files", "symbols", extra=HOT + ",\n" + _VIEW_CTES)
-    + """select project, file_path, 0::bigint page, concat_ws(chr(10), '### ' || r || ' (+3/-1)',
+    + """select project, file_path, concat_ws(chr(10), '### ' || r || ' (+3/-1)',
  case when n_in > 0 then 'Dependents (' || n_in || '): ' || in5 || case when n_in > 5 then ' + ' || (n_in - 5) || ' more' else '' end end,
  case when n_out > 0 then 'Imports: ' || out_list end,
  case when n_sym > 0 then 'Symbols: ' || n_sym || ' total, ' || n_pub || ' public' end) context

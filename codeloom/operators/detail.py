@@ -1,8 +1,7 @@
-"""File detail: symbols, imports and dependents of files.
+"""File detail: symbols, imports and dependents of files, one row per file.
 
-A file's neighbour lists are delivered in pages of bounded size. Nearly every file has one
-page, which then is the whole answer in one row; a file with more edges than ``PAGE`` gets
-as many rows as it needs, so no list is ever gathered whole in one task and none is cut.
+Lists are built for files that are asked about. Whoever needs only a number of dependents,
+or the first few, takes ``degree`` and ``first_neighbours``: those never gather a list.
 """
 
 from __future__ import annotations
@@ -14,58 +13,49 @@ from codeloom.functions import symbols as S
 from codeloom.operators.stats import degree
 from codeloom.session import durable_counted, spread_join
 
-PAGE = 1000
 _EMPTY_LIST = "array<struct<path:string,symbols:array<string>>>"
 
 
-def neighbour_pages(imports: DataFrame, near: str, far: str, page_size: int = PAGE) -> DataFrame:
-    """(project, file_path, page, total, items): the ``far`` ends of each file's edges, by path."""
+def neighbour_lists(imports: DataFrame, near: str, far: str) -> DataFrame:
+    """(project, file_path, total, items): the ``far`` ends of each file's edges, by path."""
     edges = imports.select("project", F.col(near).alias("file_path"), F.col(far).alias("path"), "symbols", "specifier")
-    hubs, n = durable_counted(degree(imports, near, "total").filter(F.col("total") > page_size))
-    paged = spread_join(
-        edges, hubs, ["project", "file_path"], F.concat_ws("|", "path", "specifier"), n, "left"
-    ).withColumn(
-        "page",
-        F.when(F.col("total").isNull(), F.lit(0)).otherwise(
-            F.pmod(F.xxhash64("path", "specifier"), F.ceil(F.col("total") / page_size))
-        ).cast("bigint"),
-    )
-    lists = paged.groupBy("project", "file_path", "page").agg(
-        F.coalesce(F.max("total"), F.count("*")).alias("total"),
-        F.array_sort(F.collect_list(F.struct("path", "specifier", "symbols"))).alias("items"),
+    lists = edges.groupBy("project", "file_path").agg(
+        F.count("*").alias("total"), F.array_sort(F.collect_list(F.struct("path", "specifier", "symbols"))).alias("items")
     )
     return lists.withColumn(
         "items", F.transform("items", lambda i: F.struct(i["path"].alias("path"), i["symbols"].alias("symbols")))
     )
 
 
-def file_detail(files: DataFrame, imports: DataFrame, page_size: int = PAGE) -> DataFrame:
-    """(project, file_path, page, language, symbols, imports, dependents, n_imports, n_dependents).
+def _with_imports(files: DataFrame, imports: DataFrame) -> DataFrame:
+    outgoing = neighbour_lists(imports, "source_path", "target_path").select(
+        "project", "file_path", F.col("items").alias("imports"), F.col("total").alias("n_imports")
+    )
+    known = files.select("project", "file_path", "language", F.coalesce("symbols", S.none()).alias("symbols"))
+    return (
+        known.join(outgoing, ["project", "file_path"], "left")
+        .withColumn("imports", F.coalesce("imports", F.array().cast(_EMPTY_LIST)))
+        .fillna(0, ["n_imports"])
+    )
+
+
+def file_detail(files: DataFrame, imports: DataFrame) -> DataFrame:
+    """(project, file_path, language, symbols, imports, n_imports, dependents, n_dependents).
 
     Only indexed files appear; edges of unknown files are not reported. Restrict ``files``
     (and with it the edges, see ``detail_of``) to ask about single files.
     """
-    outgoing = neighbour_pages(imports, "source_path", "target_path", page_size).select(
-        "project", "file_path", "page", F.col("items").alias("imports"), F.col("total").alias("n_imports")
-    )
-    incoming = neighbour_pages(imports, "target_path", "source_path", page_size).select(
-        "project", "file_path", "page", F.col("items").alias("dependents"), F.col("total").alias("n_dependents")
-    )
-    lists = outgoing.join(incoming, ["project", "file_path", "page"], "full_outer")
-    counts = lists.groupBy("project", "file_path").agg(
-        F.max("n_imports").alias("n_imports"), F.max("n_dependents").alias("n_dependents")
+    return _with_dependents(_with_imports(files, imports), imports)
+
+
+def _with_dependents(known: DataFrame, imports: DataFrame) -> DataFrame:
+    incoming = neighbour_lists(imports, "target_path", "source_path").select(
+        "project", "file_path", F.col("items").alias("dependents"), F.col("total").alias("n_dependents")
     )
-    known = files.select("project", "file_path", "language", "symbols").join(counts, ["project", "file_path"], "left")
-    return known.join(lists.drop("n_imports", "n_dependents"), ["project", "file_path"], "left").select(
-        "project",
-        "file_path",
-        F.coalesce("page", F.lit(0)).cast("bigint").alias("page"),
-        "language",
-        F.coalesce("symbols", S.none()).alias("symbols"),
-        F.coalesce("imports", F.array().cast(_EMPTY_LIST)).alias("imports"),
-        F.coalesce("dependents", F.array().cast(_EMPTY_LIST)).alias("dependents"),
-        F.coalesce("n_imports", F.lit(0)).alias("n_imports"),
-        F.coalesce("n_dependents", F.lit(0)).alias("n_dependents"),
+    return (
+        known.join(incoming, ["project", "file_path"], "left")
+        .withColumn("dependents", F.coalesce("dependents", F.array().cast(_EMPTY_LIST)))
+        .fillna(0, ["n_dependents"])
     )
 
 
@@ -81,15 +71,26 @@ def edges_of(imports: DataFrame, keys: tuple[DataFrame, int], near: str) -> Data
     return spread_join(imports, ends, ["project", near], F.col(far), keys[1])
 
 
-def detail_of(
-    files: DataFrame, imports: DataFrame, keys: tuple[DataFrame, int], page_size: int = PAGE
-) -> DataFrame:
+def detail_of(files: DataFrame, imports: DataFrame, keys: tuple[DataFrame, int]) -> DataFrame:
     """``file_detail`` of the ``distinct_keys``, reading only their edges."""
     chosen = spread_join(files, keys[0], ["project", "file_path"], F.col("file_path"), keys[1])
-    columns = ["project", "source_path", "target_path", "specifier", "symbols"]
-    outgoing = edges_of(imports, keys, "source_path").select(*columns)
-    incoming = edges_of(imports, keys, "target_path").select(*columns)
-    return file_detail(chosen, outgoing.unionByName(incoming).distinct(), page_size)
+    return _with_dependents(_with_imports(chosen, edges_of(imports, keys, "source_path")), edges_of(imports, keys, "target_path"))
+
+
+def outline_of(files: DataFrame, imports: DataFrame, keys: tuple[DataFrame, int], cap: int) -> DataFrame:
+    """The ``distinct_keys`` with their imports, the number of dependents and the first ``cap`` of them by path.
+
+    Result: (project, file_path, language, symbols, imports, n_imports, n_dependents, first_dependents).
+    """
+    chosen = spread_join(files, keys[0], ["project", "file_path"], F.col("file_path"), keys[1])
+    incoming = edges_of(imports, keys, "target_path")
+    few = first_neighbours(incoming, "target_path", "source_path", cap, "first_dependents")
+    return (
+        _with_imports(chosen, edges_of(imports, keys, "source_path"))
+        .join(degree(incoming, "target_path", "n_dependents"), ["project", "file_path"], "left")
+        .fillna(0, ["n_dependents"])
+        .join(few, ["project", "file_path"], "left")
+    )
 
 
 def first_neighbours(imports: DataFrame, near: str, far: str, cap: int, name: str) -> DataFrame:

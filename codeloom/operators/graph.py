@@ -143,8 +143,8 @@ def walk_import_graph(
     )
 
 
-def reach(imports: DataFrame, starts: DataFrame, max_hops: int, backwards: bool = True) -> DataFrame:
-    """All files within ``max_hops`` directed hops of each start, with their distance.
+def reach(imports: DataFrame, starts: DataFrame, max_hops: int | None, backwards: bool = True) -> DataFrame:
+    """All files within ``max_hops`` directed hops of each start (None: any number), with their distance.
 
     ``starts`` is (walk, project, path). Backwards follows importers. The starting file is
     included at distance 0.
@@ -154,9 +154,9 @@ def reach(imports: DataFrame, starts: DataFrame, max_hops: int, backwards: bool
         starts.select("walk", "project", F.col("path").alias("node"), F.lit(0).cast("bigint").alias("depth")).distinct()
     )
     visited, total = level, rows
-    for depth in range(1, max_hops + 1):
-        if rows == 0:
-            break
+    depth = 0
+    while rows and (max_hops is None or depth < max_hops):
+        depth += 1
         frontier = level.select("walk", "project", F.col("node").alias("at"))
         found = _hop(imports, frontier, rows, near, far).select("walk", "project", "node").distinct()
         level, rows = durable_counted(
@@ -175,15 +175,15 @@ def risk_band(direct, transitive, in_cycle):
     )
 
 
-def blast_radius(imports: DataFrame, starts: DataFrame, hops: int = 5, cycle_nodes: int = 20) -> DataFrame:
+def blast_radius(imports: DataFrame, starts: DataFrame, hops: int = 5) -> DataFrame:
     """Change impact of each start: direct and transitive dependents, cycle membership, risk.
 
-    ``starts`` is (walk, project, path). Importers are followed backwards. A start lies on a
-    cycle of at most ``cycle_nodes`` files when one of its own imports reaches it again
-    within ``cycle_nodes - 1`` hops, so one backward search answers both questions.
+    ``starts`` is (walk, project, path). Importers are followed backwards until none is new. A
+    start lies on a cycle, of whatever length, when one of its own imports is among those that
+    reach it, so one backward search answers both questions; ``hops`` bounds the counts.
     """
     starts, rows = durable_counted(starts.select("walk", "project", "path").distinct())
-    reached = reach(imports, starts, max(hops, cycle_nodes - 1))
+    reached = reach(imports, starts, None)
     counts = reached.groupBy("walk").agg(
         F.count_if(F.col("depth") == 1).alias("direct_dependents"),
         F.count_if(F.col("depth").between(1, hops)).alias("transitive_dependents"),
@@ -193,7 +193,7 @@ def blast_radius(imports: DataFrame, starts: DataFrame, hops: int = 5, cycle_nod
     on_cycle = (
         own_imports.select("walk", "project", "node")
         .distinct()
-        .join(reached.filter(F.col("depth").between(1, cycle_nodes - 1)), ["walk", "project", "node"], "left_semi")
+        .join(reached.filter(F.col("depth") > 0), ["walk", "project", "node"], "left_semi")
         .select("walk")
         .distinct()
         .withColumn("in_cycle", F.lit(True))

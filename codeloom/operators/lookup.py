@@ -29,8 +29,9 @@ def importers_of(imports: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def file_symbols(files: DataFrame, project: str, file_path: str) -> DataFrame:
-    row = files.filter((F.col("project") == project) & (F.col("file_path") == file_path)).limit(1)
-    return row.select(F.coalesce("symbols", S.none()).alias("symbols"))
+    """One row; an unknown file has no symbols."""
+    row = files.filter((F.col("project") == project) & (F.col("file_path") == file_path))
+    return row.agg(F.coalesce(F.first("symbols", ignorenulls=True), S.none()).alias("symbols"))
 
 
 def file_hash(files: DataFrame, project: str, file_path: str) -> DataFrame:

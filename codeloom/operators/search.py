@@ -104,17 +104,11 @@ def search(
 def postings(corpus: DataFrame, text: str, keys: list[str]) -> DataFrame:
     """Inverted index rows (token, keys…, tf, dl), ready to be written ordered by token.
 
-    Counting happens inside each row, so no shuffle is needed to build it.
+    Tokens are counted by text and token, with partial counts before the shuffle.
     """
     tokens = corpus.select(*keys, analyze(F.col(text)).alias("_tokens"))
-    distinct = tokens.select(*keys, "_tokens", F.size("_tokens").cast("bigint").alias("dl"),
-                             F.explode(F.array_distinct("_tokens")).alias("token"))
-    return distinct.select(
-        "token",
-        *keys,
-        F.size(F.expr("filter(_tokens, t -> t = token)")).cast("bigint").alias("tf"),
-        "dl",
-    )
+    each = tokens.select(*keys, F.size("_tokens").cast("bigint").alias("dl"), F.explode("_tokens").alias("token"))
+    return each.groupBy("token", *keys, "dl").agg(F.count("*").alias("tf")).select("token", *keys, "tf", "dl")
 
 
 def search_postings(

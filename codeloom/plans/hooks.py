@@ -22,8 +22,7 @@ EVENTS = {
 
 
 def _texts(df: DataFrame, column: str = "context") -> list[str]:
-    order = [c for c in ("file_path", "page") if c in df.columns]
-    ordered = df.orderBy(*order) if order else df
+    ordered = df.orderBy("file_path") if "file_path" in df.columns else df
     return [row[0] for row in ordered.select(column).toLocalIterator()]
 
 

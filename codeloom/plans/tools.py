@@ -100,8 +100,8 @@ class Toolbox:
     ) -> DataFrame:
         """Walk the import graph from paths or search terms: path, reason, depth, symbols."""
         store = self._need_store()
-        depth = min(max(max_depth or DEFAULT_MAX_DEPTH, 1), 5)
-        results = min(max(max_results or DEFAULT_MAX_RESULTS, 1), 50)
+        depth = DEFAULT_MAX_DEPTH if max_depth is None else max_depth
+        results = DEFAULT_MAX_RESULTS if max_results is None else max_results
         entries = graph.entry_frame(self.spark, project, [])
         for k, entry in enumerate(entry_points):
             if entry.startswith("/"):
@@ -150,12 +150,12 @@ class Toolbox:
         )
 
     def get_file_info(self, project: str, file_path: str) -> DataFrame:
-        """One row (several pages for a file with thousands of edges), none if unknown."""
+        """One row, none if the file is unknown."""
         store = self._need_store()
         here = F.col("project") == project
         keys = detail.distinct_keys(self.spark.createDataFrame([(project, file_path)], "project string, file_path string"))
         found = detail.detail_of(store.files().filter(here), store.imports().filter(here), keys)
-        return found.orderBy("page").select(
+        return found.select(
             F.col("file_path").alias("filePath"),
             _relative().alias("relativePath"),
             "language",

@@ -1,7 +1,6 @@
 """Context texts about files, for editors and assistants.
 
-Each view is a DataFrame (project, file_path, page, context). Files whose neighbour lists
-span several pages yield one row per page; every other file has one row, page 0.
+Each view is a DataFrame (project, file_path, context) with one row per file.
 """
 
 from __future__ import annotations
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 from codeloom.functions import symbols as S
 from codeloom.functions.paths import absolute_path, relative_path
 from codeloom.functions.text import capped_list, file_mentions
-from codeloom.operators.detail import detail_of, distinct_keys, edges_of, first_neighbours
+from codeloom.operators.detail import detail_of, distinct_keys, edges_of, outline_of
 from codeloom.operators.lookup import suffix_matches
 from codeloom.operators.stats import degree
 from codeloom.schema import COMPACT_LIST_CAP, HIGH_FAN_IN, TOOL_LIST_CAP
@@ -40,7 +39,7 @@ def _has_anything() -> Column:
 
 
 def prompt_context(files: DataFrame, imports: DataFrame, prompts: DataFrame) -> DataFrame:
-    """Facts about files mentioned in prompts: (prompt_id, project, file_path, page, context).
+    """Facts about files mentioned in prompts: (prompt_id, project, file_path, context).
 
     ``prompts`` is (prompt_id, project, prompt). A mention names up to three files by path
     suffix. Files without imports, dependents and symbols are left out.
@@ -55,7 +54,7 @@ def prompt_context(files: DataFrame, imports: DataFrame, prompts: DataFrame) ->
         .select("prompt_id", "project", "file_path")
         .distinct()
         .join(text, _KEY)
-        .select("prompt_id", "project", "file_path", "page", "context")
+        .select("prompt_id", "project", "file_path", "context")
     )
 
 
@@ -72,7 +71,7 @@ def _prompt_texts(detail: DataFrame) -> DataFrame:
         F.when(F.size("imports") > 0, F.concat(F.lit("Imports: "), _names(F.col("imports")))),
         F.when(F.size("dependents") > 0, F.concat(F.lit("Used by: "), _names(F.col("dependents")))),
     )
-    return detail.filter(_has_anything()).select(*_KEY, "page", context.alias("context"))
+    return detail.filter(_has_anything()).select(*_KEY, context.alias("context"))
 
 
 def tool_context(files: DataFrame, imports: DataFrame, touched: DataFrame, action: str) -> DataFrame:
@@ -80,11 +79,7 @@ def tool_context(files: DataFrame, imports: DataFrame, touched: DataFrame, actio
 
     Dependents are listed up to eight; a file with symbols only has nothing to show.
     """
-    keys = distinct_keys(touched)
-    detail = detail_of(files, imports, keys)
-    few = first_neighbours(
-        edges_of(imports, keys, "target_path"), "target_path", "source_path", TOOL_LIST_CAP, "first_dependents"
-    )
+    detail = outline_of(files, imports, distinct_keys(touched), TOOL_LIST_CAP)
     n = F.col("n_dependents")
     context = F.concat_ws(
         "\n",
@@ -95,11 +90,7 @@ def tool_context(files: DataFrame, imports: DataFrame, touched: DataFrame, actio
             n > 0, F.concat(F.lit("Used by: "), capped_list(_short(F.col("first_dependents")), n, TOOL_LIST_CAP))
         ),
     )
-    return (
-        detail.filter((F.col("n_imports") > 0) | (n > 0))
-        .join(few, _KEY, "left")
-        .select(*_KEY, "page", context.alias("context"))
-    )
+    return detail.filter((F.col("n_imports") > 0) | (n > 0)).select(*_KEY, context.alias("context"))
 
 
 def post_edit_lines(imports: DataFrame, files: DataFrame, changed: DataFrame) -> DataFrame:
@@ -123,11 +114,7 @@ def post_edit_lines(imports: DataFrame, files: DataFrame, changed: DataFrame) ->
 def compact_context(files: DataFrame, imports: DataFrame, changed: DataFrame) -> DataFrame:
     """Short structural summary of changed files, kept across a conversation reset."""
     located = changed.withColumn("file_path", absolute_path(F.col("file"), F.col("project")))
-    keys = distinct_keys(located)
-    detail = detail_of(files, imports, keys)
-    few = first_neighbours(
-        edges_of(imports, keys, "target_path"), "target_path", "source_path", COMPACT_LIST_CAP, "first_dependents"
-    )
+    detail = outline_of(files, imports, distinct_keys(located), COMPACT_LIST_CAP)
     n, symbols = F.col("n_dependents"), F.col("symbols")
     context = F.concat_ws(
         "\n",
@@ -144,11 +131,7 @@ def compact_context(files: DataFrame, imports: DataFrame, changed: DataFrame) ->
             F.format_string("Symbols: %d total, %d public", S.total(symbols), S.public_count(symbols)),
         ),
     )
-    return (
-        detail.join(few, _KEY, "left")
-        .join(located.select(*_KEY, "added", "removed"), _KEY)
-        .select(*_KEY, "page", context.alias("context"))
-    )
+    return detail.join(located.select(*_KEY, "added", "removed"), _KEY).select(*_KEY, context.alias("context"))
 
 
 def session_context(files: DataFrame, imports: DataFrame, projects: DataFrame) -> DataFrame:

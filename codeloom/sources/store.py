@@ -26,27 +26,53 @@ class CodeStore:
     swapped in with a dynamic partition overwrite, so readers see a partition before or
     after the change. One bucket suits many small projects; raise ``buckets`` when a single
     project holds much of the data, so that a small change stays a small rewrite. The
-    number belongs to the stored tables: always open them with the one they were made with.
+    number is stored with the tables and read when they are opened; asking for another one
+    is an error.
     """
 
     def __init__(
-        self, spark: SparkSession, database: str = "codeloom", location: str | None = None, buckets: int = 1
+        self, spark: SparkSession, database: str = "codeloom", location: str | None = None, buckets: int | None = None
     ):
-        self.spark, self.database, self.location, self.buckets = spark, database, location, buckets
+        self.spark, self.database, self.location = spark, database, location
+        stored = self._stored_buckets()
+        if None not in (stored, buckets) and stored != buckets:
+            raise ValueError(f"{database} has {stored} buckets, not {buckets}")
+        self.buckets = stored or buckets or 1
         self.init_schema()
 
+    def _stored_buckets(self) -> int | None:
+        """The number of buckets that the tables were made with, as the catalog or their place says."""
+        if self.spark.catalog.tableExists(f"{self.database}.code_file"):
+            properties = self.spark.sql(f"SHOW TBLPROPERTIES {self.database}.code_file").collect()
+            found = {r["key"]: r["value"] for r in properties}.get("codeloom.buckets")
+            return int(found) if found else None
+        if self.location:
+            jvm = self.spark.sparkContext._jvm
+            marks = jvm.org.apache.hadoop.fs.Path(f"{self.location}/_buckets=*")
+            held = marks.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(marks)
+            if held:
+                return int(held[0].getPath().getName().partition("=")[2])
+        return None
+
+    def _mark_buckets(self) -> None:
+        if self.location:
+            mark = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.location}/_buckets={self.buckets}")
+            mark.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(mark)
+
     def init_schema(self) -> None:
         """Create what is missing; running it again changes nothing."""
         place = f" LOCATION '{self.location}'" if self.location else ""
         self.spark.sql(f"CREATE DATABASE IF NOT EXISTS {self.database}{place}")
         for name, schema in _TABLES.items():
+            known = self.spark.catalog.tableExists(f"{self.database}.{name}")
             columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema)
             at = f" LOCATION '{self.location}/{name}'" if self.location else ""
             self.spark.sql(
                 f"CREATE TABLE IF NOT EXISTS {self.database}.{name} ({columns}, bucket int)"
-                f" USING parquet PARTITIONED BY (project, bucket){at}"
+                f" USING parquet PARTITIONED BY (project, bucket){at} TBLPROPERTIES ('codeloom.buckets' = '{self.buckets}')"
             )
-            if self.location:
+            if self.location and not known:
+                self._mark_buckets()
                 # An empty append makes the folder; the repair finds partitions written by other sessions.
                 self._placed(name, self.spark.createDataFrame([], schema)).write.insertInto(f"{self.database}.{name}")
                 self.spark.sql(f"MSCK REPAIR TABLE {self.database}.{name}")

@@ -125,20 +125,19 @@ def test_blast_radius(spark, joins):
         assert r.risk == band
 
 
-def test_detail_pages_hold_everything(spark, joins):
-    # One hub takes most edges; pages of three keep every list short and lose nothing.
+def test_detail_of_a_hub(spark, joins):
     edges = [(f"/p/{k:03}", "/p/hub") for k in range(50)] + [("/p/hub", "/p/001"), ("/p/002", "/p/003")]
     files = spark.createDataFrame(
         [("p", f, "typescript", None) for f in ("/p/hub", "/p/001", "/p/alone")],
         "project string, file_path string, language string, symbols array<struct<name:string,kind:string,signature:string,doc_comment:string,visibility:string,line:int>>",
     )
-    rows = detail.file_detail(files, frame(spark, edges), page_size=3).collect()
-    hub = [r for r in rows if r.file_path == "/p/hub"]
-    assert len(hub) > 10 and {r.n_dependents for r in hub} == {50}
-    assert sorted(d.path for r in hub for d in r.dependents) == [f"/p/{k:03}" for k in range(50)]
-    assert [i.path for r in hub for i in r.imports] == ["/p/001"]
+    rows = detail.file_detail(files, frame(spark, edges)).collect()
+    (hub,) = [r for r in rows if r.file_path == "/p/hub"]
+    assert hub.n_dependents == 50
+    assert [d.path for d in hub.dependents] == [f"/p/{k:03}" for k in range(50)]
+    assert [i.path for i in hub.imports] == ["/p/001"]
     alone = [r for r in rows if r.file_path == "/p/alone"]
-    assert [(r.page, r.imports, r.dependents, r.symbols) for r in alone] == [(0, [], [], [])]
+    assert [(r.imports, r.dependents, r.symbols) for r in alone] == [([], [], [])]
     assert {r.file_path for r in rows} == {"/p/hub", "/p/001", "/p/alone"}
     keys = detail.distinct_keys(files.filter("file_path = '/p/001'"))
     one = detail.detail_of(files, frame(spark, edges), keys).collect()
