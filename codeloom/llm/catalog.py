@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.catalog import Catalog
-from codeloom.llm import bpe, decontaminate, jaccard_join, language_id, quality, sharding, substring_dedup, token_counts, url_filter, warc
+from codeloom.llm import bpe, decontaminate, jaccard_join, language_id, oracles, quality, sharding, substring_dedup, token_counts, url_filter, warc
 from codeloom.llm.common import scratch, stored
 
 catalog = Catalog()
@@ -36,7 +36,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, prototypes).select("doc_id", out.alias("held_out"), "lang_pred", "score")
 
 
-@catalog.add("op3_warc")
+@catalog.add("op3_warc", oracles.WARC)
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     with scratch(spark) as folder:
         warc.write_archives(table(spark, sf_dir, "pages"), folder + "/archives")
@@ -55,7 +55,7 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents").select("doc_id"), SHARDS)
 
 
-@catalog.add("op6_decontaminate")
+@catalog.add("op6_decontaminate", oracles.DECONTAMINATE)
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -69,12 +69,12 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict", "score")
 
 
-@catalog.add("op8_jaccard_join")
+@catalog.add("op8_jaccard_join", oracles.JACCARD)
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_groups(table(spark, sf_dir, "documents"), words=3, percent=90)
 
 
-@catalog.add("op9_substring_dedup")
+@catalog.add("op9_substring_dedup", oracles.SUBSTRINGS)
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))

@@ -14,7 +14,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.session import durable
+from codeloom.session import durable, shared_folder
 
 # Rows that a Python task holds as Python objects at a time.
 SLICE_ROWS = 256
@@ -74,10 +74,7 @@ def stored(df: DataFrame) -> DataFrame:
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[str]:
     """A new folder beside the checkpoints, which executors share, removed at the end."""
-    root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    path = f"{root.rstrip('/')}/codeloom-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/codeloom-{uuid.uuid4().hex}"
     try:
         yield path
     finally:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from codeloom.catalog import Catalog
 from codeloom.llm import bpe, decontaminate, jaccard_join, language_id, substring_dedup
+from codeloom.session import shared_folder
 
 # Near-copies: shingles of five words, similarity of 0.8 or more.
 SHINGLE_WORDS = 5
@@ -59,9 +60,8 @@ catalog = Catalog()
 @catalog.add("pipeline", ORACLE_SQL)
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each one's result is written to the shared checkpoint folder and read again."""
-    root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{root.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
