@@ -42,6 +42,7 @@ class PrefixCounter:
         self._starts = {body[:i] for body in (*self.merges.inner, *self.merges.final) for i in range(1, len(body))}
         self._rows: dict[bytes, dict] = {b"": {}}
         self._of_word = Recent(REMEMBERED)
+        self._tables = Recent(REMEMBERED // 10)
         self._of_chunk = Recent(REMEMBERED)
 
     def _compile(self, row: dict, byte: int) -> tuple[dict, list, list]:
@@ -62,7 +63,7 @@ class PrefixCounter:
 
     def word(self, word: str) -> tuple[int, ...]:
         """Tokens of every prefix of a word, by code points: of the first one, the first two, ..., all."""
-        known = self._of_word[word]
+        known = self._tables[word]
         if known is not None:
             return known
         if word[0] == "'" and len(word) > 2 and word[1].isalpha():  # a shorter prefix is two words
@@ -73,9 +74,39 @@ class PrefixCounter:
             table = self._table(data)
             counts = tuple(table) if len(data) == len(word) else tuple(table[i] for i in _ends(data))
         if len(word) <= 64:
-            self._of_word.keep(word, counts)
+            self._tables.keep(word, counts)
         return counts
 
+    def word_total(self, word: str) -> int:
+        """Tokens of a whole word: the table of prefixes that go on, then one step that ends."""
+        known = self._of_word[word]
+        if known is not None:
+            return known
+        data, compatible = word.encode(), self.merges.compatible
+        row, last, count = self._rows[b""], [-1], [0]
+        for byte in data[:-1]:
+            row, inner, _ = row.get(byte) or self._compile(row, byte)
+            token, width = inner[-1]  # exactly one token closes, so no test is due for the last
+            if len(inner) > 1:
+                for other, wide in inner[:-1]:
+                    before = last[-wide]
+                    if before < 0 or compatible(before, other):
+                        token, width = other, wide
+                        break
+            count.append(count[-width] + 1)
+            last.append(token)
+        _, _, final = row.get(data[-1]) or self._compile(row, data[-1])
+        width = final[-1][1]
+        for other, wide in final[:-1]:
+            before = last[-wide]
+            if before < 0 or compatible(before, other):
+                width = wide
+                break
+        total = count[-width] + 1
+        if len(word) <= 64:
+            self._of_word.keep(word, total)
+        return total
+
     def _table(self, data: bytes) -> list[int]:
         compatible = self.merges.compatible
         row = self._rows[b""]
@@ -115,12 +146,12 @@ class PrefixCounter:
                 total += 1
                 continue
             if _CONTROL.search(run):  # Python takes these for white space, the pattern does not
-                total += sum(self.word(w)[-1] for w in self.words.findall(run))
+                total += sum(map(self.word_total, self.words.findall(run)))
                 continue
             for chunk in run.split():
                 n = known[chunk]
                 if n is None:
-                    n = sum(self.word(w)[-1] for w in self.words.findall(chunk))
+                    n = sum(map(self.word_total, self.words.findall(chunk)))
                     if len(chunk) <= 64:
                         known.keep(chunk, n)
                 total += n
