@@ -205,6 +205,53 @@ def relative_paths(spark, sf):
     )
 
 
+_HUB = "/src/m6/f6.ts"
+
+
+@catalog.add(
+    "file_detail_hub",
+    W("edges", "files")
+    + f"""select project, project || '{_HUB}' file_path, count(*) n_dependents,
+ string_agg(source_path || ':' || sym, ',' order by source_path, specifier) dependents
+ from edges where (project, project || '{_HUB}') in (select (project, file_path) from files) group by project""",
+)
+def file_detail_hub(spark, sf):
+    """All edges of a project bent to one file: a list far longer than any other, in path order."""
+    bent = fx.imports(spark, sf).withColumn("target_path", F.concat("project", F.lit(_HUB)))
+    hubs = fx.files(spark, sf).filter(F.col("file_path") == F.concat("project", F.lit(_HUB)))
+    got = detail.detail_of(hubs, bent, detail.distinct_keys(hubs)).filter("n_dependents > 0")
+    return got.select("project", "file_path", "n_dependents", _pairs("dependents").alias("dependents"))
+
+
+# A file that is there and one that is not.
+_ASKED_FILES = [("/w/p0", "/w/p0/src/m6/f6.ts"), ("/w/p0", "/w/p0/src/none.ts")]
+
+
+def _asked(select: str) -> str:
+    return " union all ".join(
+        f"select '{path}' asked, {select} from files where project = '{project}' and file_path = '{path}'" for project, path in _ASKED_FILES
+    )
+
+
+@catalog.add("file_symbols", W("files") + _asked("coalesce(max(symbol_names), '') as names"))
+def file_symbols(spark, sf):
+    files = fx.files(spark, sf)
+    parts = [
+        lookup.file_symbols(files, project, path).select(
+            F.lit(path).alias("asked"), F.array_join(F.transform("symbols", lambda s: s["name"]), " ").alias("names")
+        )
+        for project, path in _ASKED_FILES
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+@catalog.add("file_hash", W("files") + _asked("content_hash"))
+def file_hash(spark, sf):
+    files = fx.files(spark, sf)
+    parts = [lookup.file_hash(files, project, path).select(F.lit(path).alias("asked"), "content_hash") for project, path in _ASKED_FILES]
+    return parts[0].unionByName(parts[1])
+
+
 _URLS = "select page_id, case page_id % 4 when 0 then url || '.ts' when 1 then url || '/.rs' when 2 then url || '/.x.rb' else url || '.md' end path from pages"
 
 

@@ -27,7 +27,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.llm.common import BROADCAST_BYTES, LOWER_ASCII, arrow_map, hot_split_join, scratch, slices, stored
@@ -296,6 +296,8 @@ class JaccardJoin:
     def _sides(self, pairs: DataFrame, left: str, right: str) -> DataFrame:
         """Documents of pairs replaced by their kinds, screened by size and sketch; distinct ``a < b``."""
         kinds = _fitting(self.kinds, self.total, 64)
+        if self.total * 64 > BROADCAST_BYTES:
+            pairs = pairs.distinct()
         for side, name in (("1", left), ("2", right)):
             pairs = pairs.join(kinds.select(F.col("doc").alias(name), F.col("kind").alias("k" + side), F.col("n").alias("n" + side)), name)
         near = pairs.where((F.col("k1") != F.col("k2")) & (100 * F.least("n1", "n2") >= self.percent * F.greatest("n1", "n2")))
@@ -321,7 +323,7 @@ class JaccardJoin:
         """``doc``, ``n`` and ``component`` (smallest linked document) of every row with features."""
         with scratch(self.spark) as folder:
             stars = self._stars(folder + "/stars")
-            links = self.verified(self._sides(stars.select("hub", "doc").distinct(), "hub", "doc"))
+            links = self.verified(self._sides(stars.select("hub", "doc"), "hub", "doc"))
             first = components(links)
             joined = self.kinds.join(first.withColumnRenamed("node", "kind"), "kind", "left")
             members = stored(joined.select("doc", "kind", "n", F.coalesce("component", "kind").alias("comp")))
@@ -336,10 +338,12 @@ class JaccardJoin:
         """Screened pairs of different components within one signature that were not compared with its smallest."""
         known = _fitting(members.select("doc", "comp").distinct(), self.total, 40)
         of = stars.join(known, "doc").join(known.select(F.col("doc").alias("hub"), F.col("comp").alias("hub_comp")), "hub")
-        open_sigs = of.groupBy("sig", "hub").agg(F.count(F.lit(1)).alias("more"), F.bool_or(F.col("comp") != F.col("hub_comp")).alias("split"))
-        open_sigs = open_sigs.where("split and more > 1").select("sig", "hub", F.ceil((F.col("more") + 1) / BLOCK).cast("int").alias("blocks"))
-        rows = stars.join(open_sigs, ["sig", "hub"]).select("sig", "doc", "blocks")
-        rows = rows.unionByName(open_sigs.select("sig", F.col("hub").alias("doc"), "blocks"))
+        of = of.select("sig", "hub", "doc", (F.col("comp") != F.col("hub_comp")).alias("far"))
+        group = Window.partitionBy("sig", "hub")
+        rows = of.withColumns({"more": F.count(F.lit(1)).over(group), "split": F.max("far").over(group)}).where("split and more > 1")
+        rows = rows.select("sig", "hub", "doc", F.ceil((F.col("more") + 1) / BLOCK).cast("int").alias("blocks"))
+        hubs = rows.groupBy("sig", "hub").agg(F.first("blocks").alias("blocks")).select("sig", F.col("hub").alias("doc"), "blocks")
+        rows = rows.select("sig", "doc", "blocks").unionByName(hubs)
         own = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
         rows = rows.withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
         rows = rows.select("sig", "doc", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), (F.col("own") > F.col("other")).cast("int").alias("side"))
