@@ -30,13 +30,13 @@ MOST_REPEATED = 50  # percent of words
 # What each rule looks at: a ratio, the bound from which it votes bad, the bound from which it votes good.
 RULES: dict[str, tuple[str, float, float]] = {
     "length": ("n_words / 1.0", 30, 80),
-    "short_words": ("word_chars / n_words", 2.5, 3.5),
-    "long_words": ("word_chars / n_words", 14, 10),
-    "symbols_by_word": ("n_symbols / n_words", 0.2, 0.05),
-    "symbols_by_char": ("n_symbols / word_chars", 0.03, 0.01),
-    "other_marks": ("(word_chars - n_letters) / word_chars", 0.1, 0.05),
+    "short_words": ("word_chars / greatest(n_words, 1)", 2.5, 3.5),
+    "long_words": ("word_chars / greatest(n_words, 1)", 14, 10),
+    "symbols_by_word": ("n_symbols / greatest(n_words, 1)", 0.2, 0.05),
+    "symbols_by_char": ("n_symbols / greatest(word_chars, 1)", 0.03, 0.01),
+    "other_marks": ("(word_chars - n_letters) / greatest(word_chars, 1)", 0.1, 0.05),
     "dup_lines": ("n_dup_lines / greatest(n_lines, 1)", 0.3, 0.1),
-    "repeats": ("n_repeat_words / n_words", 0.3, 0.1),
+    "repeats": ("n_repeat_words / greatest(n_words, 1)", 0.3, 0.1),
     "capitals": ("n_upper / greatest(n_letters, 1)", 0.5, 0.2),
 }
 FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters"]

@@ -244,6 +244,7 @@ def repeated_runs(texts: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     marked = kept.join(F.broadcast(large) if listed else large, "prefix", "left")
 
     def with_text(rows: DataFrame) -> DataFrame:
+        # All columns stay, keys are never null: so Spark shuffles the texts once for this and for the final cut.
         places = rows.groupBy("doc", "mark").agg(F.collect_list("place").alias("places"))
         return texts.join(places, ["doc", "mark"])
 
@@ -257,11 +258,12 @@ def repeated_runs(texts: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     )
     if large.isEmpty():
         return runs
-    windows = arrow_map(with_text(marked.where("large")), _window_task, "h1 bigint, h2 bigint, doc bigint, mark int, start bigint")
-    windows = stored(windows)
+    lengthened = marked.where("large")
+    windows = arrow_map(with_text(lengthened), _window_task, "h1 bigint, h2 bigint, doc bigint, mark int, start bigint")
     by_window = windows.groupBy("h1", "h2").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.count(F.lit(1)).alias("n"))
     by_window = by_window.where("least < most").drop("most")
-    again = hot_split_join(windows, by_window, ["h1", "h2"], "n", windows.count()).where("doc > least")
+    count = lengthened.selectExpr("sum(place % 64)").first()[0] or 0
+    again = hot_split_join(windows, by_window, ["h1", "h2"], "n", count).where("doc > least")
     return runs.unionByName(again.select("doc", "mark", F.col("start").alias("first"), F.col("start").alias("last")))
 
 
@@ -307,7 +309,7 @@ def remove_repeats(
     texts = docs.select(
         *[F.col(f"`{c}`").alias(n) for c, n in named.items()],
         F.coalesce(F.col(f"`{key}`").cast("bigint"), F.lit(_NO_ID)).alias("doc"),
-        F.pmod(F.xxhash64(f"`{text}`"), F.lit(1 << 31)).cast("int").alias("mark"),
+        F.coalesce(F.pmod(F.xxhash64(f"`{text}`"), F.lit(1 << 31)).cast("int"), F.lit(0)).alias("mark"),
         F.col(f"`{text}`").alias("text"),
     )
     runs = repeated_runs(texts, group_rows).groupBy("doc", "mark").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
