@@ -26,6 +26,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,7 +35,7 @@ from codeloom.llm.common import BROADCAST_BYTES, LOWER_ASCII, arrow_map, hot_spl
 from codeloom.llm.components import components
 
 POOR = 1
-# Words of 64 bits in a parity sketch.
+# Words of 64 bits in the smallest parity sketch.
 SKETCH = 16
 # Members of one signature that are compared with each other in one task.
 BLOCK = 2048
@@ -119,13 +120,20 @@ def _sums(part: np.ndarray, value: np.ndarray, parts: int) -> np.ndarray:
     return low + (high << np.uint64(32))
 
 
-def sketch(features: np.ndarray) -> np.ndarray:
-    """Parity, for each of ``64 * SKETCH`` bits, of the number of features that fall on it."""
-    odd = np.bincount((features >> np.uint64(40)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH) & 1
+def sketch(features: np.ndarray, percent: int) -> np.ndarray:
+    """Parity, for each bit, of the number of features that fall on it.
+
+    The bits are four times as many as the differences that similar sets of this size may have,
+    rounded up to a power of two. A sketch of twice the length folds onto one half by XOR.
+    """
+    words = SKETCH
+    while 64 * words * (100 + percent) < 8 * len(features) * (100 - percent):
+        words *= 2
+    odd = np.bincount((features >> np.uint64(20)).astype(np.int64) % (64 * words), minlength=64 * words) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def _profile_task(words: int):
+def _profile_task(words: int, percent: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sizes, one, two, sketches = [], [], [], []
@@ -134,7 +142,7 @@ def _profile_task(words: int):
                 sizes.append(len(s))
                 one.append(int(s.sum(dtype=np.uint64).astype(np.int64)))
                 two.append(int(_mixed(s, 0xE7037ED1A0B428DB).sum(dtype=np.uint64).astype(np.int64)))
-                sketches.append(sketch(s))
+                sketches.append(sketch(s, percent))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc"), pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(sketches, pa.list_(pa.int64()))],
                 names=["doc", "n", "s1", "s2", "sketch"],
@@ -201,9 +209,12 @@ def _block_task(percent: int):
         two = side.any() and not side.all()
         for start in range(0, len(kind), 256):
             part = slice(start, start + 256)
-            differ = np.zeros((len(kind[part]), len(kind)), np.uint16)
-            for w in range(SKETCH):
-                differ += np.bitwise_count(bits[part, w, None] ^ bits[None, :, w])
+            if bits[part].size * len(kind) <= 1 << 21:
+                differ = np.bitwise_count(bits[part, None] ^ bits[None]).sum(2, dtype=np.int64)
+            else:
+                differ = np.zeros((len(kind[part]), len(kind)), np.int64)
+                for w in range(bits.shape[1]):
+                    differ += np.bitwise_count(bits[part, w, None] ^ bits[None, :, w])
             sizes = n[part, None] + n[None, :]
             fits = (differ * (100 + percent) <= sizes * (100 - percent)) & (comp[part, None] != comp[None, :])
             fits &= 100 * np.minimum(n[part, None], n[None, :]) >= percent * np.maximum(n[part, None], n[None, :])
@@ -222,10 +233,13 @@ def _block_task(percent: int):
             starts = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(0)]))
             columns = {c: table.column(c).to_numpy() for c in ("kind", "comp", "n", "side")}
             lists = table.column("sketch").combine_chunks()
-            columns["sketch"] = lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, SKETCH).view(np.uint64)
+            values = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])
             for start, end in zip(starts, np.append(starts[1:], table.num_rows), strict=True):
                 if end - start > 2:
-                    for a, b in pairs({c: v[start:end] for c, v in columns.items()}):
+                    group = {c: v[start:end] for c, v in columns.items()}
+                    group["sketch"] = _folded(values, ends[start : end + 1])
+                    for a, b in pairs(group):
                         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         last = None
@@ -258,6 +272,21 @@ def _block_task(percent: int):
     return task
 
 
+def _folded(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Sketches of one group, each folded to the length of the shortest."""
+    lengths = np.diff(ends)
+    least = int(lengths.min())
+    if (lengths == least).all():
+        return values[ends[0] : ends[-1]].reshape(-1, least)
+    return np.stack([np.bitwise_xor.reduce(values[i:j].reshape(-1, least), axis=0) for i, j in zip(ends[:-1], ends[1:], strict=True)])
+
+
+def _half(bits: Column) -> Column:
+    """A sketch folded to half its length."""
+    size = (F.size(bits) / 2).cast("int")
+    return F.zip_with(F.slice(bits, F.lit(1), size), F.slice(bits, size + 1, size), lambda x, y: x.bitwiseXOR(y))
+
+
 def _set_task(words: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -278,13 +307,14 @@ class JaccardJoin:
     def __init__(self, docs: DataFrame, words: int, percent: int) -> None:
         self.docs, self.words, self.percent = docs, words, percent
         self.spark = docs.sparkSession
-        profile = stored(arrow_map(docs, _profile_task(words), "doc bigint, n bigint, s1 bigint, s2 bigint, sketch array<bigint>"))
+        profile = stored(arrow_map(docs, _profile_task(words, percent), "doc bigint, n bigint, s1 bigint, s2 bigint, sketch array<bigint>"))
         self.profile = profile
         full = profile.where("n > 0 and doc is not null")
         alike = full.groupBy("n", "s1", "s2").agg(F.min("doc").alias("kind"), F.count(F.lit(1)).alias("rows"))
         total = full.count()
         self.kinds = stored(hot_split_join(full.select("doc", "n", "s1", "s2"), alike, ["n", "s1", "s2"], "rows", total).select("doc", "kind", "n").distinct())
         self.total = total
+        self.fact_bytes = full.agg(F.sum(64 + 8 * F.size("sketch"))).first()[0] or 0
 
     def _stars(self, folder: str) -> DataFrame:
         buckets = max(1024, 4 * int(self.spark.conf.get("spark.sql.shuffle.partitions")))
@@ -302,11 +332,15 @@ class JaccardJoin:
             pairs = pairs.join(kinds.select(F.col("doc").alias(name), F.col("kind").alias("k" + side), F.col("n").alias("n" + side)), name)
         near = pairs.where((F.col("k1") != F.col("k2")) & (100 * F.least("n1", "n2") >= self.percent * F.greatest("n1", "n2")))
         near = near.select(F.least("k1", "k2").alias("a"), F.greatest("k1", "k2").alias("b")).distinct()
-        sketches = _fitting(self.profile.select("doc", "n", "sketch").distinct(), self.total, 64 + 8 * SKETCH)
+        sketches = _fitting(self.profile.select("doc", "n", "sketch").distinct(), self.fact_bytes, 1)
         for side, name in (("1", "a"), ("2", "b")):
             near = near.join(sketches.select(F.col("doc").alias(name), F.col("n").alias("n" + side), F.col("sketch").alias("s" + side)), name)
+        one, two = F.size("s1"), F.size("s2")
+        near = near.withColumn("s1", F.when(one == 2 * two, _half(F.col("s1"))).otherwise(F.col("s1")))
+        near = near.withColumn("s2", F.when(two == 2 * F.size("s1"), _half(F.col("s2"))).otherwise(F.col("s2")))
         differ = F.aggregate(F.zip_with("s1", "s2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-        return near.where(differ <= allowed_differences(F.col("n1"), F.col("n2"), self.percent)).select("a", "b").distinct()
+        screened = (F.size("s1") != F.size("s2")) | (differ <= allowed_differences(F.col("n1"), F.col("n2"), self.percent))
+        return near.where(screened).select("a", "b").distinct()
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs of kinds whose sets are similar."""
@@ -348,7 +382,7 @@ class JaccardJoin:
         rows = rows.withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
         rows = rows.select("sig", "doc", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), (F.col("own") > F.col("other")).cast("int").alias("side"))
         keys = ["sig", "b1", "b2"]
-        fits = self.total * (64 + 8 * SKETCH) <= BROADCAST_BYTES
+        fits = self.fact_bytes <= BROADCAST_BYTES
         facts = members.join(self.profile.select("doc", "n", "sketch").distinct(), ["doc", "n"]).select("doc", "kind", "comp", "n", "sketch")
         rows = rows.repartition(*keys).join(F.broadcast(facts), "doc") if fits else rows.join(facts, "doc").repartition(*keys)
         wide = rows.select(*keys, "kind", "comp", "n", "side", "sketch").sortWithinPartitions(*keys)
