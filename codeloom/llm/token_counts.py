@@ -157,6 +157,20 @@ class PrefixCounter:
                 total += n
         return total
 
+    def longest(self, text: str, budget: int) -> int:
+        """Code points of the longest prefix of at most ``budget`` tokens; the table of one word decides."""
+        runs = list(self._runs(text))
+        if len(runs) > 1:  # special tokens, which a prefix may cut
+            return int(np.flatnonzero(self.prefixes(text) <= budget)[-1])
+        run, total = runs[0][0], 0
+        for m in self.words.finditer(run):
+            after = total + self.word_total(m[0])
+            if after > budget:
+                fits = [i for i, n in enumerate(self.word(m[0]), 1) if total + n <= budget]
+                return m.start() + (fits[-1] if fits else 0)
+            total = after
+        return len(run)
+
     def prefixes(self, text: str) -> np.ndarray:
         """Tokens of the first 0, 1, 2, ... code points."""
         parts, total = [np.zeros(1, np.int32)], 0
@@ -221,10 +235,9 @@ def _task(key: str, text: str, vocabulary: Broadcast, budget: int, keep: bool):
             counts, fits, tables = [], [], []
             for t in texts:
                 n = counter.count(t)
-                table = counter.prefixes(t) if keep or n > budget else None
                 counts.append(n)
-                fits.append(None if table is None or n <= budget else int(np.flatnonzero(table <= budget)[-1]))
-                tables.append(table)
+                fits.append(counter.longest(t, budget) if n > budget else None)
+                tables.append(counter.prefixes(t) if keep else None)
             columns = [batch.column(key), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(counts, pa.int64()), pa.array(fits, pa.int64())]
             names = [key, "n_bytes", "n_tokens", "fit_chars"]
             if keep:
