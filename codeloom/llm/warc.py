@@ -237,7 +237,9 @@ def _parts_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _payloads(spark: SparkSession, folder: str, parts: DataFrame, index: DataFrame) -> DataFrame:
     """``file``, ``at`` and ``payload`` of the records whose chunks are listed in ``parts``."""
     chunks = arrow_map(_chunks(spark, folder), _parts_task, "file bigint, split bigint, value binary, local bigint")
-    parts = parts.withColumn("local", F.col("at") - F.col("base"))
+    parts = stored(parts.withColumn("local", F.col("at") - F.col("base")))
+    if parts.count() * 64 <= BROADCAST_BYTES:  # few parts: the archives stay where they are read
+        parts = F.broadcast(parts)
     found = chunks.join(parts, ["file", "split", "local"])
     texts = F.array_sort(F.collect_list(F.struct("at", F.concat(F.lit(MAGIC).cast("binary"), "value").alias("v"))))
     joined = F.aggregate(texts, F.lit("").cast("binary"), lambda s, x: F.concat(s, x["v"]))
@@ -264,11 +266,14 @@ def read_digests(spark: SparkSession, folder: str) -> DataFrame:
     index = read_index(spark, folder)
     records = index.where("record")
     whole = records.where("digest is not null").select("page", "kind", "refers", "stated", "length", "digest")
-    cut = _payloads(spark, folder, _broken_parts(index), index).select(
-        "file", "at", F.octet_length("payload").cast("bigint").alias("n"), base32_sha1(F.col("payload")).alias("d")
-    )
-    cut = records.where("digest is null").join(cut, ["file", "at"]).select("page", "kind", "refers", "stated", F.col("n").alias("length"), F.col("d").alias("digest"))
-    found = stored(whole.unionByName(cut))
+    broken = records.where("digest is null")
+    if not broken.isEmpty():
+        cut = _payloads(spark, folder, _broken_parts(index), index).select(
+            "file", "at", F.octet_length("payload").cast("bigint").alias("n"), base32_sha1(F.col("payload")).alias("d")
+        )
+        cut = broken.join(cut, ["file", "at"]).select("page", "kind", "refers", "stated", F.col("n").alias("length"), F.col("d").alias("digest"))
+        whole = whole.unionByName(cut)
+    found = stored(whole)
     responses = found.where("kind = 'response'")
     revisits = found.where("kind = 'revisit'").select("page", "refers", F.col("stated").alias("digest"))
     met = revisits.groupBy("refers", "digest").agg(F.count(F.lit(1)).alias("n"))
