@@ -8,7 +8,9 @@ largest cosine. Runs of other characters count as one space, which is a letter o
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -89,33 +91,73 @@ class Profiler:
     def vector(self, text: str) -> np.ndarray | None:
         """The bundle of a text's trigrams, in whole numbers; null without a letter."""
         grams, counts = self.trigrams(text)
-        if not len(grams):
-            return None
+        return self.bundle(grams, counts) if len(grams) else None
+
+    def bundle(self, grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
         total = np.zeros(self.dimensions)
         for i in range(0, len(grams), 4096):
             total += counts[i : i + 4096].astype(np.float32) @ self._vectors(grams[i : i + 4096]).astype(np.float32)
         return np.rint(total)
 
 
+def _letters(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Letters of a text, each the middle of a trigram, and how often each occurs."""
+    middle = grams >> 21 & 0x1FFFFF
+    codes, place = np.unique(middle[middle != _SPACE], return_inverse=True)
+    return codes, np.bincount(place, counts[middle != _SPACE]).astype(np.int64)
+
+
 def _bundle_task(text: str, label: str, dimensions: int):
+    """By language: the bundle by place (``of`` 0), letters' counts by code (1) and the number of trigrams (2)."""
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        profiler, bundles = _profiler(dimensions), {}
+        profiler, bundles, letters, totals = _profiler(dimensions), {}, {}, Counter()
         for batch in slices(batches):
             for t, lang in zip(batch.column(text).to_pylist(), batch.column(label).to_pylist(), strict=True):
-                vector = profiler.vector(t) if t else None
-                if vector is not None:
-                    bundles[lang] = bundles.get(lang, 0) + vector
+                grams, counts = profiler.trigrams(t) if t else ((), ())
+                if len(grams):
+                    bundles[lang] = bundles.get(lang, 0) + profiler.bundle(grams, counts)
+                    totals[lang] += int(counts.sum())
+                    letters.setdefault(lang, Counter()).update(dict(zip(*(x.tolist() for x in _letters(grams, counts)), strict=True)))
         for lang, bundle in bundles.items():
+            seen = letters[lang]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * dimensions), pa.array(range(dimensions), pa.int32()), pa.array(bundle.astype(np.int64))],
-                names=["lang", "d", "v"],
+                [
+                    pa.array([lang] * (dimensions + len(seen) + 1)),
+                    pa.array([0] * dimensions + [1] * len(seen) + [2], pa.int32()),
+                    pa.array([*range(dimensions), *seen, 0], pa.int32()),
+                    pa.array([*bundle.astype(np.int64).tolist(), *seen.values(), totals[lang]], pa.int64()),
+                ],
+                names=["lang", "of", "d", "v"],
             )
 
     return task
 
 
+# A letter belongs to a language when it is at least one in so many of the learned letters.
+LETTER_SHARE = 10_000
+
+
+@dataclass(frozen=True)
+class Profile:
+    """What is learned of a language.
+
+    ``spread`` is the number of equally frequent trigrams that would be as concentrated as
+    its own; ``letters`` are the code points of its letters, sorted.
+    """
+
+    prototype: np.ndarray
+    spread: float
+    letters: np.ndarray
+
+
 def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", rows: int = LEARNED_ROWS, dimensions: int = DIMENSIONS) -> dict[str, np.ndarray]:
-    """Prototypes of unit length by language.
+    """Prototypes of unit length by language, as ``profiles`` learns them."""
+    return {lang: p.prototype for lang, p in profiles(docs, key, text, label, rows, dimensions).items()}
+
+
+def profiles(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", rows: int = LEARNED_ROWS, dimensions: int = DIMENSIONS) -> dict[str, Profile]:
+    """What each language's texts teach.
 
     Learned from rows with text and label. Of a language with more than ``rows`` rows about
     ``rows`` are drawn by a hash of the key, so the fit stays small; nothing else is left out.
@@ -130,11 +172,25 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str =
         return {}
     share = F.create_map(*[x for r in counts for x in (F.lit(r["l"]), F.lit(min(1.0, rows / r["count"])))])
     drawn = labelled.where(F.pmod(F.xxhash64("k", F.lit("learn")), F.lit(1 << 20)) < share[F.col("l")] * (1 << 20)).select("t", "l")
-    parts = arrow_map(drawn, _bundle_task("t", "l", dimensions), "lang string, d int, v bigint")
+    parts = arrow_map(drawn, _bundle_task("t", "l", dimensions), "lang string, of int, d int, v bigint")
     sums: dict[str, np.ndarray] = {}
-    for r in parts.groupBy("lang", "d").agg(F.sum("v").alias("v")).collect():  # languages x dimensions
-        sums.setdefault(r["lang"], np.zeros(dimensions))[r["d"]] = r["v"]
-    return {lang: v / np.linalg.norm(v) for lang, v in sorted(sums.items()) if v.any()}
+    letters: dict[str, Counter] = {}
+    totals = Counter()
+    for r in parts.groupBy("lang", "of", "d").agg(F.sum("v").alias("v")).collect():  # languages x (dimensions + letters)
+        if r["of"] == 0:
+            sums.setdefault(r["lang"], np.zeros(dimensions))[r["d"]] = r["v"]
+        elif r["of"] == 1:
+            letters.setdefault(r["lang"], Counter())[r["d"]] = r["v"]
+        else:
+            totals[r["lang"]] = r["v"]
+    found = {}
+    for lang, v in sorted(sums.items()):
+        if v.any():
+            own = letters.get(lang, {})
+            often = sorted(c for c, n in own.items() if n * LETTER_SHARE >= sum(own.values()))
+            # The squared length is about the sum of the squared counts, in each place.
+            found[lang] = Profile(v / np.linalg.norm(v), totals[lang] ** 2 * dimensions / float(v @ v), np.array(often, np.int64))
+    return found
 
 
 @lru_cache(maxsize=1)
@@ -192,17 +248,66 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-# Cosine below which a text resembles no learned language. Texts of a single word may have little more than 0.02.
-LEAST_SCORE = 0.01
+# A text that shares nothing with any language passes one of the bounds with a chance of about exp(-NOISE / 2) at most.
+NOISE = 16.0
+# Share of the score expected of a language's own text, of which a text must have at least so much.
+EXPECTED_SHARE = 0.25
+# Below this expected score a text is too short to be judged by its score.
+TELLING = 0.5
+
+
+class Judge:
+    """Whether a text resembles a learned language.
+
+    Texts that share no trigram with a prototype have cosines of standard deviation
+    1/sqrt(dimensions), whatever their length. A text whose trigrams are as concentrated as
+    ``m`` equally frequent ones is expected to score sqrt(m / (m + spread)) with its own
+    language. It resembles a language when its cosine reaches a quarter of that and lies
+    beyond the noise of all prototypes together: sqrt(16 + 2 ln(languages)) deviations.
+    A text that is expected to score less than 0.5 is too short to tell, and resembles the
+    language when at least half of its letters are letters of it.
+    """
+
+    def __init__(self, known: dict[str, Profile]) -> None:
+        self.known = [known[n] for n in sorted(known)]
+        self.matrix = np.array([p.prototype for p in self.known])
+        self.spreads = np.array([p.spread for p in self.known])
+        dimensions = self.matrix.shape[1] if known else DIMENSIONS
+        self.noise = float(np.sqrt((NOISE + 2 * np.log(max(1, len(known)))) / dimensions))
+        self.profiler = _profiler(dimensions)
+
+    def __call__(self, text: str | None) -> bool:
+        grams, counts = self.profiler.trigrams(text) if text and self.known else ((), ())
+        if not len(grams):
+            return False
+        vector = self.profiler.bundle(grams, counts)
+        cosines = self.matrix @ vector / (np.linalg.norm(vector) or 1.0)
+        many = float(counts.sum()) ** 2 / float((counts.astype(float) ** 2).sum())
+        expected = np.sqrt(many / (many + self.spreads))
+        if (cosines >= np.maximum(self.noise, EXPECTED_SHARE * expected)).any():
+            return True
+        codes, times = _letters(grams, counts)
+        short = np.flatnonzero(expected < TELLING)
+        return any(2 * times[np.isin(codes, self.known[i].letters)].sum() >= times.sum() for i in short)
+
+
+def _judge_task(text: str, known: Broadcast):
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = Judge(known.value)
+        for batch in slices(batches):
+            yield batch.filter(pa.array([judge(t) for t in batch.column(text).to_pylist()], pa.bool_()))
+
+    return task
 
 
-def keep_known(docs: DataFrame, least: float = LEAST_SCORE, text: str = "text", label: str = "lang", key: str = "doc_id") -> DataFrame:
-    """``docs`` without rows whose language is unknown or whose score is below ``least``; same columns.
+def keep_known(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id") -> DataFrame:
+    """``docs`` without the rows that resemble no learned language (see ``Judge``); same columns.
 
-    Prototypes are learned from the rows that are not held out.
+    Languages are learned from the rows that are not held out. Rows without a letter go.
     """
-    prototypes = learn(docs.where(~held_out(F.col(key))), key, text, label)
+    known = profiles(docs.where(~held_out(F.col(key))), key, text, label)
     names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     renamed = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
-    found = predict(renamed, prototypes, list(names.values()), names[text])
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*[F.col(n).alias(c) for c, n in names.items()])
+    schema = ", ".join(f"{names[f.name]} {f.dataType.simpleString()}" for f in docs.schema)
+    found = arrow_map(renamed, _judge_task(names[text], docs.sparkSession.sparkContext.broadcast(known)), schema)
+    return found.select(*[F.col(n).alias(c) for c, n in names.items()])
