@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from codeloom.parse.scanner import ruby_scanner, rust_scanner, scanned, script_scanner
+
 FILE = ["project", "file_path"]
 
 
@@ -35,79 +38,13 @@ class Lexicon:
     trivia: str
 
 
+# Languages whose literals or comments nest, or whose slashes depend on what came before, are scanned with state.
+SCRIPT = script_scanner
+RUST = rust_scanner
+RUBY = ruby_scanner
+
 _ESCAPED = r"\\[\s\S]"
 _DOUBLE = rf'"(?:[^"\\]++|{_ESCAPED})*+"?'
-_SLASH_COMMENTS = r"(?://[^\n]*+|/\*(?:[^*]++|\*(?!/))*+(?:\*/)?|\s++)*+"
-_REGEX_BODY = r"/(?![/*])(?:[^/\\\n\[]++|\\.|\[(?:[^\]\\\n]++|\\.)*+\])++/[a-z]*+"
-# Where a slash opens a regular expression: behind an operator or bracket that wants a value, or behind such a word.
-_WANTS_VALUE = r"(?<=[=(,:\[!&|?{};\n]\s{0,4})"
-_VALUE_WORD = r"(?<=\b(?:return|typeof|case|do|else|in|of|void|delete|throw|new|yield|await)[ \t]{1,4})"
-
-
-def _nested_comment(levels: int) -> str:
-    """A block comment that may hold block comments, ``levels`` deep; deeper openers are text."""
-    inner = rf"{_nested_comment(levels - 1)}|/(?!\*)" if levels else "/"
-    return rf"/\*(?:[^*/]++|{inner}|\*(?!/))*+(?:\*/)?"
-
-
-def _template(levels: int) -> str:
-    """A template literal whose ``${…}`` parts may hold templates, ``levels`` deep."""
-    if levels == 0:
-        return rf"`(?:[^`\\]++|{_ESCAPED})*+`"
-    inner = _template(levels - 1)
-    part = rf"(?:[^`{{}}]++|{inner}|\{{(?:[^`{{}}]++|{inner}|\{{[^{{}}]*+\}})*+\}})*+"
-    return rf"`(?:[^`\\$]++|{_ESCAPED}|\$\{{{part}\}}|\$)*+`"
-
-
-SCRIPT = Lexicon(
-    token="|".join(
-        [
-            # A quote that its line does not close is an apostrophe of a text between tags.
-            rf'"(?:[^"\\\n]++|{_ESCAPED})*+"',
-            rf"'(?:[^'\\\n]++|{_ESCAPED})*+'",
-            _template(3),
-            f"(?:{_WANTS_VALUE}|{_VALUE_WORD}){_REGEX_BODY}",
-            r"[@#]?[\p{L}\p{N}_$]++",
-            "=>",
-            r"[\s\S]",
-        ]
-    ),
-    trivia=_SLASH_COMMENTS,
-)
-
-RUST = Lexicon(
-    token="|".join(
-        [
-            r'b?r(#*+)"[\s\S]*?"\1',
-            "b?" + _DOUBLE,
-            r"b?'(?:[^'\\\n]|\\[^\n][^'\n]*+)'",
-            r"'\w++",
-            r"[\p{L}\p{N}_]++",
-            "::|->|=>",
-            r"[\s\S]",
-        ]
-    ),
-    trivia=rf"(?://[^\n]*+|{_nested_comment(8)}|\s++)*+",
-)
-
-RUBY = Lexicon(
-    token="|".join(
-        [
-            r"<<[~-]?+['\"`]?+([A-Z_][A-Z0-9_]*+)['\"`]?+[^\n]*+\n[\s\S]*?(?<=\n)[ \t]*+\1(?=\s|$)",
-            r"%[wWiIqQr]?(?:\[[^\]]*+\]|\([^)]*+\)|\{[^}]*+\})",
-            _DOUBLE,
-            rf"'(?:[^'\\]++|{_ESCAPED})*+'?",
-            _WANTS_VALUE + _REGEX_BODY,
-            r"[\p{L}_][\p{L}\p{N}_]*+[?!]?:(?!:)",
-            r"::",
-            rf":(?:{_DOUBLE}|[\p{{L}}_][\p{{L}}\p{{N}}_]*+[?!=]?)",
-            r"[@$]*+[\p{L}\p{N}_]++[?!]?",
-            r"<<|&&|\|\||=>|==",
-            r"[\s\S]",
-        ]
-    ),
-    trivia=r"(?:#[^\n]*+|(?<=\n)=begin[\s\S]*?\n=end[^\n]*+|\\\n|\s++)*+",
-)
 
 ELIXIR = Lexicon(
     token="|".join(
@@ -139,15 +76,7 @@ def by_file(sources: DataFrame) -> DataFrame:
     return sources.select(*FILE, "content").repartition(n, *FILE)
 
 
-def tokens(sources: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """One row per token of each (project, file_path, content).
-
-    Columns: i (order), sig (the token), trivia (what follows it), gap (the trivia before
-    it), line (1-based), start and stop (1-based character offsets, stop exclusive).
-
-    Content is placed by file before it is cut, so the compact text is what travels and
-    every window below runs without another exchange.
-    """
+def _cut(sources: DataFrame, lexicon: Lexicon) -> DataFrame:
     opening = F.regexp_extract("content", f"^{lexicon.trivia}", 0)
     rest = F.expr("substring(content, length(opening) + 1)")
     pattern = F.lit(f"(?:{lexicon.token}){lexicon.trivia}")
@@ -158,7 +87,24 @@ def tokens(sources: DataFrame, lexicon: Lexicon) -> DataFrame:
     )
     # Row 0 is the file's leading trivia, possibly empty, and has no token.
     sig = F.when(F.col("i") == 0, F.lit("")).otherwise(F.regexp_extract("raw", f"^(?:{lexicon.token})", 0))
-    split = cut.withColumn("sig", sig).withColumn("trivia", F.expr("substring(raw, length(sig) + 1)"))
+    return cut.withColumn("sig", sig).withColumn("trivia", F.expr("substring(raw, length(sig) + 1)"))
+
+
+def _scan(sources: DataFrame, scanner: Callable) -> DataFrame:
+    cut = by_file(sources).select(*FILE, scanned(F.col("content"), scanner).alias("found")).select(*FILE, F.posexplode("found").alias("i", "t"))
+    return cut.select(*FILE, "i", F.concat("t.sig", "t.trivia").alias("raw"), "t.sig", "t.trivia")
+
+
+def tokens(sources: DataFrame, lexicon: Lexicon | Callable) -> DataFrame:
+    """One row per token of each (project, file_path, content), by a lexicon or a scanner.
+
+    Columns: i (order), sig (the token), trivia (what follows it), gap (the trivia before
+    it), line (1-based), start and stop (1-based character offsets, stop exclusive).
+
+    Content is placed by file before it is cut, so the compact text is what travels and
+    every window below runs without another exchange.
+    """
+    split = _cut(sources, lexicon) if isinstance(lexicon, Lexicon) else _scan(sources, lexicon)
     newlines = F.length("raw") - F.length(F.regexp_replace("raw", "\n", ""))
     return split.select(
         *FILE,
