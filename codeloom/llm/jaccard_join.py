@@ -406,8 +406,45 @@ def similar_groups(docs: DataFrame, words: int, percent: int, key: str = "doc_id
     return found.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
 
 
+def _fingerprint_task(words: int, text: str):
+    """Rows with the size and two sums of their sets, as in profiles."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = [shingles(t, words) if t else np.empty(0, np.uint64) for t in batch.column(text).to_pylist()]
+            one = [int(s.sum(dtype=np.uint64).astype(np.int64)) for s in sets]
+            two = [int(_mixed(s, 0xE7037ED1A0B428DB).sum(dtype=np.uint64).astype(np.int64)) for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, *(pa.array(x, pa.int64()) for x in ([len(s) for s in sets], one, two))], names=[*batch.schema.names, "n", "s1", "s2"]
+            )
+
+    return task
+
+
 def drop_similar(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with the row of the smallest key of each component; rows without words or key stay. Same columns."""
+    """``docs`` with the rows of the smallest key of each component. Same columns.
+
+    Of rows with one key, null too, and the same set of shingles one stays, that of the
+    smallest text; rows without words all stay. A key is one node: where it has several texts
+    and one of them is similar to a text of a smaller key, all its rows go; else its different
+    texts all stay. Null keys are compared with null keys only, and only for equal sets.
+    """
     groups = stored(similar_groups(docs, words, percent, key, text))
     gone = stored(groups.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("_gone")).distinct())
-    return docs.join(_fitting(gone, gone.count(), 16), F.col(f"`{key}`") == F.col("_gone"), "left_anti")
+    left = docs.join(_fitting(gone, gone.count(), 16), F.col(f"`{key}`") == F.col("_gone"), "left_anti")
+    again = groups.where("n_shingles > 0").groupBy(F.col(key).alias("_again")).count().where("count > 1").select("_again", F.lit(True).alias("_twice"))
+    again = stored(again)
+    repeated = again.count()
+    if not repeated:
+        return left
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    back = [F.col(n).alias(c) for c, n in names.items()]
+    left = left.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    marked = left.join(_fitting(again, repeated, 16), F.col(names[key]).eqNullSafe(F.col("_again")), "left")
+    schema = ", ".join([*(f"{names[f.name]} {f.dataType.simpleString()}" for f in docs.schema), "n bigint, s1 bigint, s2 bigint"])
+    rows = arrow_map(marked.where("_twice").select(*names.values()), _fingerprint_task(words, names[text]), schema)
+    rows = rows.withColumn("own", F.when(F.col("n") == 0, F.monotonically_increasing_id()))
+    one = rows.groupBy(names[key], "n", "s1", "s2", "own").agg(
+        F.min_by(F.struct(*names.values()), F.coalesce(names[text], F.lit(""))).alias("r")
+    )
+    return marked.where("_twice is null").select(*names.values()).unionByName(one.select("r.*")).select(*back)
