@@ -24,7 +24,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @catalog.add("op1_token_counts")
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), TOKEN_LIMIT)
+    """Counts and cuts are look-ups in the prefix table of every text; the tables themselves are not part of the result."""
+    vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    counts = token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary, TOKEN_LIMIT, keep_prefixes=True)
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"), "fit_chars")
 
 

@@ -234,10 +234,15 @@ def _task(key: str, text: str, vocabulary: Broadcast, budget: int, keep: bool):
             texts = [t or "" for t in batch.column(text).to_pylist()]
             counts, fits, tables = [], [], []
             for t in texts:
-                n = counter.count(t)
+                if keep:
+                    found = counter.prefixes(t)
+                    tables.append(found)
+                    n = int(found[-1])
+                    fits.append(int(np.flatnonzero(found <= budget)[-1]) if n > budget else None)
+                else:
+                    n = counter.count(t)
+                    fits.append(counter.longest(t, budget) if n > budget else None)
                 counts.append(n)
-                fits.append(counter.longest(t, budget) if n > budget else None)
-                tables.append(counter.prefixes(t) if keep else None)
             columns = [batch.column(key), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(counts, pa.int64()), pa.array(fits, pa.int64())]
             names = [key, "n_bytes", "n_tokens", "fit_chars"]
             if keep:
