@@ -3,7 +3,8 @@
 Words are numbered by the benchmark's own vocabulary; a window can only occur where every word
 has a number. Such places are hashed by a rolling sum and looked up in the set of window
 hashes; hits are verified word by word. A benchmark beyond ``BLOCK_BYTES`` is cut into
-blocks that are scanned one after the other over the same rows, so the broadcast stays bounded.
+blocks. They are fetched, broadcast and scanned one after the other, and the rows with what was
+found so far are stored between them, so the driver and each task hold one block at a time.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import LOWER_ASCII, arrow_map, slices
+from codeloom.llm.common import LOWER_ASCII, arrow_map, slices, stored
 
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
@@ -119,13 +120,19 @@ def _scan_task(columns: list[str], text: str, block: Broadcast, first: bool):
     return task
 
 
-def benchmark_blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[str, str]]]:
-    """The test items in blocks of about ``block_bytes``, by a hash of their text. An item without id is named ''."""
+def benchmark_blocks(
+    benchmark: DataFrame, item: str = "item_id", text: str = "text", block_bytes: int = BLOCK_BYTES
+) -> Iterator[tuple[list[tuple[str, str]], bool]]:
+    """The distinct test items in blocks of about ``block_bytes``, by a hash of their text; and whether a block is the last.
+
+    An item without id is named ''. A block is fetched when it is asked for.
+    """
     items = benchmark.where(F.col(text).isNotNull()).select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("i"), F.col(text).alias("t"))
+    items = stored(items.distinct())
     size = items.agg(F.sum(F.octet_length("t") + 16)).first()[0] or 0
     blocks = -(-size // block_bytes) or 1
     for b in range(blocks):
-        yield [(r["i"], r["t"]) for r in items.where(F.pmod(F.xxhash64("t", "i"), F.lit(blocks)) == b).collect()]
+        yield [(r["i"], r["t"]) for r in items.where(F.pmod(F.xxhash64("t", "i"), F.lit(blocks)) == b).collect()], b == blocks - 1
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, columns: list[str] | None = None, text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -143,11 +150,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, columns: list[str] | No
     carried = list(dict.fromkeys([*columns, text]))
     full = ", ".join(f"`{c}` {kinds[c]}" for c in carried)
     found = docs.select(*carried)
-    blocks = list(benchmark_blocks(benchmark, text="text", block_bytes=block_bytes))
-    for b, items in enumerate(blocks):
-        last = b == len(blocks) - 1
-        task = _scan_task(columns if last else carried, text, spark.sparkContext.broadcast(items), b == 0)
-        found = arrow_map(found, task, f"{head if last else full}, {_FOUND}")
+    first = True
+    for items, last in benchmark_blocks(benchmark, text="text", block_bytes=block_bytes):
+        block = spark.sparkContext.broadcast(items)
+        found = arrow_map(found, _scan_task(columns if last else carried, text, block, first), f"{head if last else full}, {_FOUND}")
+        if not last:
+            found = stored(found)
+            block.unpersist()
+        first = False
     return found
 
 
