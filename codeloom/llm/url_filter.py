@@ -14,9 +14,11 @@ from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.llm.common import stored
+
 BUCKETS = 2048
 GRAMS = (3, 5)
-# Labelled rows that the fit takes at most, about: rows of a larger table are drawn by a hash of their URL.
+# Different URLs of each verdict that the fit takes at most, about: of more they are drawn by a hash.
 LABELLED_ROWS = 4000
 
 Rule = tuple[str, str]  # verdict and host/path, such as ("block", "com/de/")
@@ -58,18 +60,27 @@ def gram_buckets(host: Column, path: Column) -> Column:
 def fit(labelled: DataFrame, rows: int = LABELLED_ROWS) -> list[float]:
     """Intercept and ``BUCKETS`` weights from a table of ``url`` and ``verdict`` (allow or block).
 
-    About ``rows`` rows are used, drawn by a hash of the URL. With labels of one kind only,
-    or none, the weights are zero and the intercept speaks for that kind (0 for none).
+    Repeated URLs count once. Of a verdict with more than ``rows`` different URLs about ``rows``
+    are drawn by a hash, of one with fewer all; weights restore the shares of the verdicts.
+    With drawn URLs of one kind only, or none, the weights are zero and the intercept speaks
+    for that kind (0 for none).
     """
-    counts = {r["verdict"]: r["count"] for r in labelled.where("verdict in ('allow', 'block')").groupBy("verdict").count().collect()}
-    total = sum(counts.values())
-    if len(counts) < 2:
-        return [{"allow": 1.0, "block": -1.0}.get(next(iter(counts), ""), 0.0), *[0.0] * BUCKETS]
-    drawn = labelled.where("verdict in ('allow', 'block')").where(F.pmod(F.xxhash64("url"), F.lit(total)) < rows).select(
-        (F.col("verdict") == "allow").cast("double").alias("label"), gram_buckets(host_of(F.col("url")), path_of(F.col("url"))).cast("array<string>").alias("b")
-    )
+    valid = labelled.where("verdict in ('allow', 'block')").select("url", "verdict", F.xxhash64("url").alias("h"))
+    counts = {r["verdict"]: r["count"] for r in valid.select("verdict", "h").distinct().groupBy("verdict").count().collect()}
+    if not counts:
+        return [0.0] * (1 + BUCKETS)
+    total = F.create_map(*[x for v, n in counts.items() for x in (F.lit(v), F.lit(n))])
+    drawn = stored(valid.where(F.pmod("h", total[F.col("verdict")]) < rows).select("url", "verdict").distinct())
+    taken = {r["verdict"]: r["count"] for r in drawn.groupBy("verdict").count().collect()}
+    if len(taken) < 2:
+        return [{"allow": 1.0, "block": -1.0}.get(next(iter(taken), ""), 0.0), *[0.0] * BUCKETS]
+    weight = F.create_map(*[x for v, n in taken.items() for x in (F.lit(v), F.lit(max(counts[v], n) / n))])
+    drawn = drawn.select(
+        (F.col("verdict") == "allow").cast("double").alias("label"), weight[F.col("verdict")].alias("weight"),
+        gram_buckets(host_of(F.col("url")), path_of(F.col("url"))).cast("array<string>").alias("b"),
+    )
     places = CountVectorizerModel.from_vocabulary([str(b) for b in range(BUCKETS)], "b", "features", binary=True)
-    model = LogisticRegression(maxIter=30, regParam=0.01, standardization=False).fit(places.transform(drawn).select("label", "features"))
+    model = LogisticRegression(maxIter=30, regParam=0.01, standardization=False, weightCol="weight").fit(places.transform(drawn).select("label", "weight", "features"))
     return [float(model.intercept), *map(float, model.coefficients)]
 
 
