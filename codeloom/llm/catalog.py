@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.catalog import Catalog
-from codeloom.llm import bpe, decontaminate, jaccard_join, language_id, oracles, quality, sharding, substring_dedup, token_counts, url_filter, warc
+from codeloom.llm import bpe, decontaminate, jaccard_join, language_id, oracles, packing, quality, sharding, substring_dedup, token_counts, url_filter, warc
 from codeloom.llm.common import scratch, stored
 
 catalog = Catalog()
@@ -91,3 +91,9 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"), "valid_utf8",
     )
+
+
+@catalog.add("op13_packing")
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most ``TOKEN_LIMIT`` ids; a null text is empty."""
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), TOKEN_LIMIT)

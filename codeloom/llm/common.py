@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from codeloom.session import durable, shared_folder
 
-# Rows that a Python task holds as Python objects at a time.
+# Rows, and bytes unless one row has more, that a Python task holds as Python objects at a time.
 SLICE_ROWS = 256
+SLICE_BYTES = 16 << 20
 # The largest table, in bytes, that is handed to every task. Larger ones are joined by a shuffle.
 BROADCAST_BYTES = 64 << 20
 # A key is hot when it holds at least one part in so many of all rows; so at most this many keys are hot.
@@ -57,8 +58,13 @@ def file_broadcast(spark: SparkSession, path: str) -> Broadcast:
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
+        start = 0
+        while start < batch.num_rows:
+            part = batch.slice(start, rows)
+            while part.num_rows > 1 and part.nbytes > SLICE_BYTES:
+                part = part.slice(0, part.num_rows // 2)
+            yield part
+            start += part.num_rows
 
 
 def arrow_map(df: DataFrame, task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
