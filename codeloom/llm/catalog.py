@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.catalog import Catalog
-from codeloom.llm import bpe, decontaminate, jaccard_join, language_id, oracles, packing, quality, sharding, substring_dedup, token_counts, url_filter, warc
+from codeloom.llm import bpe, decontaminate, jaccard_join, language_id, lexical, oracles, packing, quality, sharding, substring_dedup, token_counts, url_filter, warc
 from codeloom.llm.common import scratch, stored
 
 catalog = Catalog()
@@ -93,6 +93,12 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@catalog.add("op12_lexical_search", oracles.LEXICAL)
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best of all documents for every test item; nulls have no terms."""
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 20)
+
+
 @catalog.add("op13_packing")
 def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most ``TOKEN_LIMIT`` ids; a null text is empty."""

@@ -67,6 +67,23 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             start += part.num_rows
 
 
+def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """A task's rows in tables of ``rows``; the last has what is left."""
+    held: list[pa.RecordBatch] = []
+    count = 0
+    for batch in batches:
+        start = 0
+        while start < batch.num_rows:
+            held.append(batch.slice(start, rows - count))
+            count += held[-1].num_rows
+            start += held[-1].num_rows
+            if count == rows:
+                yield pa.Table.from_batches(held)
+                held, count = [], 0
+    if count:
+        yield pa.Table.from_batches(held)
+
+
 def arrow_map(df: DataFrame, task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     ship(df.sparkSession)
     return df.mapInArrow(task, schema)

@@ -2,6 +2,7 @@
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORDS = r"[^\x20\x09-\x0D]+"
+_TERMS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _BENCH_WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 WARC = """
@@ -80,3 +81,27 @@ with d as (
 select doc_id, len(w)::bigint as n_words, (len(w) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(t, '')) as kept_sha256
 from d left join kept using (doc_id)
 """
+
+LEXICAL = f"""
+with d as (
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_TERMS}') as w from documents
+), facts as (
+    select count(*) filter (len(w) > 0)::bigint as nd, sum(len(w))::bigint as nt from d
+), tf as (
+    select doc_id, term, count(*)::bigint as tf from (select doc_id, unnest(w) as term from d) group by 1, 2
+), weights as (
+    select term, floor(1000 * ln((2 * nd + 2) / (2 * count(*) + 1)))::bigint as w from tf, facts group by term, nd
+), asked as (
+    select item_id, term, count(*)::bigint as times from (
+        select item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_TERMS}')) as term from benchmark
+    ) group by 1, 2
+), m as (
+    select doc_id, 75 + (25 * len(w)::bigint * nd) // nt as m from d, facts where len(w) > 0
+), scored as (
+    select item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::bigint as score
+    from asked join tf using (term) join weights using (term) join m using (doc_id) group by 1, 2
+)
+select item_id, rank::int as rank, doc_id, score
+from (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from scored where score > 0)
+where rank <= 20
+"""
