@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.catalog import Catalog
-from codeloom.llm import bpe, decontaminate, jaccard_join, language_id, lexical, oracles, packing, quality, sharding, substring_dedup, token_counts, url_filter, warc
+from codeloom.llm import bpe, decontaminate, hard_negatives, jaccard_join, language_id, lexical, oracles, packing, quality, sharding, substring_dedup, token_counts, url_filter, warc
 from codeloom.llm.common import scratch, stored
 
 catalog = Catalog()
@@ -93,6 +93,19 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@catalog.add("op11_hard_negatives", oracles.HARD_NEGATIVES)
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five negatives at most for each of five positives of every hundredth row; every seventh row has the next label."""
+    number = F.col("vec_id")
+    finite = lambda x: ~F.isnan(x) & (F.abs(x) != float("inf"))
+    rows = table(spark, sf_dir, "embeddings").select(
+        number.alias("id"),
+        F.when(number % 7 == 0, (F.col("label").cast("bigint") + 1) % 10).otherwise(F.col("label")).alias("label"),
+        F.transform("embedding", lambda x: F.when(finite(x), F.floor(256 * x.cast("double")).cast("bigint"))).alias("vector"),
+    )
+    return hard_negatives.mine(rows, F.col("id") % 100 == 0)
+
+
 @catalog.add("op12_lexical_search", oracles.LEXICAL)
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best of all documents for every test item; nulls have no terms."""

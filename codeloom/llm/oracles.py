@@ -105,3 +105,23 @@ select item_id, rank::int as rank, doc_id, score
 from (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from scored where score > 0)
 where rank <= 20
 """
+
+HARD_NEGATIVES = """
+with v as (
+    select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+        list_transform(embedding, lambda x: floor(256 * x::double)) as v
+    from embeddings
+    where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+    select a.vec_id as anchor_id, a.label = v.label as same, v.vec_id as id, list_inner_product(a.v, v.v)::bigint as score
+    from v a, v where a.vec_id % 100 = 0 and v.vec_id <> a.vec_id
+), p as (
+    select anchor_id, id as positive_id, score as positive_score
+    from (select *, row_number() over (partition by anchor_id order by score desc, id) as n from s where same) where n <= 5
+), n as (
+    select anchor_id, positive_id, positive_score, id as negative_id, score as negative_score,
+        row_number() over (partition by anchor_id, positive_id order by score desc, id) as rank
+    from p join s using (anchor_id) where not same and 80 * positive_score <= 100 * score and score <= positive_score
+)
+select anchor_id, positive_id, rank::int as rank, negative_id, positive_score, negative_score from n where rank <= 5
+"""
