@@ -4,8 +4,10 @@ Which pieces share a sequence depends on their lengths only, and there are at mo
 lengths. So the pieces are counted by length, and bins are chosen from the counts: a bin takes
 the longest piece left and, with it, the fullest combination of the lengths still available,
 found by subset-sum dynamic programming on bitsets. The same combination is removed as often as
-the counts allow; each time some length runs out, so there are at most ``capacity`` combinations,
-however many pieces there are. Pieces then find their place by their rank within their length.
+the counts allow, after which fewer of some length are left than a bin had. A length can do so
+once, and once for each of the at most ``capacity / length`` left; so there are at most about
+``capacity * (1 + ln(capacity))`` combinations, however many pieces there are. Pieces then find
+their place by their rank within their length.
 """
 
 from __future__ import annotations

@@ -23,7 +23,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="benchmark tables
 @pytest.fixture(scope="module")
 def duck():
     connection = duckdb.connect()
-    for name in ("documents", "pages", "benchmark", "labels"):
+    for name in ("documents", "pages", "benchmark", "labels", "embeddings"):
         connection.execute(f"create view {name} as select * from '{SF}/{name}.parquet'")
     return connection
 
@@ -35,7 +35,7 @@ def docs(duck):
 
 def test_all_are_registered():
     assert set(catalog.queries) | {"pipeline"} <= set(entry.queries())
-    assert sorted(int(n[2:].split("_")[0]) for n in catalog.queries) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in catalog.queries) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(catalog.sql))
