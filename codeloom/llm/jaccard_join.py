@@ -180,8 +180,8 @@ def _signature_task(words: int, percent: int, buckets: int):
 
 
 def _star_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by signature and document: each further member of a signature, with its smallest."""
-    sig, hub = np.empty(0, np.int64), np.empty(0, np.int64)
+    """Rows sorted by signature and document: each further member of a signature once, with its smallest."""
+    sig, hub, end = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
     for batch in batches:
         sigs = np.concatenate([sig, batch.column("sig").to_numpy(zero_copy_only=False)])
         docs = np.concatenate([hub, batch.column("doc").to_numpy(zero_copy_only=False)])
@@ -189,8 +189,11 @@ def _star_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         first = np.concatenate([[True], sigs[1:] != sigs[:-1]])
         hubs = docs[np.flatnonzero(first)][np.cumsum(first) - 1]
-        sig, hub = sigs[-1:], hubs[-1:]
-        more = ~first & (docs != hubs)
+        before = np.concatenate([docs[:1], docs[:-1]])
+        if len(end) and len(docs) > 1:
+            before[1] = end[0] if not first[1] else before[1]
+        more = ~first & (docs != hubs) & (docs != before)
+        sig, hub, end = sigs[-1:], hubs[-1:], docs[-1:]
         if more.any():
             yield pa.RecordBatch.from_arrays([pa.array(sigs[more]), pa.array(hubs[more]), pa.array(docs[more])], names=["sig", "hub", "doc"])
 
@@ -318,7 +321,10 @@ class JaccardJoin:
 
     def _stars(self, folder: str) -> DataFrame:
         buckets = max(1024, 4 * int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-        packed = arrow_map(self.docs, _signature_task(self.words, self.percent, buckets), "bucket int, sigs array<bigint>, docs array<bigint>")
+        # Of copies, and most rows may be copies, one stands for all.
+        ones = self.kinds.where("doc = kind").select("doc").distinct()
+        docs = self.docs.join(_fitting(ones, self.total, 16), "doc", "left_semi")
+        packed = arrow_map(docs, _signature_task(self.words, self.percent, buckets), "bucket int, sigs array<bigint>, docs array<bigint>")
         rows = packed.repartition("bucket").select(F.inline(F.arrays_zip(F.col("sigs").alias("sig"), F.col("docs").alias("doc"))))
         arrow_map(rows.sortWithinPartitions("sig", "doc"), _star_task, "sig bigint, hub bigint, doc bigint").write.parquet(folder)
         return self.spark.read.parquet(folder)
