@@ -8,7 +8,7 @@ from codeloom import fixture as fx
 from codeloom.catalog import Catalog
 from codeloom.catalog.counts import HOT, hot_files
 from codeloom.functions.paths import relative_path
-from codeloom.operators import cycles, graph, search
+from codeloom.operators import components, cycles, graph, search
 from codeloom.schema import ENTRY_SEARCH_LIMIT
 
 catalog = Catalog()
@@ -134,7 +134,7 @@ def walk_from_search(spark, sf):
 )
 def search_files(spark, sf):
     files = fx.files(spark, sf).select("project", "file_path", "searchable")
-    found = search.search(files, "searchable", "file_path", "Hot .ts".replace(".", ""), 10, by=["project"])
+    found = search.search(files, "searchable", "file_path", "Hot ts", 10, by=["project"])
     return found.select(
         "project", "file_path", relative_path(F.col("file_path"), F.col("project")).alias("relative_path"), "score",
         F.col("rank").cast("bigint").alias("rank"),
@@ -193,6 +193,21 @@ def cycle_membership(spark, sf):
     return cycles.cycle_members(cycles.find_cycles(fx.imports(spark, sf)))
 
 
+@catalog.add(
+    "cycle_components",
+    W("edges", recursive=True)
+    + """, d0 as (select distinct project, source_path s, target_path t from edges where source_path <> target_path),
+ d1 as (select * from d0 semi join (select project, s t from d0) x using (project, t) semi join (select project, t s from d0) y using (project, s)),
+ d2 as (select * from d1 semi join (select project, s t from d1) x using (project, t) semi join (select project, t s from d1) y using (project, s)),
+ d3 as (select * from d2 semi join (select project, s t from d2) x using (project, t) semi join (select project, t s from d2) y using (project, s)),
+ r(project, a, b) as (select project, s, t from d3 union select r.project, r.a, d3.t from r join d3 on d3.project = r.project and d3.s = r.b),
+ c as (select x.project, x.a file_path, min(x.b) component from r x join r y on y.project = x.project and y.a = x.b and y.b = x.a group by all)
+select project, file_path, component, count(*) over (partition by project, component) size from c""",
+)
+def cycle_components(spark, sf):
+    return components.strong_components(fx.imports(spark, sf))
+
+
 @catalog.add(
     "blast_radius",
     W("edges", extra=HOT, recursive=True)

@@ -6,45 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions.paths import relative_path
+from codeloom.operators import components
 from codeloom.schema import CYCLE_NODE_CAP
 from codeloom.session import durable_counted, spread_join
 
-# Peeling stops early once a round removes less than this share; it only saves work.
-_WORTH_PEELING = 0.02
-
-
-def cyclic_core(imports: DataFrame, rounds: int = 12) -> tuple[DataFrame, int]:
-    """Distinct edges (project, s, t) left after repeatedly dropping files that import nothing or
-    that nothing imports, and their count.
-
-    Every edge of every cycle of two or more files survives, whatever the round count.
-    """
-    core, size = durable_counted(
-        imports.filter(F.col("source_path") != F.col("target_path"))
-        .select("project", F.col("source_path").alias("s"), F.col("target_path").alias("t"))
-        .distinct()
-    )
-    left = size
-    for _ in range(rounds):
-        sources = core.select("project", F.col("s").alias("t")).distinct()
-        targets = core.select("project", F.col("t").alias("s")).distinct()
-        core, left = durable_counted(
-            core.join(sources, ["project", "t"], "left_semi").join(targets, ["project", "s"], "left_semi")
-        )
-        if left == 0 or size - left <= size * _WORTH_PEELING:
-            break
-        size = left
-    return core, left
-
-
 def find_cycles(imports: DataFrame, max_nodes: int = CYCLE_NODE_CAP) -> DataFrame:
     """All simple cycles of 2..``max_nodes`` files as (project, cycle, length).
 
     Each cycle appears once, starting at its smallest path and repeating that path at the
-    end. Paths grow by one file per round, only from a smallest start and only through the
-    cyclic core; closed paths leave the loop at once.
+    end. Paths grow by one file per round, only from a smallest start and only inside one
+    strongly connected component; closed paths leave the loop at once.
     """
-    core, core_rows = cyclic_core(imports)
+    whole, rows = components.cyclic_core(imports)
+    core, core_rows = durable_counted(components.in_components(whole, components.components_of(whole, rows)))
     steps = core.select("project", F.col("s").alias("cur"), F.col("t").alias("next"))
     paths = core.filter(F.col("t") > F.col("s")).select(
         "project", F.col("s").alias("start"), F.col("t").alias("cur"), F.array("s", "t").alias("path")

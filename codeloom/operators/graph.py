@@ -7,13 +7,14 @@ the recovery cost grows with depth.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions import symbols as S
 from codeloom.functions.paths import relative_path
+from codeloom.operators import components
 from codeloom.schema import DEFAULT_MAX_DEPTH, DEFAULT_MAX_RESULTS
-from codeloom.session import BROADCAST_ROWS, durable_counted, spread_join
+from codeloom.session import BROADCAST_ROWS, durable, durable_counted, spread_join
 
 
 def entry_frame(spark: SparkSession, project: str, entry_points: list[str], walk: str = "walk") -> DataFrame:
@@ -143,29 +144,59 @@ def walk_import_graph(
     )
 
 
+def numbered_starts(starts: DataFrame) -> DataFrame:
+    """(walk, project, path, word, bits): each start's place in bitmaps of 64 starts a word."""
+    number = F.monotonically_increasing_id()
+    rows = durable(starts.select("walk", "project", "path").distinct().withColumn("n", number))
+    return rows.select(
+        "walk", "project", "path", F.expr("shiftright(n, 6)").alias("word"), F.expr("shiftleft(1L, cast(n & 63 as int))").alias("bits")
+    )
+
+
 def reach(imports: DataFrame, starts: DataFrame, max_hops: int | None, backwards: bool = True) -> DataFrame:
-    """All files within ``max_hops`` directed hops of each start (None: any number), with their distance.
+    """Which starts come to which files, and after how many directed hops (``max_hops`` None: any number).
 
-    ``starts`` is (walk, project, path). Backwards follows importers. The starting file is
-    included at distance 0.
+    ``starts`` are ``numbered_starts``. Result: (project, node, depth, word, bits), where a bit stands for a start that
+    is ``depth`` hops away at least, itself 0. All starts advance in one pass over the edges a hop, and a file has one row per word of 64
+    starts, merged by OR, not one per start. Backwards follows importers.
     """
     near, far = ("target_path", "source_path") if backwards else ("source_path", "target_path")
+    keys = ["project", "node", "word"]
     level, rows = durable_counted(
-        starts.select("walk", "project", F.col("path").alias("node"), F.lit(0).cast("bigint").alias("depth")).distinct()
+        starts.groupBy("project", F.col("path").alias("node"), "word").agg(F.bit_or("bits").alias("bits")).withColumn("depth", F.lit(0).cast("bigint"))
     )
     visited, total = level, rows
     depth = 0
     while rows and (max_hops is None or depth < max_hops):
         depth += 1
-        frontier = level.select("walk", "project", F.col("node").alias("at"))
-        found = _hop(imports, frontier, rows, near, far).select("walk", "project", "node").distinct()
+        frontier = level.select("project", F.col("node").alias("at"), "word", "bits")
+        found = _hop(imports, frontier, rows, near, far).groupBy(*keys).agg(F.bit_or("bits").alias("bits"))
+        seen = visited.groupBy(*keys).agg(F.bit_or("bits").alias("seen"))
+        if total <= BROADCAST_ROWS:
+            seen = F.broadcast(seen)
+        fresh = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("seen", F.lit(0).cast("bigint"))))
         level, rows = durable_counted(
-            _unseen(found, visited, total).withColumn("depth", F.lit(depth).cast("bigint"))
+            found.join(seen, keys, "left").select(*keys, fresh.alias("bits"), F.lit(depth).cast("bigint").alias("depth")).filter("bits != 0")
         )
         visited, total = visited.unionByName(level), total + rows
     return visited
 
 
+def per_start(reached: DataFrame, starts: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """(walk, project, path, depth, sums of ``values``) over the files of ``reached``, for starts and depths with any."""
+    held = lambda k: F.expr(f"shiftrightunsigned(bits, {k}) & 1")
+    sums = [F.array(*[F.sum(held(k) * value) for k in range(64)]).alias(name) for name, value in {"_files": F.lit(1), **values}.items()]
+    names = ["_files", *values]
+    rows = (
+        reached.groupBy("word", "depth")
+        .agg(*sums)
+        .select("word", "depth", F.posexplode(F.arrays_zip(*names)).alias("bit", "sums"))
+        .filter("sums._files > 0")
+        .select("depth", "word", F.expr("shiftleft(1L, bit)").alias("bits"), *[F.col(f"sums.{n}").alias(n) for n in values])
+    )
+    return starts.join(rows, ["word", "bits"]).select("walk", "project", "path", "depth", *values)
+
+
 def risk_band(direct, transitive, in_cycle):
     return (
         F.when(transitive >= 10, "critical")
@@ -178,41 +209,33 @@ def risk_band(direct, transitive, in_cycle):
 def blast_radius(imports: DataFrame, starts: DataFrame, hops: int = 5) -> DataFrame:
     """Change impact of each start: direct and transitive dependents, cycle membership, risk.
 
-    ``starts`` is (walk, project, path). Importers are followed backwards until none is new. A
-    start lies on a cycle, of whatever length, when one of its own imports is among those that
-    reach it, so one backward search answers both questions; ``hops`` bounds the counts.
+    ``starts`` is (walk, project, path). Importers are followed backwards for ``hops`` hops; a start is in a
+    cycle, of whatever length, when it is in a component of two files or more.
     """
-    starts, rows = durable_counted(starts.select("walk", "project", "path").distinct())
-    reached = reach(imports, starts, None)
-    counts = reached.groupBy("walk").agg(
-        F.count_if(F.col("depth") == 1).alias("direct_dependents"),
-        F.count_if(F.col("depth").between(1, hops)).alias("transitive_dependents"),
-    )
-    origin = starts.withColumnRenamed("path", "at")
-    own_imports = _hop(imports, origin, rows, "source_path", "target_path")
-    on_cycle = (
-        own_imports.select("walk", "project", "node")
-        .distinct()
-        .join(reached.filter(F.col("depth") > 0), ["walk", "project", "node"], "left_semi")
-        .select("walk")
-        .distinct()
-        .withColumn("in_cycle", F.lit(True))
+    numbered = numbered_starts(starts)
+    by_depth = per_start(reach(imports, numbered, hops), numbered, {"n": F.lit(1)})
+    dependents = lambda where: F.coalesce(F.sum(F.when(where, F.col("n"))), F.lit(0))
+    counts = by_depth.groupBy("walk", "project", F.col("path").alias("file_path")).agg(
+        dependents(F.col("depth") == 1).alias("direct_dependents"), dependents(F.col("depth") > 0).alias("transitive_dependents")
     )
+    on_cycle = components.strong_components(imports).select("project", "file_path", F.lit(True).alias("in_cycle"))
     return (
-        starts.select("walk", "project", F.col("path").alias("file_path"))
-        .join(counts, "walk")
-        .join(on_cycle, "walk", "left")
+        counts.join(on_cycle, ["project", "file_path"], "left")
         .withColumn("in_cycle", F.coalesce("in_cycle", F.lit(False)))
         .withColumn("risk", risk_band(F.col("direct_dependents"), F.col("transitive_dependents"), F.col("in_cycle")))
+        .select("walk", "project", "file_path", "direct_dependents", "transitive_dependents", "in_cycle", "risk")
     )
 
 
 def dependencies_by_level(files: DataFrame, imports: DataFrame, entries: DataFrame, max_depth: int = 3) -> DataFrame:
     """Dependency levels below each entry: file and symbol counts, direct against transitive."""
-    reached = reach(imports, entries, max_depth, backwards=False).filter(F.col("depth") > 0)
+    numbered = numbered_starts(entries)
+    reached = reach(imports, numbered, max_depth, backwards=False).filter(F.col("depth") > 0)
+    nodes = attach_symbols(reached.select("project", "node").distinct(), files)
+    sizes = nodes.select("project", F.col("file_path").alias("node"), S.total(F.col("symbols")).alias("n_symbols"))
+    counted = per_start(reached.join(sizes, ["project", "node"]), numbered, {"n_files": F.lit(1), "n_symbols": F.col("n_symbols")})
     return (
-        attach_symbols(reached, files)
-        .groupBy("walk", "project", "depth")
-        .agg(F.count("*").alias("n_files"), F.sum(S.total(F.col("symbols"))).alias("n_symbols"))
+        counted.groupBy("walk", "project", "depth")
+        .agg(F.sum("n_files").alias("n_files"), F.sum("n_symbols").alias("n_symbols"))
         .withColumn("level", F.when(F.col("depth") == 1, "direct").otherwise("transitive"))
     )

@@ -47,14 +47,14 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def durable_counted(df: DataFrame) -> tuple[DataFrame, int]:
-    """``durable`` plus the row count, taken while the rows are being written.
+def durable_counted(df: DataFrame, where: Column | None = None) -> tuple[DataFrame, int]:
+    """``durable`` plus the count of its rows (those that ``where`` holds for), taken while they are being written.
 
     A task that Spark has to repeat may be counted twice, never missed: 0 means empty, and
     a count below a size bound proves the bound.
     """
     seen = Observation()
-    stored = durable(df.observe(seen, F.count(F.lit(1)).alias("rows")))
+    stored = durable(df.observe(seen, F.count_if(F.lit(True) if where is None else where).alias("rows")))
     return stored, seen.get["rows"]
 
 

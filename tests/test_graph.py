@@ -4,9 +4,10 @@ import random
 from collections import deque
 
 import pytest
+from pyspark.sql import functions as F
 
 from codeloom import session
-from codeloom.operators import cycles, detail, graph, stats
+from codeloom.operators import components, cycles, detail, graph, stats
 
 
 def random_edges(seed, n, m):
@@ -101,6 +102,68 @@ def test_cycles_match_brute_force(spark, joins, cap):
     assert members == {v: sum(v in c for c in expected) for c in expected for v in c}
 
 
+def brute_components(edges):
+    ahead = {}
+    for s, t in edges:
+        ahead.setdefault(s, set()).add(t)
+
+    def reached(v):
+        seen, todo = set(), [v]
+        while todo:
+            for t in ahead.get(todo.pop(), ()):
+                if t not in seen:
+                    seen.add(t)
+                    todo.append(t)
+        return seen
+
+    far = {v: reached(v) for v in {v for e in edges for v in e}}
+    both = {v: {v} | {u for u in far[v] if v in far[u]} for v in far}
+    return {(v, min(c), len(c)) for v, c in both.items() if len(c) > 1}
+
+
+@pytest.mark.parametrize("seed,n,m,spread", [(1, 40, 60, False), (2, 60, 90, False), (3, 30, 20, False), (4, 25, 80, False), (5, 20, 28, True)])
+def test_components_match_brute_force(spark, monkeypatch, seed, n, m, spread):
+    if spread:  # no broadcast, and no end in one task
+        monkeypatch.setattr(session, "BROADCAST_ROWS", -1)
+        monkeypatch.setattr(components, "BROADCAST_ROWS", 0)
+    edges = random_edges(seed, n, m)
+    got = components.strong_components(frame(spark, edges)).collect()
+    assert {(r.file_path, r.component, r["size"]) for r in got} == brute_components(edges)
+    assert len(got) == len({r.file_path for r in got})
+
+
+def test_components_of_two_projects_and_of_a_long_ring(spark):
+    ring = [(f"/p/{k:02}", f"/p/{(k + 1) % 9:02}") for k in range(9)] + [("/p/08", "/q/a"), ("/q/a", "/q/b"), ("/q/b", "/q/b")]
+    both = frame(spark, ring).union(frame(spark, [("/p/00", "/p/01"), ("/p/01", "/p/00"), ("/p/01", "/p/02")], "other"))
+    got = {(r.project, r.file_path, r.component, r["size"]) for r in components.strong_components(both).collect()}
+    assert got == {("p", f"/p/{k:02}", "/p/00", 9) for k in range(9)} | {("other", f"/p/0{k}", "/p/00", 2) for k in (0, 1)}
+    assert components.strong_components(both.limit(0)).count() == 0
+
+
+def test_many_starts_share_rows(spark, joins):
+    edges = random_edges(12, 50, 90)
+    nodes = sorted({v for e in edges for v in e})
+    starts = spark.createDataFrame([(f"{k}", "p", nodes[k % len(nodes)]) for k in range(150)], "walk string, project string, path string")
+    numbered = graph.numbered_starts(starts)
+    levels = graph.reach(frame(spark, edges), numbered, 3)
+    words = numbered.select("word").distinct().count()
+    assert levels.count() <= words * len(nodes) * 4
+    users = {}
+    for s, t in edges:
+        users.setdefault(t, set()).add(s)
+    expected = set()
+    for k in range(150):
+        seen, level = {nodes[k % len(nodes)]}, {nodes[k % len(nodes)]}
+        expected.add((str(k), 0, 1))
+        for depth in range(1, 4):
+            level = {u for v in level for u in users.get(v, ())} - seen
+            seen |= level
+            if level:
+                expected.add((str(k), depth, len(level)))
+    got = graph.per_start(levels, numbered, {"n": F.lit(1)}).collect()
+    assert {(r.walk, r.depth, r.n) for r in got} == expected and len(got) == len(expected)
+
+
 def test_no_cycles(spark):
     assert cycles.find_cycles(frame(spark, [("/p/a", "/p/b"), ("/p/b", "/p/c"), ("/p/c", "/p/c")])).count() == 0
 
