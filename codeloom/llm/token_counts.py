@@ -12,6 +12,7 @@ strings of special tokens left as they are.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -42,8 +43,10 @@ class PrefixCounter:
         self._starts = {body[:i] for body in (*self.merges.inner, *self.merges.final) for i in range(1, len(body))}
         self._rows: dict[bytes, dict] = {b"": {}}
         self._of_word = Recent(REMEMBERED)
-        self._tables = Recent(REMEMBERED // 10)
-        self._of_chunk = Recent(REMEMBERED)
+        self._tables = Recent(REMEMBERED // 4)
+        self._of_prefix = Recent(REMEMBERED)
+        self._total_of_chunk = Recent(REMEMBERED)
+        self._of_chunk = Recent(REMEMBERED // 3)
 
     def _compile(self, row: dict, byte: int) -> tuple[dict, list, list]:
         """What follows on a byte: the next open prefixes, the tokens that may close, those that may end the word."""
@@ -108,23 +111,45 @@ class PrefixCounter:
         return total
 
     def _table(self, data: bytes) -> list[int]:
-        compatible = self.merges.compatible
+        """Counts of the prefixes as words of their own. What was found for a prefix serves all words that start with it."""
+        compatible, compiled, known = self.merges.compatible, self._compile, self._of_prefix
         row = self._rows[b""]
         last, count, ended = [-1], [0], []
-        for byte in data:
-            row, inner, final = row.get(byte) or self._compile(row, byte)
-            for token, width in final:
-                before = last[-width]
-                if before < 0 or compatible(before, token):
-                    ended.append(count[-width] + 1)
-                    break
-            for token, width in inner:
-                before = last[-width]
-                if before < 0 or compatible(before, token):
-                    break
-            tokens = count[-width] + 1
+        at, size = 0, len(data)
+        while at < size:
+            found = known[data[: at + 1]]
+            if found is None:
+                break
+            row, token, n, end = found
             last.append(token)
-            count.append(tokens)
+            count.append(n)
+            ended.append(end)
+            at += 1
+        for at in range(at, size):
+            byte = data[at]
+            row, inner, final = row.get(byte) or compiled(row, byte)
+            # Exactly one token closes and one ends, so no test is due for the last of each.
+            width = final[-1][1]
+            if len(final) > 1:
+                for token, wide in final[:-1]:
+                    before = last[-wide]
+                    if before < 0 or compatible(before, token):
+                        width = wide
+                        break
+            end = count[-width] + 1
+            closing, width = inner[-1]
+            if len(inner) > 1:
+                for token, wide in inner[:-1]:
+                    before = last[-wide]
+                    if before < 0 or compatible(before, token):
+                        closing, width = token, wide
+                        break
+            n = count[-width] + 1
+            count.append(n)
+            last.append(closing)
+            ended.append(end)
+            if at < 24:
+                known.keep(data[: at + 1], (row, closing, n, end))
         return ended
 
     def _runs(self, text: str) -> Iterator[tuple[str, bool]]:
@@ -140,7 +165,7 @@ class PrefixCounter:
         yield _normal(text[at:]), False
 
     def count(self, text: str) -> int:
-        known, total = self._of_chunk, 0
+        known, total = self._total_of_chunk, 0
         for run, special in self._runs(text):
             if special:
                 total += 1
@@ -193,17 +218,43 @@ class PrefixCounter:
         return np.concatenate(parts)
 
     def _ordinary(self, run: str) -> np.ndarray:
-        table = np.zeros(len(run) + 1, np.int32)
-        total, at = 0, 0
-        for m in self.words.finditer(run):
-            start, end = m.span()
-            table[at : start + 1] = total
-            counts = self.word(m[0])
-            table[start + 1 : end + 1] = counts
-            table[start + 1 : end + 1] += total
-            total += counts[-1]
-            at = end + 1
-        table[at:] = total
+        if _CONTROL.search(run):  # Python takes these for white space, the pattern does not
+            table = self._chunk(run)[:-1]
+            return np.concatenate([np.zeros(1, np.int32), table])
+        pieces = _SPACE.split(run)  # chunk, white space, chunk, ..., chunk
+        tables = [self._chunk(c) for c in pieces[::2]]
+        lengths = np.fromiter(map(len, tables), np.int64, len(tables))
+        flat = np.concatenate(tables)
+        ends = np.cumsum(lengths) - 1
+        totals = flat[ends]
+        flat += np.repeat(np.cumsum(totals, dtype=np.int32) - totals, lengths)
+        gaps = np.fromiter(map(len, pieces[1::2]), np.int64, len(tables) - 1)
+        if (gaps != 1).any():
+            times = np.ones(len(flat), np.int64)
+            times[ends[:-1]] = gaps
+            flat = np.repeat(flat, times)
+        flat[1:] = flat[:-1].copy()  # the place behind the last chunk gives way to that before the first
+        flat[0] = 0
+        return flat
+
+    def _chunk(self, chunk: str) -> np.ndarray:
+        """Tokens after each code point of what stands between white space, and once more, for the space after it."""
+        known = self._of_chunk[chunk]
+        if known is not None:
+            return known
+        counts: list[int] = []
+        total = 0
+        for m in self.words.finditer(chunk):
+            gap = m.start() - len(counts)
+            if gap:
+                counts += [total] * gap
+            word = self.word(m[0])
+            counts += [total + n for n in word] if total else word
+            total = counts[-1]
+        counts += [total] * (len(chunk) + 1 - len(counts))
+        table = np.array(counts, np.int32)
+        if len(chunk) <= 64:
+            self._of_chunk.keep(chunk, table)
         return table
 
 
@@ -214,6 +265,7 @@ def _counter(vocabulary: bytes) -> PrefixCounter:
 
 
 _CONTROL = regex.compile("[\x1c-\x1f]")
+_SPACE = re.compile(r"(\s+)")
 
 
 def _ends(data: bytes) -> list[int]:
@@ -246,7 +298,8 @@ def _task(key: str, text: str, vocabulary: Broadcast, budget: int, keep: bool):
             columns = [batch.column(key), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(counts, pa.int64()), pa.array(fits, pa.int64())]
             names = [key, "n_bytes", "n_tokens", "fit_chars"]
             if keep:
-                columns.append(pa.array(tables, pa.list_(pa.int32())))
+                ends = np.append(0, np.cumsum([len(t) for t in tables])).astype(np.int32)
+                columns.append(pa.ListArray.from_arrays(ends, pa.array(np.concatenate(tables))))
                 names.append("prefix_tokens")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
