@@ -91,7 +91,9 @@ def _cut(sources: DataFrame, lexicon: Lexicon) -> DataFrame:
 
 
 def _scan(sources: DataFrame, scanner: Callable) -> DataFrame:
-    cut = by_file(sources).select(*FILE, scanned(F.col("content"), scanner).alias("found")).select(*FILE, F.posexplode("found").alias("i", "t"))
+    # Plain TypeScript has type arguments where the others have elements.
+    more = [~F.endswith(F.lower("file_path"), F.lit(".ts"))] if scanner is SCRIPT else []
+    cut = by_file(sources).select(*FILE, scanned(F.col("content"), scanner, *more).alias("found")).select(*FILE, F.posexplode("found").alias("i", "t"))
     return cut.select(*FILE, "i", F.concat("t.sig", "t.trivia").alias("raw"), "t.sig", "t.trivia")
 
 

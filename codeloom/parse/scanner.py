@@ -3,21 +3,27 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Texts whose tokens are Python objects at a time.
+SLICE = 64
 TOKENS = "array<struct<sig:string,trivia:string>>"
 
 
-def script_scanner() -> Callable[[str | None], list[tuple[str, str]]]:
-    """Reader of TypeScript and JavaScript.
+def script_scanner() -> Callable[[str | None, bool | None], list[tuple[str, str]]]:
+    """Reader of TypeScript and JavaScript; ``tags`` says whether a ``<`` that wants a value opens an element.
 
-    A template literal is one token, however deeply templates and braces nest in it. A slash
-    opens a regular expression behind an operator or bracket that wants a value, behind such a
+    A template or an element without ``{`` is one token. Otherwise the text between its
+    expressions is cut out in tokens of its own, and the expressions are read like all other code, so
+    nesting has no limit and imports inside are seen. Text has no quotes, comments or brackets. A
+    slash opens a regular expression behind an operator or bracket that wants a value, behind such a
     word, behind the closing bracket of an ``if``, ``for``, ``while`` or ``with``, and behind
-    the closing brace of a block; blanks, lines and comments between them do not matter.
+    the closing brace of a block; blanks, lines and comments between them do not matter. What
+    opens a template or an element that never ends is an ordinary sign.
 
     The scanners are nested functions, which travel to the executors by value.
     """
@@ -25,52 +31,127 @@ def script_scanner() -> Callable[[str | None], list[tuple[str, str]]]:
     trivia = re.compile(r"(?://[^\n]*+|/\*(?:[^*]++|\*(?!/))*+(?:\*/)?|[ \t\n\x0b\f\r]++)*+")
     regex = re.compile(r"/(?![/*])(?:[^/\\\n\[]++|\\.|\[(?:[^\]\\\n]++|\\.)*+\])++/[a-z]*+")
     in_template = re.compile(r"[^`\\$]++|\\[\s\S]|\$\{|[\s\S]")
-    operators = {"", "=", "=>", "(", ",", ":", "[", "!", "&", "|", "?", "{", ";", "*", "%", "^", "~"}
-    words = {"return", "typeof", "case", "do", "else", "in", "of", "void", "delete", "throw", "new", "yield", "await"}
+    tag_start = re.compile(r"<(?:([\w$][\w$.:-]*+)(?=[\s/>])|(?=>))")
+    in_tag = re.compile(r"""(?:[\w$.:=-]++|"[^"]*+"|'[^']*+'|\s++|/\*(?:[^*]++|\*(?!/))*+\*/|//[^\n]*+)++""")
+    in_element = re.compile(r"[^<{]++")
+    tag_end = re.compile(r"</\s*+([\w$.:-]*+)\s*+>")
+    operators = {"", "=", "=>", "(", ",", ":", "[", "!", "&", "|", "?", "{", ";", "*", "%", "^", "~", ">"}
+    words = {"return", "typeof", "case", "do", "else", "in", "of", "void", "delete", "throw", "new", "yield", "await", "default"}
     headers = {"if", "for", "while", "with"}
     before_object = {"=", "(", ",", "[", "!", "&", "|", "?"} | words - {"do", "else", "of"}
+    literals = {"`", "tag", "element"}
 
-    def scan(text):
+    def scan(text, tags=True):
         text = text or ""
         size, pos = len(text), trivia.match(text or "").end()
         out = [("", text[:pos])]
-        # Open brackets and templates; a bracket holds what a slash behind its closer is.
-        stack: list[tuple[str, bool]] = []
-        # Of the outermost open template: its start, and where reading goes on if it never closes.
-        outer, back = -1, None
+        # Open brackets and literals. A bracket holds what a slash behind its closer is; a tag or an
+        # element its name and whether the literal began with it.
+        stack: list[tuple] = []
+        # Where the outermost literal began, to read it as ordinary signs if it never ends; where the piece at hand began.
+        back, piece = None, 0
         earlier = prev = ""
         wants = True
-        unclosed = set()
+        broken = set()
+
+        def cut(end, behind):
+            """The piece at hand as a token, or behind the brace before it, where it might look like code."""
+            if "\n" in text[piece:end] or any(x in text[piece:end] for x in "<`$"):
+                out.append((text[piece:end], text[end:behind]))
+            elif piece < behind:
+                out[-1] = (out[-1][0], out[-1][1] + text[piece:behind])
+
         while True:
-            if pos >= size:
-                if outer < 0:
-                    return out
-                # A backtick that nothing closes is text.
-                unclosed.add(outer)
-                pos, stack, earlier, prev, wants = back
-                outer = -1
-            if stack and stack[-1][0] == "`":
+            mode = stack[-1][0] if stack else ""
+            failed = pos >= size
+            if failed and back is None:
+                return out
+            if not failed and mode == "`":
                 m = in_template.match(text, pos)
                 pos = m.end()
                 if m[0] == "${":
-                    stack.append(("${", False))
-                    earlier, prev, wants = prev, "{", True
-                    pos = trivia.match(text, pos).end()
+                    cut(pos - 1, pos - 1)
                 elif m[0] == "`":
                     stack.pop()
-                    earlier, prev, wants = prev, "`", False
                     end = trivia.match(text, pos).end()
-                    if not any(kind == "`" for kind, _ in stack):
-                        out.append((text[outer:pos], text[pos:end]))
-                        outer = -1
-                    pos = end
+                    out.append((text[piece:pos], text[pos:end]))
+                    earlier, prev, wants, pos = prev, "`", False, end
+                    if not any(kind in literals for kind, *_ in stack):
+                        back = None
+                    continue
+                else:
+                    continue
+            elif not failed and mode == "tag":
+                m = in_tag.match(text, pos)
+                pos = m.end() if m else pos
+                _, name, first = stack[-1]
+                if text.startswith("/>", pos):
+                    stack.pop()
+                    pos += 2
+                    ended = first
+                elif text.startswith(">", pos):
+                    stack[-1] = ("element", name, first)
+                    pos += 1
+                    continue
+                elif text.startswith("{", pos):
+                    cut(pos, pos)
+                    pos += 1
+                    ended = None
+                else:
+                    failed, ended = True, None
+                if ended is False:
+                    continue
+            elif not failed and mode == "element":
+                m = in_element.match(text, pos)
+                pos = m.end() if m else pos
+                _, name, first = stack[-1]
+                if m and pos >= size:
+                    continue
+                close, opened = tag_end.match(text, pos), tag_start.match(text, pos)
+                ended = None
+                if text.startswith("{", pos):
+                    cut(pos, pos)
+                    pos += 1
+                elif close and close[1] == name:
+                    stack.pop()
+                    pos = close.end()
+                    if not first:
+                        continue
+                    ended = True
+                elif opened:
+                    stack.append(("tag", opened[1] or "", False))
+                    pos = opened.end()
+                    continue
+                else:
+                    failed = True
+            if failed:
+                start, stack, earlier, prev, wants, length = back
+                broken.add(start)
+                del out[length:]
+                out[-1] = back_trivia
+                pos, back = start, None
+                continue
+            if mode in ("tag", "element") and ended:
+                end = trivia.match(text, pos).end()
+                out.append((text[piece:pos], text[pos:end]))
+                earlier, prev, wants, pos = prev, ">>", False, end
+                if not any(kind in literals for kind, *_ in stack):
+                    back = None
+                continue
+            if mode in literals:  # an expression begins
+                stack.append(("${", False))
+                end = trivia.match(text, pos).end()
+                out.append(("{", text[pos:end]))
+                earlier, prev, wants, pos = prev, "{", True, end
                 continue
             c = text[pos]
-            if c == "`" and pos not in unclosed:
-                if outer < 0:
-                    outer, back = pos, (pos, list(stack), earlier, prev, wants)
-                stack.append(("`", False))
-                pos += 1
+            tag = tag_start.match(text, pos) if c == "<" and tags and wants else None
+            if (c == "`" or tag) and pos not in broken:
+                if back is None:
+                    back, back_trivia = (pos, list(stack), earlier, prev, wants, len(out)), out[-1]
+                piece = pos
+                stack.append(("`", False) if c == "`" else ("tag", tag[1] or "", True))
+                pos = pos + 1 if c == "`" else tag.end()
                 continue
             m = regex.match(text, pos) if c == "/" and wants and not (prev == "}" and text.startswith("/>", pos)) else None
             literal = m is not None
@@ -88,15 +169,16 @@ def script_scanner() -> Callable[[str | None], list[tuple[str, str]]]:
             elif sig in (")", "]", "}"):
                 if sig == "}" and stack and stack[-1][0] == "${":
                     stack.pop()
+                    out.append(("}", ""))
                     pos += 1
+                    piece = pos
                     continue
                 opener = {")": "(", "]": "[", "}": "{"}[sig]
                 wanted = sig == "}"
                 if stack and stack[-1][0] == opener:
                     wanted = stack.pop()[1]
             end = trivia.match(text, m.end()).end()
-            if outer < 0:
-                out.append((sig, text[m.end() : end]))
+            out.append((sig, text[m.end() : end]))
             earlier, prev, wants, pos = prev, sig, wanted, end
 
     return scan
@@ -169,6 +251,27 @@ def ruby_scanner() -> Callable[[str | None], list[tuple[str, str]]]:
     return scan
 
 
-def scanned(content: Column, scanner: Callable[[], Callable]) -> Column:
-    """The tokens of a text and the trivia behind each; the first has no token, only the leading trivia."""
-    return F.udf(scanner(), TOKENS)(content)
+def scanned(content: Column, scanner: Callable[[], Callable], *more: Column) -> Column:
+    """The tokens of a text and the trivia behind each; the first has no token, only the leading trivia.
+
+    Texts are taken a few at a time, so that only their tokens are Python objects.
+    """
+    scan, rows, shape = scanner(), SLICE, pa.list_(pa.struct([("sig", pa.string()), ("trivia", pa.string())]))
+
+    def cut(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for columns in batches:
+            done = [pa.array([], shape)]
+            for start in range(0, len(columns[0]), rows):
+                found = [scan(*values) for values in zip(*(c.slice(start, rows).to_pylist() for c in columns), strict=True)]
+                pairs = [pair for tokens in found for pair in tokens]
+                ends = [0]
+                for tokens in found:
+                    ends.append(ends[-1] + len(tokens))
+                parts = [pa.array([p[k] for p in pairs], pa.string()) for k in (0, 1)]
+                done.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(parts, ["sig", "trivia"])))
+            yield pa.concat_arrays(done)
+
+    def one(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return cut((texts,) for texts in batches)
+
+    return F.arrow_udf(cut if more else one, TOKENS)(content, *more)
