@@ -93,7 +93,7 @@ def walk_multi_entry(spark, sf):
     return _walk_rows(graph.walk_many(imports, entries, 2, 50), fx.files(spark, sf))
 
 
-def _bm25_sql(table: str, key: str, terms: list[str]) -> str:
+def bm25_sql(table: str, key: str, terms: list[str]) -> str:
     """BM25 of ``table(…, text)``: whole-corpus statistics, all terms required."""
     listed = ", ".join(f"'{t}'" for t in terms)
     return f"""tk as (select {key}, regexp_extract_all(lower(text), '[\\p{{L}}]+|[\\p{{N}}]+|[^\\p{{L}}\\p{{N}}\\s]') t from {table}),
@@ -106,7 +106,7 @@ def _bm25_sql(table: str, key: str, terms: list[str]) -> str:
 
 _FILE_TEXT = "corpus as (select project, file_path, searchable as text from files)"
 _FOUND_ENTRIES = (
-    _FILE_TEXT + ",\n" + _bm25_sql("corpus", "project, file_path", ["red", "widget"])
+    _FILE_TEXT + ",\n" + bm25_sql("corpus", "project, file_path", ["red", "widget"])
     + f""",
  top as (select *, row_number() over (partition by project order by score desc, file_path) r from sc),
  entries as (select project walk, project, file_path path, r ord from top where r <= {ENTRY_SEARCH_LIMIT})"""
@@ -128,7 +128,7 @@ def walk_from_search(spark, sf):
 
 @catalog.add(
     "search_files",
-    W("files", extra=_FILE_TEXT + ",\n" + _bm25_sql("corpus", "project, file_path", ["hot", "ts"]))
+    W("files", extra=_FILE_TEXT + ",\n" + bm25_sql("corpus", "project, file_path", ["hot", "ts"]))
     + """select project, file_path, ltrim(substr(file_path, length(project) + 1), '/') relative_path, score, r as rank from (
  select *, row_number() over (partition by project order by score desc, file_path) r from sc) z where r <= 10""",
 )
@@ -143,7 +143,7 @@ def search_files(spark, sf):
 
 @catalog.add(
     "search_documents",
-    "with corpus as (select doc_id, text from documents),\n" + _bm25_sql("corpus", "doc_id", [",", "the"])
+    "with corpus as (select doc_id, text from documents),\n" + bm25_sql("corpus", "doc_id", [",", "the"])
     + "\nselect doc_id, score from sc order by score desc, doc_id limit 10",
 )
 def search_documents(spark, sf):
@@ -153,7 +153,7 @@ def search_documents(spark, sf):
 
 @catalog.add(
     "search_postings",
-    "with corpus as (select doc_id, text from documents),\n" + _bm25_sql("corpus", "doc_id", ["de", "la"])
+    "with corpus as (select doc_id, text from documents),\n" + bm25_sql("corpus", "doc_id", ["de", "la"])
     + "\nselect doc_id, score from sc order by score desc, doc_id limit 10",
 )
 def search_postings(spark, sf):

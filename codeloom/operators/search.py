@@ -144,5 +144,44 @@ def search_postings(
     )
 
 
+def terms_of(spark: SparkSession, queries: list[str]) -> list[list[str]]:
+    """Distinct tokens of each query."""
+    asked = spark.createDataFrame(list(enumerate(queries)), "query int, text string")
+    rows = asked.select("query", F.array_sort(F.array_distinct(analyze(F.col("text")))).alias("terms")).collect()
+    return [list(r.terms) for r in sorted(rows)]
+
+
+def rank_postings(
+    hits: DataFrame,
+    asked: list[list[str]],
+    n: int,
+    avgdl: float,
+    limit: int,
+    project: str | None = None,
+    by_project: bool = False,
+    params: Bm25 = Bm25(),
+) -> DataFrame:
+    """(query, project, file_path, score, rank) from the postings of all terms of all queries, read once.
+
+    ``hits`` has (token, project, file_path, tf, dl); frequencies count over all of them, ``project`` filters
+    the ranking. A query without terms has no result.
+    """
+    spark = hits.sparkSession
+    rows = [(q, t, len(terms)) for q, terms in enumerate(asked) for t in terms]
+    terms = F.broadcast(spark.createDataFrame(rows, "query int, token string, needed int"))
+    frequency = F.broadcast(hits.groupBy("token").agg(F.count("*").alias("df")))  # one row per term
+    mine = hits if project is None else hits.filter(F.col("project") == project)
+    part = _score(F.col("tf"), F.col("dl"), F.col("df"), F.lit(n), F.lit(avgdl), params)
+    scored = (
+        mine.join(frequency, "token")
+        .join(terms, "token")
+        .groupBy("query", "needed", "project", "file_path")
+        .agg(F.round(F.sum(part), params.digits).alias("score"), F.count("*").alias("matched"))
+        .filter("matched = needed")
+        .select("query", "project", "file_path", "score")
+    )
+    return _top(scored, ["query", "project"] if by_project else ["query"], "file_path", limit)
+
+
 def corpus_size(corpus: DataFrame, text: str) -> DataFrame:
     return corpus.agg(F.count("*").alias("n"), F.avg(F.size(analyze(F.col(text)))).alias("avgdl"))

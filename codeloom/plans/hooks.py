@@ -30,8 +30,8 @@ def context(spark: SparkSession, store: CodeStore, command: str, payload: dict)
     """The text a hook adds, or None when it has nothing to say."""
     cwd = payload.get("cwd") or ""
     roots = spark.createDataFrame([(cwd,)], "project string")
-    files = store.files().filter(f"project = {_quote(cwd)}")
-    imports = store.imports().filter(f"project = {_quote(cwd)}")
+    view = store.view()
+    files, imports = view.files(cwd), view.imports(cwd)
     if command == "hook:context":
         guide = "Ask the import graph about structure before searching file contents."
         status = _texts(views.session_context(files, imports, roots)) if cwd else []

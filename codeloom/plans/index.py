@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +15,7 @@ from codeloom.parse.project import parse_statements, split_parse
 from codeloom.session import durable
 from codeloom.sources import gittext
 from codeloom.sources.listing import existing, list_tree, read_sources
-from codeloom.sources.store import CodeStore
+from codeloom.sources.store import Change, CodeStore
 
 
 def parse_sources(sources: DataFrame, exists: Exists, strict_compat: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -29,7 +32,7 @@ def _hashes(paths: DataFrame) -> DataFrame:
     )
 
 
-def _store_paths(store: CodeStore, paths: DataFrame, exists: Exists) -> None:
+def _store_paths(store: CodeStore | Change, paths: DataFrame, exists: Exists) -> None:
     """Read, parse and store (project, file_path) rows.
 
     The contents are written down once, so that tokens, texts and hash come from the same
@@ -38,11 +41,22 @@ def _store_paths(store: CodeStore, paths: DataFrame, exists: Exists) -> None:
     sources = durable(read_sources(paths).filter(F.col("content").isNotNull()))
     files, edges = parse_sources(sources, exists)
     files, edges = durable(files), durable(edges)
-    store.upsert_files(files)
-    store.replace_imports(files.select("project", F.col("file_path").alias("source_path")), edges)
+    with _one(store) as change:
+        change.upsert_files(files)
+        change.replace_imports(files.select("project", F.col("file_path").alias("source_path")), edges)
+
+
+@contextmanager
+def _one(store: CodeStore | Change) -> Iterator[Change]:
+    """A change of its own, or the one at hand."""
+    if isinstance(store, Change):
+        yield store
+    else:
+        with store.change() as change:
+            yield change
 
 
-def _store_changed(store: CodeStore, hashes: DataFrame, exists: Exists) -> None:
+def _store_changed(store: Change, hashes: DataFrame, exists: Exists) -> None:
     """Index the readable files whose hash differs from the stored one."""
     changed = changes.needs_parse(hashes.filter(F.col("content_hash").isNotNull()), store.files())
     _store_paths(store, durable(changed.select("project", "file_path")), exists)
@@ -60,13 +74,14 @@ def full_index(store: CodeStore, projects: list[str], purge: bool = False) -> Da
     """
     listing = list_tree(store.spark, projects)
     hashes = _hashes(listing.filter("indexable").select("project", F.col("path").alias("file_path")))
-    _store_changed(store, hashes, in_listing(listing))
     roots = store.spark.createDataFrame([(p,) for p in projects], "project string")
-    if purge:
-        here = hashes.select("project", "file_path")
-        known = store.files().join(roots, "project", "left_semi").select("project", "file_path")
-        store.remove(known.join(here, ["project", "file_path"], "left_anti"))
-    store.save_status(roots, durable(gittext.parse_status(gittext.command_lines(roots, gittext.STATUS))))
+    with store.change() as change:  # files, edges, removals and the status are one version
+        _store_changed(change, hashes, in_listing(listing))
+        if purge:
+            here = hashes.select("project", "file_path")
+            known = change.files().join(roots, "project", "left_semi").select("project", "file_path")
+            change.remove(known.join(here, ["project", "file_path"], "left_anti"))
+        change.save_status(roots, durable(gittext.parse_status(gittext.command_lines(roots, gittext.STATUS))))
     return roots.join(_counts(hashes), "project", "left").fillna(0)
 
 
@@ -81,13 +96,14 @@ def index_files(store: CodeStore, paths: DataFrame) -> None:
     _store_paths(store, paths, on_disk)
 
 
-def incremental_index(store: CodeStore, found: DataFrame) -> DataFrame:
+def incremental_index(store: CodeStore | Change, found: DataFrame) -> DataFrame:
     """Apply changes (project, path, change); (project, indexed, removed)."""
     actions = durable(changes.split_changes(found, existing(found)))
-    store.remove(actions.filter("action = 'remove'").select("project", F.col("path").alias("file_path")))
     todo = actions.filter("action = 'index'").select("project", F.col("path").alias("file_path"))
     hashes = _hashes(todo)
-    _store_changed(store, hashes, on_disk)
+    with _one(store) as change:
+        change.remove(actions.filter("action = 'remove'").select("project", F.col("path").alias("file_path")))
+        _store_changed(change, hashes, on_disk)
     removed = changes.action_counts(actions).select("project", "removed")
     return removed.join(_counts(hashes).select("project", "indexed"), "project", "left").select(
         "project", F.coalesce("indexed", F.lit(0)).alias("indexed"), "removed"
@@ -108,8 +124,9 @@ def detect_changes(store: CodeStore | None, spark, projects: list[str]) -> tuple
     on_disk = existing(last.select("project", "path"))
     found = durable(changes.diff_status(last, current, on_disk))
     if store is not None:
-        counts = durable(incremental_index(store, found))
-        store.save_status(roots, current)
+        with store.change() as change:
+            counts = durable(incremental_index(change, found))
+            change.save_status(roots, current)
         return found, counts
     todo = found.filter("change = 'modified'").select("project", F.col("path").alias("file_path"))
     parsed = _counts(_hashes(todo)).select("project", "indexed")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.functions.paths import relative_path
-from codeloom.operators import cycles, detail, graph, search, stats
+from codeloom.operators import cycles, detail, graph, stats
 from codeloom.operators.resolve import on_disk
 from codeloom.plans import index
 from codeloom.schema import DEFAULT_MAX_DEPTH, DEFAULT_MAX_RESULTS, DEFAULT_SEARCH_LIMIT, ENTRY_SEARCH_LIMIT
@@ -102,46 +102,36 @@ class Toolbox:
         store = self._need_store()
         depth = DEFAULT_MAX_DEPTH if max_depth is None else max_depth
         results = DEFAULT_MAX_RESULTS if max_results is None else max_results
-        entries = graph.entry_frame(self.spark, project, [])
-        for k, entry in enumerate(entry_points):
-            if entry.startswith("/"):
-                more = self.spark.createDataFrame([("walk", project, entry, k * 100)], entries.schema)
-            else:
-                found = self._search(store, project, entry, ENTRY_SEARCH_LIMIT, ranked=True)
-                more = found.select(
-                    F.lit("walk").alias("walk"), "project", F.col("file_path").alias("path"),
-                    (F.lit(k * 100) + F.col("rank")).cast("bigint").alias("ord"),
-                )
-            entries = entries.unionByName(more)
-        imports = store.imports().filter(F.col("project") == project)
-        walked = graph.walk_many(imports, entries, depth, results)
-        files = store.files().filter(F.col("project") == project)
-        return graph.attach_symbols(walked, files).orderBy("pos").select(
+        view = store.view()
+        paths = [(k, e) for k, e in enumerate(entry_points) if e.startswith("/")]
+        asked = [k for k, e in enumerate(entry_points) if not e.startswith("/")]
+        rows = [("walk", project, path, k * 100) for k, path in paths]
+        entries = self.spark.createDataFrame(rows, "walk string, project string, path string, ord bigint")
+        if asked:
+            found = view.search([entry_points[k] for k in asked], ENTRY_SEARCH_LIMIT, project)
+            place = F.element_at(F.array(*[F.lit(k * 100) for k in asked]), F.col("query") + 1)
+            entries = entries.unionByName(
+                found.select(F.lit("walk").alias("walk"), "project", F.col("file_path").alias("path"), (place + F.col("rank")).cast("bigint").alias("ord"))
+            )
+        walked = graph.walk_many(view.imports(project), entries, depth, results)
+        return graph.attach_symbols(walked, view.files(project)).orderBy("pos").select(
             _relative().alias("path"), "reason", "depth", _camel().alias("symbols")
         )
 
-    def _search(self, store: CodeStore, project: str, query: str, limit: int, ranked: bool = False) -> DataFrame:
-        # Statistics cover all projects; only the hits are filtered.
-        literal = project.replace("\\", "\\\\").replace("'", "\\'")
-        return search.search(
-            store.files().select("project", "file_path", "searchable"), "searchable", "file_path", query, limit,
-            keep=f"project = '{literal}'", by=["project"] if ranked else None,
-        )
-
     def search(self, project: str, query: str, limit: int = DEFAULT_SEARCH_LIMIT) -> DataFrame:
-        store = self._need_store()
-        hits = self._search(store, project, query, limit)
-        files = store.files().filter(F.col("project") == project).select("project", "file_path", "symbols")
+        view = self._need_store().view()
+        hits = view.search([query], limit, project)
+        files = view.files(project).select("project", "file_path", "symbols")
         return (
-            files.join(F.broadcast(hits), ["project", "file_path"])  # at most ``limit`` rows
+            files.join(hits, ["project", "file_path"])
             .orderBy(F.desc("score"), "file_path")
             .select(F.col("file_path").alias("filePath"), _relative().alias("relativePath"), _camel().alias("symbols"))
         )
 
     def stats(self, project: str) -> DataFrame:
         store = self._need_store()
-        here = F.col("project") == project
-        counted = stats.project_stats(store.files().filter(here), store.imports().filter(here))
+        view = store.view()
+        counted = stats.project_stats(view.files(project), view.imports(project))
         root = self.spark.createDataFrame([(project,)], "project string")
         return root.join(counted, "project", "left").select(
             F.coalesce("total_files", F.lit(0)).alias("totalFiles"),
@@ -152,9 +142,9 @@ class Toolbox:
     def get_file_info(self, project: str, file_path: str) -> DataFrame:
         """One row, none if the file is unknown."""
         store = self._need_store()
-        here = F.col("project") == project
+        view = store.view()
         keys = detail.distinct_keys(self.spark.createDataFrame([(project, file_path)], "project string, file_path string"))
-        found = detail.detail_of(store.files().filter(here), store.imports().filter(here), keys)
+        found = detail.detail_of(view.files(project), view.imports(project), keys)
         return found.select(
             F.col("file_path").alias("filePath"),
             _relative().alias("relativePath"),
@@ -166,7 +156,7 @@ class Toolbox:
 
     def find_cycles(self, project: str) -> DataFrame:
         store = self._need_store()
-        found = cycles.find_cycles(store.imports().filter(F.col("project") == project))
+        found = cycles.find_cycles(store.imports(project))
         return cycles.relative_cycles(found).select("cycle", "length")
 
     def rules(self, project: str | None = None) -> DataFrame:

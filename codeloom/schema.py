@@ -52,6 +52,15 @@ SNAPSHOTS = T.StructType(
     ]
 )
 
+# Search index: one row per file and its text's length, one per token of a text, one per text that is gone.
+# ``seq`` names the change that a text came with.
+DOCS = T.StructType([T.StructField(n, T.StringType()) for n in ("project", "file_path", "seq")] + [T.StructField("dl", T.LongType())])
+POSTINGS = T.StructType(
+    [T.StructField(n, T.StringType()) for n in ("token", "project", "file_path", "seq")]
+    + [T.StructField(n, T.LongType()) for n in ("tf", "dl")]
+)
+GONE = T.StructType([T.StructField(n, T.StringType()) for n in ("project", "file_path", "seq")])
+
 # ---- Fixed values: these must equal the established tool's for equal results. ----
 
 LANGUAGE_BY_EXTENSION = {

@@ -1,166 +1,265 @@
-"""The three tables as partitioned Parquet tables of the session catalog."""
+"""The tables of one store, as Parquet folders under published versions, and the search index kept with them."""
 
 from __future__ import annotations
 
-from functools import reduce
+import copy
+import hashlib
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.functions.text import epoch_ms
-from codeloom.operators import changes
-from codeloom.schema import FILES, IMPORTS, SNAPSHOTS
+from codeloom.functions.text import analyze, epoch_ms
+from codeloom.operators import changes, search
+from codeloom.schema import DOCS, FILES, GONE, IMPORTS, POSTINGS, SNAPSHOTS
 from codeloom.session import durable, durable_counted, spread_join
+from codeloom.sources.versions import Versions
 
-_TABLES = {"code_file": FILES, "code_import": IMPORTS, "code_status": SNAPSHOTS}
-# The path that orders a table's rows and picks their bucket.
-_PATH = {"code_file": "file_path", "code_import": "source_path", "code_status": "path"}
-_PARTITION = ["project", "bucket"]
+# Rows lie in parts by project and by a bucket of this path; postings in parts by token.
+_PATHS = {"code_file": "file_path", "code_import": "source_path", "code_status": "path", "code_doc": "file_path"}
+_SCHEMAS = {"code_file": FILES, "code_import": IMPORTS, "code_status": SNAPSHOTS, "code_doc": DOCS, "code_token": POSTINGS, "code_gone": GONE}
+TOKEN_PARTS = 16
+# Segments of postings that are kept before a change merges them.
+SEGMENTS = 16
 
 
-class CodeStore:
-    """Reads and maintains the tables of one database.
-
-    Tables are partitioned by project and by a bucket of the path. A change rewrites only
-    the partitions that hold its rows: they are merged, staged in the checkpoint folder and
-    swapped in with a dynamic partition overwrite, so readers see a partition before or
-    after the change. One bucket suits many small projects; raise ``buckets`` when a single
-    project holds much of the data, so that a small change stays a small rewrite. The
-    number is stored with the tables and read when they are opened; asking for another one
-    is an error.
+def _digest(text: str, digits: int) -> str:
+    return hashlib.md5(text.encode(), usedforsecurity=False).hexdigest()[:digits]
+
+
+def _token_part(token: str) -> str:
+    return f"t{int(_digest(token, 6), 16) % TOKEN_PARTS}"
+
+
+class View:
+    """One version of the tables: whatever is published meanwhile, all reads are of this version.
+
+    With ``project``, only that project's folders are read.
     """
 
-    def __init__(
-        self, spark: SparkSession, database: str = "codeloom", location: str | None = None, buckets: int | None = None
-    ):
-        self.spark, self.database, self.location = spark, database, location
-        stored = self._stored_buckets()
-        if None not in (stored, buckets) and stored != buckets:
-            raise ValueError(f"{database} has {stored} buckets, not {buckets}")
-        self.buckets = stored or buckets or 1
-        self.init_schema()
-
-    def _stored_buckets(self) -> int | None:
-        """The number of buckets that the tables were made with, as the catalog or their place says."""
-        if self.spark.catalog.tableExists(f"{self.database}.code_file"):
-            properties = self.spark.sql(f"SHOW TBLPROPERTIES {self.database}.code_file").collect()
-            found = {r["key"]: r["value"] for r in properties}.get("codeloom.buckets")
-            return int(found) if found else None
-        if self.location:
-            jvm = self.spark.sparkContext._jvm
-            marks = jvm.org.apache.hadoop.fs.Path(f"{self.location}/_buckets=*")
-            held = marks.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(marks)
-            if held:
-                return int(held[0].getPath().getName().partition("=")[2])
-        return None
-
-    def _mark_buckets(self) -> None:
-        if self.location:
-            mark = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.location}/_buckets={self.buckets}")
-            mark.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(mark)
-
-    def init_schema(self) -> None:
-        """Create what is missing; running it again changes nothing."""
-        place = f" LOCATION '{self.location}'" if self.location else ""
-        self.spark.sql(f"CREATE DATABASE IF NOT EXISTS {self.database}{place}")
-        for name, schema in _TABLES.items():
-            known = self.spark.catalog.tableExists(f"{self.database}.{name}")
-            columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema)
-            at = f" LOCATION '{self.location}/{name}'" if self.location else ""
-            self.spark.sql(
-                f"CREATE TABLE IF NOT EXISTS {self.database}.{name} ({columns}, bucket int)"
-                f" USING parquet PARTITIONED BY (project, bucket){at} TBLPROPERTIES ('codeloom.buckets' = '{self.buckets}')"
-            )
-            if self.location and not known:
-                self._mark_buckets()
-                # An empty append makes the folder; the repair finds partitions written by other sessions.
-                self._placed(name, self.spark.createDataFrame([], schema)).write.insertInto(f"{self.database}.{name}")
-                self.spark.sql(f"MSCK REPAIR TABLE {self.database}.{name}")
-
-    def _bucket(self, path: str) -> Column:
-        return F.pmod(F.xxhash64(path), F.lit(self.buckets)).cast("int").alias("bucket")
-
-    def _placed(self, name: str, rows: DataFrame) -> DataFrame:
-        """Rows in the table's column order, partition columns last."""
-        data = [c for c in _TABLES[name].fieldNames() if c != "project"]
-        return rows.select(*data, "project", self._bucket(_PATH[name]))
-
-    def _table(self, name: str) -> DataFrame:
-        return self.spark.table(f"{self.database}.{name}").select(*_TABLES[name].fieldNames())
-
-    def files(self) -> DataFrame:
-        return self._table("code_file")
-
-    def imports(self) -> DataFrame:
-        return self._table("code_import")
-
-    def snapshots(self) -> DataFrame:
-        return self._table("code_status")
-
-    def _partitions(self, *rows: tuple[DataFrame, str]) -> tuple[DataFrame, int]:
-        """The distinct partitions of (rows, path column) pairs, stored and counted."""
-        found = [df.select("project", self._bucket(path)) for df, path in rows]
-        return durable_counted(reduce(DataFrame.unionByName, found).distinct())
-
-    def _within(self, name: str, touched: tuple[DataFrame, int]) -> DataFrame:
-        """The table's rows in the touched partitions; others are pruned from the scan."""
-        whole = self.spark.table(f"{self.database}.{name}")
-        kept = spread_join(whole, touched[0], _PARTITION, F.col(_PATH[name]), touched[1])
-        return kept.select(*_TABLES[name].fieldNames())
-
-    def _swap(self, name: str, touched: tuple[DataFrame, int], merged: DataFrame) -> None:
-        if touched[1] == 0:
+    def __init__(self, spark: SparkSession, versions: Versions, manifest: dict):
+        self.spark, self._versions, self._manifest = spark, versions, manifest
+
+    @property
+    def version(self) -> int:
+        return self._manifest["number"]
+
+    def _read(self, name: str, parts: set[str] | None = None, project: str | None = None) -> DataFrame:
+        held = self._manifest["tables"].get(name, {})
+        own = None if project is None else _digest(project, 16) + "-"
+        folders = [
+            f"{self._versions.root}/data/{name}/{commit}/part={part}"
+            for part, commits in sorted(held.items())
+            if (parts is None or part in parts) and (own is None or part.startswith(own))
+            for commit in commits
+        ]
+        schema = _SCHEMAS[name]
+        rows = self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
+        return rows if project is None else rows.filter(F.col("project") == project)
+
+    def files(self, project: str | None = None) -> DataFrame:
+        return self._read("code_file", project=project)
+
+    def imports(self, project: str | None = None) -> DataFrame:
+        return self._read("code_import", project=project)
+
+    def snapshots(self, project: str | None = None) -> DataFrame:
+        return self._read("code_status", project=project)
+
+    def create_views(self) -> None:
+        """Temporary views of this version, by the tables' names, for SQL."""
+        for name in ("code_file", "code_import", "code_status"):
+            self._read(name).createOrReplaceTempView(name)
+
+    def _live(self, postings: DataFrame) -> DataFrame:
+        """Postings of texts that are still there."""
+        gone, rows = durable_counted(self._read("code_gone"))
+        return spread_join(postings, gone, ["project", "file_path", "seq"], F.col("token"), rows, "left_anti") if rows else postings
+
+    def search(self, queries: list[str], limit: int, project: str | None = None, by_project: bool = False) -> DataFrame:
+        """(query, project, file_path, score, rank) of the texts that hold all terms of a query, best first, for all queries in one pass.
+
+        ``query`` is the place in the list. Only the postings of the queries' terms are read. Statistics cover all
+        projects; ``project`` filters what is returned. ``by_project`` counts ``limit`` by project.
+        """
+        asked = search.terms_of(self.spark, queries)
+        tokens = sorted({t for terms in asked for t in terms})
+        postings = self._read("code_token", {_token_part(t) for t in tokens}).filter(F.col("token").isin(tokens))
+        held = [self._manifest["stats"][p] for p in self._manifest["tables"].get("code_doc", {})]
+        n, length = sum(h[0] for h in held), sum(h[1] for h in held)
+        return search.rank_postings(durable(self._live(postings)), asked, n, length / n if n else 0.0, limit, project, by_project)
+
+
+class Change(View):
+    """A version in the making: reads see what was changed so far, others see nothing before it is published."""
+
+    def __init__(self, store: CodeStore, manifest: dict):
+        super().__init__(store.spark, store.versions, copy.deepcopy(manifest))
+        self.buckets = store.buckets
+
+    def _part(self, name: str) -> Column:
+        if name == "code_token":
+            part = F.concat(F.lit("t"), F.conv(F.left(F.md5(F.col("token").cast("binary")), F.lit(6)), 16, 10).cast("int") % TOKEN_PARTS)
+        elif name == "code_gone":
+            part = F.lit("all")
+        else:
+            project = F.left(F.md5(F.col("project").cast("binary")), F.lit(16))
+            part = F.concat(project, F.lit("-"), F.pmod(F.xxhash64(_PATHS[name]), F.lit(self.buckets)))
+        return part.alias("part")
+
+    def _parts(self, name: str, *keys: DataFrame) -> set[str]:
+        """Names of the parts that hold rows (project, path)."""
+        found = None
+        for rows in keys:
+            rows = rows.toDF("project", _PATHS[name]).select(self._part(name)).distinct()
+            found = rows if found is None else found.unionByName(rows)
+        return {r.part for r in found.distinct().toLocalIterator()}
+
+    def _write(self, name: str, rows: DataFrame) -> tuple[str, list[str]]:
+        """Rows in a new folder; its name and the parts it has."""
+        commit = uuid.uuid4().hex
+        rows = rows.select(*_SCHEMAS[name].fieldNames(), self._part(name))
+        # Rebalancing sizes the output files, splitting a part that holds much of the data.
+        order = ["token"] if name == "code_token" else ["project", "file_path"] if name == "code_gone" else ["project", _PATHS[name]]
+        rows.hint("rebalance", "part").sortWithinPartitions("part", *order).write.partitionBy("part").parquet(f"{self._versions.root}/data/{name}/{commit}")
+        return commit, [n[5:] for n in self._versions.names(f"data/{name}/{commit}") if n.startswith("part=")]
+
+    def _replace(self, name: str, touched: set[str], rows: DataFrame) -> None:
+        if touched:
+            commit, parts = self._write(name, rows)
+            held = self._manifest["tables"].setdefault(name, {})
+            for part in touched:
+                held.pop(part, None)
+            held.update({part: [commit] for part in parts})
+
+    def _append(self, name: str, rows: DataFrame) -> None:
+        commit, parts = self._write(name, rows)
+        for part in parts:
+            self._manifest["tables"].setdefault(name, {}).setdefault(part, []).append(commit)
+
+    def _index(self, touched: set[str], left: DataFrame, texts: DataFrame | None) -> None:
+        """Bring the search index up to date: files of ``left`` (project, file_path) lose their postings, ``texts`` get new ones."""
+        if not touched:
             return
-        staged = durable(self._placed(name, merged))
-        # Rebalancing sizes the output files, splitting a partition that holds much of the data.
-        rows = staged.hint("rebalance", *_PARTITION).sortWithinPartitions(*_PARTITION, _PATH[name])
-        # Catalog inserts take the overwrite mode from the session, not from the writer.
-        mode = "spark.sql.sources.partitionOverwriteMode"
-        before = self.spark.conf.get(mode)
-        self.spark.conf.set(mode, "dynamic")
-        try:
-            rows.write.insertInto(f"{self.database}.{name}", overwrite=True)
-        finally:
-            self.spark.conf.set(mode, before)
-        # A partition without rows left has nothing in the staged data to overwrite it.
-        emptied = touched[0].join(staged.select(*_PARTITION).distinct(), _PARTITION, "left_anti")
-        for row in emptied.toLocalIterator():
-            value = row.project.replace("\\", "\\\\").replace("'", "\\'")
-            self.spark.sql(
-                f"ALTER TABLE {self.database}.{name} DROP IF EXISTS PARTITION (project = '{value}', bucket = {row.bucket})"
-            )
+        key = ["project", "file_path"]
+        docs = self._read("code_doc", touched)
+        kept = docs.join(left, key, "left_anti")
+        self._append("code_gone", docs.join(left, key, "left_semi").select(*GONE.fieldNames()))
+        if texts is not None:
+            seq = F.lit(uuid.uuid4().hex)
+            self._append("code_token", search.postings(texts.select(*key, "searchable"), "searchable", key).withColumn("seq", seq))
+            # A text without tokens has a length of 0 and no postings.
+            fresh = texts.select(*key, F.coalesce(F.size(analyze(F.col("searchable"))), F.lit(0)).cast("bigint").alias("dl"), seq.alias("seq"))
+            kept = kept.unionByName(fresh.select(*DOCS.fieldNames()))
+        self._replace("code_doc", touched, kept)
+        counted = self._read("code_doc", touched).groupBy(self._part("code_doc")).agg(F.count("*").alias("n"), F.sum("dl").alias("dl"))
+        self._manifest["stats"].update({r["part"]: [r["n"], r["dl"]] for r in counted.toLocalIterator()})  # one row per part touched
+        if any(len(commits) > SEGMENTS for commits in self._manifest["tables"].get("code_token", {}).values()):
+            self.merge()
+
+    def merge(self) -> None:
+        """Postings as one segment without those of texts that are gone."""
+        parts = set(self._manifest["tables"].get("code_token", {}))
+        self._replace("code_token", parts, self._live(self._read("code_token")))
+        self._manifest["tables"].pop("code_gone", None)
 
     def upsert_files(self, new: DataFrame) -> None:
         new = durable(new)
-        touched = self._partitions((new, "file_path"))
-        self._swap("code_file", touched, changes.upsert_files(self._within("code_file", touched), new))
+        keys = new.select("project", "file_path").distinct()
+        touched = self._parts("code_file", keys)
+        self._replace("code_file", touched, changes.upsert_files(self._read("code_file", touched), new.select(*FILES.fieldNames())))
+        self._index(touched, keys, new)
 
     def replace_imports(self, sources: DataFrame, edges: DataFrame) -> None:
         """Replace the edges of the re-read ``sources`` (project, source_path)."""
-        touched = self._partitions((sources, "source_path"))
+        touched = self._parts("code_import", sources.select("project", "source_path"))
         stamped = edges.withColumn("updated_at_epoch", epoch_ms())
-        self._swap(
-            "code_import", touched, changes.replace_imports(self._within("code_import", touched), sources, stamped)
-        )
+        self._replace("code_import", touched, changes.replace_imports(self._read("code_import", touched), sources, stamped))
 
     def remove(self, gone: DataFrame) -> None:
         """Remove (project, file_path) rows and every edge at either end of them."""
-        gone = durable(gone.select("project", "file_path"))  # may be read from the tables changed below
-        touched = self._partitions((gone, "file_path"))
-        if touched[1] == 0:
+        gone, rows = durable_counted(gone.select("project", "file_path").distinct())
+        if rows == 0:
             return
-        self._swap("code_file", touched, changes.remove_files(self._within("code_file", touched), gone))
-        # Importers of a removed file live in the buckets of their own paths.
-        inbound = self.imports().join(
-            gone.withColumnRenamed("file_path", "target_path"), ["project", "target_path"], "left_semi"
-        )
-        touched = self._partitions((gone, "file_path"), (inbound, "source_path"))
-        self._swap("code_import", touched, changes.remove_edges(self._within("code_import", touched), gone))
+        touched = self._parts("code_file", gone)
+        # Importers of a removed file lie in the parts of their own paths.
+        ends = gone.withColumnRenamed("file_path", "target_path")
+        inbound = spread_join(self.imports(), ends, ["project", "target_path"], F.col("source_path"), rows, "left_semi")
+        edges = self._parts("code_import", gone, inbound.select("project", "source_path"))
+        self._replace("code_file", touched, changes.remove_files(self._read("code_file", touched), gone))
+        self._replace("code_import", edges, changes.remove_edges(self._read("code_import", edges), gone))
+        self._index(touched, gone, None)
 
     def save_status(self, projects: DataFrame, status: DataFrame) -> None:
         """Replace the snapshot of each project; an empty status clears it."""
         roots = projects.select("project").distinct()
-        held = self.snapshots().join(roots, "project", "left_semi")
-        touched = self._partitions((held, "path"), (status, "path"))
+        held = self.snapshots().join(roots, "project", "left_semi").select("project", "path")
+        touched = self._parts("code_status", held, status.select("project", "path"))
+        kept = self._read("code_status", touched).join(roots, "project", "left_anti")
         rows = status.select("project", "path", "code", epoch_ms().alias("updated_at_epoch"))
-        self._swap("code_status", touched, rows)
+        self._replace("code_status", touched, kept.unionByName(rows.select(*SNAPSHOTS.fieldNames())))
+
+
+class CodeStore:
+    """Reads and maintains the tables at one place.
+
+    A change rewrites only the parts that hold its rows, into new folders, and becomes visible for
+    all tables at once when its version is published; a reader that holds a ``view`` goes on with the version it
+    began with. Of two writers that began with one version the second gets a ``Conflict``. One
+    bucket suits many small projects; raise ``buckets`` when a single project holds much of the data, so that a small
+    change stays a small rewrite. The number is stored; asking for another one is an error.
+    """
+
+    def __init__(self, spark: SparkSession, database: str = "codeloom", location: str | None = None, buckets: int | None = None):
+        self.spark = spark
+        self.location = location or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/{database}.db"
+        self.versions = Versions(spark, self.location)
+        first = self.versions.latest()
+        if None not in (first, buckets) and first["buckets"] != buckets:
+            raise ValueError(f"{self.location} has {first['buckets']} buckets, not {buckets}")
+        self.buckets = first["buckets"] if first else buckets or 1
+        if first is None:
+            self.versions.publish({"number": 0, "buckets": self.buckets, "tables": {}, "stats": {}})
+
+    def view(self, version: int | None = None) -> View:
+        return View(self.spark, self.versions, self.versions.latest() if version is None else self.versions.read(version))
+
+    @contextmanager
+    def change(self) -> Iterator[Change]:
+        """Changes of any tables that are published together at the end, or not at all."""
+        change = Change(self, self.versions.latest())
+        before = copy.deepcopy(change._manifest)
+        yield change
+        if change._manifest != before:
+            change._manifest["number"] += 1
+            self.versions.publish(change._manifest)
+
+    def files(self, project: str | None = None) -> DataFrame:
+        return self.view().files(project)
+
+    def imports(self, project: str | None = None) -> DataFrame:
+        return self.view().imports(project)
+
+    def snapshots(self, project: str | None = None) -> DataFrame:
+        return self.view().snapshots(project)
+
+    def upsert_files(self, new: DataFrame) -> None:
+        with self.change() as change:
+            change.upsert_files(new)
+
+    def replace_imports(self, sources: DataFrame, edges: DataFrame) -> None:
+        with self.change() as change:
+            change.replace_imports(sources, edges)
+
+    def remove(self, gone: DataFrame) -> None:
+        with self.change() as change:
+            change.remove(gone)
+
+    def save_status(self, projects: DataFrame, status: DataFrame) -> None:
+        with self.change() as change:
+            change.save_status(projects, status)
+
+    def sweep(self, keep: int = 2) -> None:
+        self.versions.sweep(keep)

@@ -30,7 +30,8 @@ def watch_status(stream: DataFrame, store: CodeStore) -> DataStreamWriter:
             last.join(latest, ["project", "path"], "left_anti").unionByName(latest)
         )
         found = durable(changes.diff_status(last, current, existing(last)))
-        incremental_index(store, found)
-        store.save_status(roots, current)
+        with store.change() as change:
+            incremental_index(change, found)
+            change.save_status(roots, current)
 
     return stream.writeStream.foreachBatch(apply)

@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from codeloom.catalog import counts, graphs, sources, texts, upkeep
+from codeloom.catalog import counts, graphs, sources, stored, texts, upkeep
 
 entry = importlib.import_module("__spark_entry__")
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -35,7 +35,7 @@ def rows(columns, records):
     return sorted((tuple(plain(r[i]) for i in order) for r in records), key=repr)
 
 
-CORE = [counts.catalog, graphs.catalog, texts.catalog, upkeep.catalog, sources.catalog]
+CORE = [counts.catalog, graphs.catalog, texts.catalog, upkeep.catalog, sources.catalog, stored.catalog]
 
 
 def test_every_core_query_has_sql():

@@ -4,6 +4,7 @@ import json
 import subprocess
 
 import pytest
+from pyspark.sql import functions as F
 
 from codeloom.plans import hooks
 from codeloom.plans.tools import Toolbox
@@ -194,7 +195,7 @@ def test_detect_changes(spark, tmp_path, tmp_path_factory):
         ("b.ts", "deleted"), ("c.ts", "modified"), ("d.ts", "modified"),
     }
     assert [(r.indexed, r.removed) for r in counts.collect()] == [(2, 1)]
-    mine = store.files().filter(store.files().project == project)
+    mine = store.files().filter(F.col("project") == project)
     assert {r.file_path[len(project) + 1 :] for r in mine.collect()} == {"a.ts", "c.ts", "d.ts"}
     assert {(r.source_path[-4:], r.target_path[-4:]) for r in store.imports().collect()} == {("d.ts", "a.ts")}
     # A second edit under the same status code goes unseen; the deletion is reported again.
@@ -205,6 +206,6 @@ def test_detect_changes(spark, tmp_path, tmp_path_factory):
     assert parse_only.count() == 3 and counts.first().indexed == 2
 
     # Removing every file empties the project's partition and leaves other projects alone.
-    store.remove(store.files().filter(store.files().project == project).select("project", "file_path"))
+    store.remove(store.files().filter(F.col("project") == project).select("project", "file_path"))
     assert [r.project for r in store.files().collect()] == ["/elsewhere"]
     assert store.imports().count() == 0
