@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions.paths import append_extension, normalize_path, parent, to_snake_case
-from codeloom.schema import SCRIPT_EXTENSIONS
+from codeloom.schema import SCRIPT_EXTENSIONS, SKIPPED_DIRECTORIES
+from codeloom.session import durable, durable_counted, spread_join
 from codeloom.sources.listing import existing
 
 _NONE = "array<string>"
@@ -65,28 +67,54 @@ def _ancestors(path: Column) -> Column:
 Exists = Callable[[DataFrame], DataFrame]
 
 
+def _held(probes: DataFrame, found: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The probes whose path is ``found``; each different path is asked for once, and may be asked for by any share of the probes."""
+    held, rows = durable_counted(found(probes.select("project", "path").distinct()))
+    return spread_join(probes, held, ["project", "path"], F.xxhash64(*probes.columns), rows, "left_semi")
+
+
 def in_listing(listing: DataFrame) -> Exists:
     """Existence by a (project, path) listing of every file and directory, indexed or not."""
     known = listing.select("project", "path").distinct()
-    return lambda probes: probes.join(known, ["project", "path"], "left_semi")
+    return lambda probes: _held(probes, lambda asked: asked.join(known, ["project", "path"], "left_semi"))
 
 
 def on_disk(probes: DataFrame) -> DataFrame:
     """Existence by asking the file system about the probed paths only."""
-    return probes.join(existing(probes), ["project", "path"], "left_semi")
+    return _held(probes, existing)
+
+
+def in_tree(listing: DataFrame) -> Exists:
+    """Existence by a listing that does not enter skipped folders; paths inside those are asked of the file system."""
+    known = listing.select("project", "path").distinct()
+    names = "|".join(re.escape(n) for n in sorted(SKIPPED_DIRECTORIES))
+    inside = F.expr("substring(path, length(project) + 1)").rlike(rf"/(?:{names}|\.[^/]+)/")
 
+    def found(asked: DataFrame) -> DataFrame:
+        listed = asked.filter(~inside).join(known, ["project", "path"], "left_semi")
+        return listed.unionByName(existing(asked.filter(inside)))
 
-def nearest_root(paths: DataFrame, exists: Exists, marker: str) -> DataFrame:
-    """(project, source_path, root): the closest ancestor directory that holds ``marker``."""
-    above = paths.select("project", "source_path").distinct().withColumn("root", F.explode(_ancestors(F.col("source_path"))))
-    marked = exists(above.withColumn("path", F.concat("root", F.lit("/" + marker))))
-    return marked.groupBy("project", "source_path").agg(F.max_by("root", F.length("root")).alias("root"))
+    return lambda probes: _held(probes, found)
+
+
+def nearest_roots(paths: DataFrame, exists: Exists, markers: dict[str, str]) -> DataFrame:
+    """(project, folder, and a column for each of ``markers``): the closest directory at or above each path's folder that holds the marker.
+
+    Each different folder is looked at once, for all markers together.
+    """
+    folders = paths.select("project", parent(F.col("source_path")).alias("folder")).distinct()
+    marks = F.array(*[F.lit(f"/{m}") for m in markers.values()])
+    # A name below the folder, so that the folder itself is among the ancestors.
+    above = folders.withColumn("root", F.explode(_ancestors(F.concat("folder", F.lit("/x"))))).withColumn("mark", F.explode(marks))
+    marked = exists(above.withColumn("path", F.concat("root", "mark")))
+    nearest = [F.max_by(F.when(F.col("mark") == f"/{m}", F.col("root")), F.when(F.col("mark") == f"/{m}", F.length("root"))).alias(c) for c, m in markers.items()]
+    return marked.groupBy("project", "folder").agg(*nearest)
 
 
 def resolve_imports(raw: DataFrame, exists: Exists, strict_compat: bool = False) -> DataFrame:
     """Resolved edges (project, source_path, target_path, specifier, symbols, ord).
 
-    ``raw`` is (project, source_path, specifier, kind, symbols, ord) and is read three times,
+    ``raw`` is (project, source_path, specifier, kind, symbols, ord) and is read twice,
     so it should come from a stored parse. Unresolved imports are dropped and the first of
     several equal edges wins.
 
@@ -94,11 +122,10 @@ def resolve_imports(raw: DataFrame, exists: Exists, strict_compat: bool = False)
     ``strict_compat`` they start at the importing file and so never resolve.
     """
     source, specifier, kind = F.col("source_path"), F.col("specifier"), F.col("kind")
-    elixir = nearest_root(raw.filter(kind == "elixir"), exists, "mix.exs").withColumnRenamed("root", "mix_root")
-    crates = nearest_root(raw.filter(kind == "rust_use"), exists, "Cargo.toml").select(
-        "project", "source_path", F.concat("root", F.lit("/src")).alias("crate_src")
-    )
-    rooted = raw.join(elixir, ["project", "source_path"], "left").join(crates, ["project", "source_path"], "left")
+    rooted = raw.withColumn("folder", parent(source))
+    roots = nearest_roots(raw.filter(kind.isin("elixir", "rust_use")), exists, {"mix_root": "mix.exs", "crate": "Cargo.toml"})
+    roots, rows = durable_counted(roots.withColumn("crate_src", F.concat("crate", F.lit("/src"))).drop("crate"))
+    rooted = spread_join(rooted, roots, ["project", "folder"], F.xxhash64("source_path", "ord"), rows, "left")
     crate_root = source if strict_compat else F.coalesce(F.col("crate_src"), source)
     candidates = (
         F.when(kind == "script", _script(source, specifier))
@@ -110,7 +137,7 @@ def resolve_imports(raw: DataFrame, exists: Exists, strict_compat: bool = False)
     probes = rooted.select(
         "project", "source_path", "specifier", "symbols", "ord", F.posexplode(candidates).alias("probe", "path")
     )
-    hits = exists(probes)
+    hits = exists(durable(probes))
     # The best probe of each written import, then the first of equal edges: one grouping
     # each, both pre-aggregated, and the second on a key that extends the first.
     best = hits.groupBy("project", "source_path", "specifier", "ord").agg(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.text import content_hash
 from codeloom.operators import changes
-from codeloom.operators.resolve import Exists, in_listing, on_disk, resolve_imports
+from codeloom.operators.resolve import Exists, in_tree, on_disk, resolve_imports
 from codeloom.parse.project import parse_statements, split_parse
 from codeloom.session import durable
 from codeloom.sources import gittext
@@ -72,11 +72,11 @@ def full_index(store: CodeStore, projects: list[str], purge: bool = False) -> Da
 
     Files that vanished stay in the tables unless ``purge`` is set.
     """
-    listing = list_tree(store.spark, projects)
+    listing = list_tree(store.spark, projects, skipped=False)
     hashes = _hashes(listing.filter("indexable").select("project", F.col("path").alias("file_path")))
     roots = store.spark.createDataFrame([(p,) for p in projects], "project string")
     with store.change() as change:  # files, edges, removals and the status are one version
-        _store_changed(change, hashes, in_listing(listing))
+        _store_changed(change, hashes, in_tree(listing))
         if purge:
             here = hashes.select("project", "file_path")
             known = change.files().join(roots, "project", "left_semi").select("project", "file_path")

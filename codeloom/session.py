@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 # A side is broadcast only after its rows have been counted and found to be below this.
 BROADCAST_ROWS = 50_000
-# Replication factor of the small side when a large side is spread by salt.
+# Into how many parts the rows of a key are dealt when they are too many for one task, and from how many rows on they are.
 SALTS = 32
+HOT_ROWS = 100_000
 
 
 def spark_session(app: str = "codeloom", **conf: str) -> SparkSession:
@@ -68,12 +69,20 @@ def spread_join(
 ) -> DataFrame:
     """Join on ``keys`` where one key may hold a large share of ``big``.
 
-    ``small`` is broadcast when its counted ``small_rows`` allow it, so ``big`` never moves. Otherwise each row of
-    ``big`` takes a salt from ``spread_by`` and ``small`` is repeated once per salt, so
-    a hot key is shared by ``SALTS`` tasks. ``how`` must keep ``big`` on the left.
+    ``small`` is broadcast when its counted ``small_rows`` allow it, so ``big`` never moves. Otherwise the keys
+    with ``HOT_ROWS`` or more rows of ``big`` are found by partial counts; their rows take a salt from ``spread_by``
+    and only their rows of ``small`` are repeated once per salt, so a hot key is shared by ``SALTS`` tasks
+    and no other key is copied. ``how`` must keep ``big`` on the left.
     """
     if small_rows <= BROADCAST_ROWS:
         return big.join(F.broadcast(small), keys, how)
-    salted = big.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(SALTS)))
-    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
-    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+    counts = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    hot, n = durable_counted(counts.filter(F.col("_rows") >= HOT_ROWS).select(*keys, F.lit(True).alias("_hot")))
+    if n == 0:
+        return big.join(small, keys, how)
+    marks = F.broadcast(hot) if n <= BROADCAST_ROWS else hot
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64("_spread"), F.lit(SALTS))).otherwise(0)
+    salted = big.withColumn("_spread", spread_by).join(marks, keys, "left").withColumn("_salt", salt)
+    parts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    copies = small.join(marks, keys, "left").withColumn("_salt", F.explode(parts.cast("array<bigint>"))).drop("_hot")
+    return salted.drop("_hot", "_spread").join(copies, [*keys, "_salt"], how).drop("_salt")

@@ -25,6 +25,7 @@ def joins(request, monkeypatch):
     if request.param == "salted":
         monkeypatch.setattr(session, "BROADCAST_ROWS", -1)
         monkeypatch.setattr(session, "SALTS", 3)
+        monkeypatch.setattr(session, "HOT_ROWS", 4)
         monkeypatch.setattr(graph, "BROADCAST_ROWS", -1)
 
 
@@ -214,3 +215,17 @@ def test_first_neighbours_and_fan_in(spark):
     assert few.few == [f"/p/{k:03}" for k in range(8)]
     hub = stats.fan_in(doubled).first()
     assert (hub.fan_in, hub.distinct_importers) == (40, 20)
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_only_hot_keys_are_copied(spark, monkeypatch, how):
+    monkeypatch.setattr(session, "HOT_ROWS", 100)
+    monkeypatch.setattr(session, "SALTS", 4)
+    big = spark.createDataFrame([(0 if k % 2 else k % 40 + 1, k) for k in range(600)], "key int, n int")
+    small = spark.createDataFrame([(k, f"v{k}") for k in range(0, 60, 2)], "key int, v string")
+    spread = session.spread_join(big, small, ["key"], F.col("n"), session.BROADCAST_ROWS + 1, how)
+    assert sorted(map(tuple, spread.select(*big.columns, *(["v"] if how in ("inner", "left") else [])).collect()), key=repr) == sorted(
+        map(tuple, big.join(small, "key", how).select(*big.columns, *(["v"] if how in ("inner", "left") else [])).collect()), key=repr
+    )
+    plan = spread._jdf.queryExecution().toString()
+    assert "_hot" in plan and "explode" in plan
