@@ -45,8 +45,8 @@ _SCRIPT = _lines(
     "'export { ' || b || ' as ' || b || '_out };'",
     # Elements, which plain TypeScript has none of: their text has quotes, slashes and comment marks that are none.
     "case k % 6 when 0 then '' else 'const ' || a || '_v = c => <p>Don''t {c && <b>it''s</b>} see http://x.y {`$'"
-    " || '{import(\"./f' || k || '\")}`} /* {c > /[{]/.x(c)}</p>;' end",
-    f"'export * from ''../' || {_REF} || ''';'",
+    " || '{import(\"./../m' || (k % 10) || '/f' || k || '\")}`} /* {c > /[{]/.x(c)}</p>;' end",
+    f"'export * from ''./../' || {_REF} || ''';'",
     "'export interface ' || a || '_last { x: 1 }'",
 )
 _RUST = _lines(
@@ -154,8 +154,8 @@ _EDGES = f"""with base as ({_BASE}), listing as ({_LISTING}),
  r as (
   select {_PATH} s, k, 0 probe, '../' || {_REF} spec, '{_ROOT}/src/' || {_REF} || x.e p, a || ',helper' syms, x.n from base, (values ('.ts', 1), ('.tsx', 2), ('.js', 3)) x(e, n) where {_JS}
   union all select {_PATH}, k, 0, './f' || k, {_PATH}, '*', 1 from base where {_JS}
-  union all select {_PATH}, k, 0, './f' || k, {_PATH}, '*', 1 from base where k % 6 in (1, 2)
-  union all select {_PATH}, k, 0, '../' || {_REF}, '{_ROOT}/src/' || {_REF} || x.e, '*', x.n from base, (values ('.ts', 1), ('.tsx', 2), ('.js', 3)) x(e, n) where {_JS}
+  union all select {_PATH}, k, 0, './../m' || (k % 10) || '/f' || k, {_PATH}, '*', 1 from base where k % 6 in (1, 2)
+  union all select {_PATH}, k, 0, './../' || {_REF}, '{_ROOT}/src/' || {_REF} || x.e, '*', x.n from base, (values ('.ts', 1), ('.tsx', 2), ('.js', 3)) x(e, n) where {_JS}
   union all select {_PATH}, k, 0, 'super::m' || (h % 10) || '::f' || h, '{_ROOT}/src/' || {_REF} || '.rs', 'f' || h, 1 from base where {_RS}
   union all select {_PATH}, k, 0, 'mod f' || h, '{_ROOT}/src/m' || (k % 10) || '/f' || h || '.rs', 'f' || h, 1 from base where {_RS}
   union all select {_PATH}, k, 0, '../' || {_REF}, '{_ROOT}/src/' || {_REF} || '.rb', '*', 1 from base where {_RB}

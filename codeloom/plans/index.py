@@ -40,7 +40,11 @@ def _store_paths(store: CodeStore | Change, paths: DataFrame, exists: Exists) ->
     """
     sources = durable(read_sources(paths).filter(F.col("content").isNotNull()))
     files, edges = parse_sources(sources, exists)
-    files, edges = durable(files), durable(edges)
+    store_parsed(store, durable(files), durable(edges))
+
+
+def store_parsed(store: CodeStore | Change, files: DataFrame, edges: DataFrame) -> None:
+    """Store parsed files and their edges, both written down before, as one version."""
     with _one(store) as change:
         change.upsert_files(files)
         change.replace_imports(files.select("project", F.col("file_path").alias("source_path")), edges)
@@ -91,11 +95,6 @@ def parse_only(spark, projects: list[str]) -> DataFrame:
     return _counts(_hashes(listing.filter("indexable").select("project", F.col("path").alias("file_path"))))
 
 
-def index_files(store: CodeStore, paths: DataFrame) -> None:
-    """Parse and store single (project, file_path) rows, whatever their stored hash."""
-    _store_paths(store, paths, on_disk)
-
-
 def incremental_index(store: CodeStore | Change, found: DataFrame) -> DataFrame:
     """Apply changes (project, path, change); (project, indexed, removed)."""
     actions = durable(changes.split_changes(found, existing(found)))

@@ -13,6 +13,7 @@ from codeloom.operators import cycles, detail, graph, stats
 from codeloom.operators.resolve import on_disk
 from codeloom.plans import index
 from codeloom.schema import DEFAULT_MAX_DEPTH, DEFAULT_MAX_RESULTS, DEFAULT_SEARCH_LIMIT, ENTRY_SEARCH_LIMIT
+from codeloom.session import durable
 from codeloom.sources import rules
 from codeloom.sources.listing import read_sources
 from codeloom.sources.store import CodeStore
@@ -60,9 +61,9 @@ class Toolbox:
     def parse_file(self, project: str, file_path: str) -> DataFrame:
         """Parse one file, store it when there is a store, and return its symbols and imports."""
         paths = self.spark.createDataFrame([(project, file_path)], "project string, file_path string")
-        if self.store is not None:
-            index.index_files(self.store, paths)
-        files, edges = index.parse_sources(read_sources(paths), on_disk)
+        files, edges = map(durable, index.parse_sources(durable(read_sources(paths)), on_disk))
+        if self.store is not None:  # what is stored is what is returned
+            index.store_parsed(self.store, files.filter(F.col("content_hash").isNotNull()), edges)
         imports = edges.groupBy("project", F.col("source_path").alias("file_path")).agg(
             F.array_sort(F.collect_list(F.struct("ord", "target_path", "specifier", "symbols"))).alias("imports")
         )
@@ -168,6 +169,10 @@ class Toolbox:
     def project_path(self) -> str:
         return rules.project_path()
 
+    def json(self, result: DataFrame) -> DataFrame:
+        """A tool's result in the form it is answered in: one indented JSON text per row."""
+        return pretty_json(result)
+
     def overview(self) -> DataFrame:
         """All indexed projects with their file counts."""
         return stats.project_overview(self._need_store().files()).withColumnRenamed("n_files", "count")
