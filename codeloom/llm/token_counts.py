@@ -44,9 +44,9 @@ class PrefixCounter:
         self._rows: dict[bytes, dict] = {b"": {}}
         self._of_word = Recent(REMEMBERED)
         self._tables = Recent(REMEMBERED // 4)
-        self._of_prefix = Recent(REMEMBERED)
+        self._of_prefix = Recent(2 * REMEMBERED)
         self._total_of_chunk = Recent(REMEMBERED)
-        self._of_chunk = Recent(REMEMBERED // 3)
+        self._of_chunk = Recent(REMEMBERED)
 
     def _compile(self, row: dict, byte: int) -> tuple[dict, list, list]:
         """What follows on a byte: the next open prefixes, the tokens that may close, those that may end the word."""
