@@ -29,7 +29,7 @@ class Merges:
     def __init__(self) -> None:
         self.made: dict[int, int] = {}  # token -> order of its merge, -1 for a single symbol
         self.parts: dict[int, tuple[int, int]] = {}
-        self._seams: dict[int, bool] = {}
+        self.seams: dict[int, bool] = {}
 
     def order(self, left: int, right: int) -> float:
         """Order of the merge of this pair, infinite if there is none."""
@@ -37,11 +37,11 @@ class Merges:
 
     def compatible(self, left: int, right: int) -> bool:
         key = left << 20 | right
-        known = self._seams.get(key)
+        known = self.seams.get(key)
         if known is None:
-            if len(self._seams) > SEAMS:
-                self._seams.clear()
-            known = self._seams[key] = self._seam_stands(left, right)
+            if len(self.seams) > SEAMS:
+                self.seams.clear()
+            known = self.seams[key] = self._seam_stands(left, right)
         return known
 
     def _seam_stands(self, left: int, right: int) -> bool:

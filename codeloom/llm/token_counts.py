@@ -30,6 +30,8 @@ from codeloom.llm.merges import WordEndMerges
 
 # Words, and chunks between white space, that a task remembers: twice so many at most.
 REMEMBERED = 300_000
+# Prefixes of words that a task remembers, and bytes of the longest.
+PREFIXES, DEPTH = 1_000_000, 8
 # Fixed value: how the vocabulary's words are cut.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
 
@@ -44,12 +46,17 @@ class PrefixCounter:
         self._rows: dict[bytes, dict] = {b"": {}}
         self._of_word = Recent(REMEMBERED)
         self._tables = Recent(REMEMBERED // 4)
-        self._of_prefix = Recent(2 * REMEMBERED)
+        self._tree: dict[int, tuple] = {}
+        self._nodes = 0
         self._total_of_chunk = Recent(REMEMBERED)
         self._of_chunk = Recent(REMEMBERED)
 
-    def _compile(self, row: dict, byte: int) -> tuple[dict, list, list]:
-        """What follows on a byte: the next open prefixes, the tokens that may close, those that may end the word."""
+    def _compile(self, row: dict, byte: int) -> tuple:
+        """What follows on a byte: the next open prefixes, the tokens that may close, those that may end the word.
+
+        Exactly one token closes and one ends, so of each kind the last, shortest one needs no
+        test and stands apart: (after, tested, last token, its width, tested to end, last width to end).
+        """
         inner, final = self.merges.inner, self.merges.final
         body = row.get("prefix", b"") + bytes((byte,))
         tails = [body[i:] for i in range(len(body))]
@@ -57,11 +64,9 @@ class PrefixCounter:
         after = self._rows.get(prefix)
         if after is None:
             after = self._rows[prefix] = {"prefix": prefix}
-        found = row[byte] = (
-            after,
-            [(inner[t], len(t)) for t in tails if t in inner],
-            [(final[t], len(t)) for t in tails if t in final],
-        )
+        closing = [(inner[t], len(t)) for t in tails if t in inner]
+        ending = [(final[t], len(t)) for t in tails if t in final]
+        found = row[byte] = (after, tuple(closing[:-1]), *closing[-1], tuple(ending[:-1]), ending[-1][1])
         return found
 
     def word(self, word: str) -> tuple[int, ...]:
@@ -88,19 +93,16 @@ class PrefixCounter:
         data, compatible = word.encode(), self.merges.compatible
         row, last, count = self._rows[b""], [-1], [0]
         for byte in data[:-1]:
-            row, inner, _ = row.get(byte) or self._compile(row, byte)
-            token, width = inner[-1]  # exactly one token closes, so no test is due for the last
-            if len(inner) > 1:
-                for other, wide in inner[:-1]:
-                    before = last[-wide]
-                    if before < 0 or compatible(before, other):
-                        token, width = other, wide
-                        break
+            row, tested, token, width, _, _ = row.get(byte) or self._compile(row, byte)
+            for other, wide in tested:
+                before = last[-wide]
+                if before < 0 or compatible(before, other):
+                    token, width = other, wide
+                    break
             count.append(count[-width] + 1)
             last.append(token)
-        _, _, final = row.get(data[-1]) or self._compile(row, data[-1])
-        width = final[-1][1]
-        for other, wide in final[:-1]:
+        *_, tested, width = row.get(data[-1]) or self._compile(row, data[-1])
+        for other, wide in tested:
             before = last[-wide]
             if before < 0 or compatible(before, other):
                 width = wide
@@ -111,45 +113,59 @@ class PrefixCounter:
         return total
 
     def _table(self, data: bytes) -> list[int]:
-        """Counts of the prefixes as words of their own. What was found for a prefix serves all words that start with it."""
-        compatible, compiled, known = self.merges.compatible, self._compile, self._of_prefix
-        row = self._rows[b""]
+        """Counts of the prefixes as words of their own. What was found for a prefix serves all words that start with it.
+
+        Prefixes stand in a tree by bytes; a node has its children, the open prefix, the token that
+        closes there, the tokens up to it, and those of the prefix as a word.
+        """
+        compatible, compiled, seams = self.merges.compatible, self._compile, self.merges.seams
+        if self._nodes > PREFIXES:
+            self._tree, self._nodes = {}, 0
+        row, children = self._rows[b""], self._tree
         last, count, ended = [-1], [0], []
-        at, size = 0, len(data)
-        while at < size:
-            found = known[data[: at + 1]]
-            if found is None:
+        at = 0
+        for byte in data:
+            node = children.get(byte)
+            if node is None:
                 break
-            row, token, n, end = found
+            children, row, token, n, end = node
             last.append(token)
             count.append(n)
             ended.append(end)
             at += 1
-        for at in range(at, size):
+        if at == len(data):
+            return ended
+        for at in range(at, len(data)):
             byte = data[at]
-            row, inner, final = row.get(byte) or compiled(row, byte)
-            # Exactly one token closes and one ends, so no test is due for the last of each.
-            width = final[-1][1]
-            if len(final) > 1:
-                for token, wide in final[:-1]:
-                    before = last[-wide]
-                    if before < 0 or compatible(before, token):
-                        width = wide
-                        break
-            end = count[-width] + 1
-            closing, width = inner[-1]
-            if len(inner) > 1:
-                for token, wide in inner[:-1]:
-                    before = last[-wide]
-                    if before < 0 or compatible(before, token):
-                        closing, width = token, wide
-                        break
+            row, tested, closing, width, ends, end_width = row.get(byte) or compiled(row, byte)
+            for token, wide in ends:
+                before = last[-wide]
+                if before < 0:
+                    end_width = wide
+                    break
+                stands = seams.get(before << 20 | token)
+                if compatible(before, token) if stands is None else stands:
+                    end_width = wide
+                    break
+            for token, wide in tested:
+                before = last[-wide]
+                if before < 0:
+                    closing, width = token, wide
+                    break
+                stands = seams.get(before << 20 | token)
+                if compatible(before, token) if stands is None else stands:
+                    closing, width = token, wide
+                    break
+            end = count[-end_width] + 1
             n = count[-width] + 1
             count.append(n)
             last.append(closing)
             ended.append(end)
-            if at < 24:
-                known.keep(data[: at + 1], (row, closing, n, end))
+            if at < DEPTH:
+                below: dict = {}
+                children[byte] = (below, row, closing, n, end)
+                children = below
+                self._nodes += 1
         return ended
 
     def _runs(self, text: str) -> Iterator[tuple[str, bool]]:
@@ -222,7 +238,11 @@ class PrefixCounter:
             table = self._chunk(run)[:-1]
             return np.concatenate([np.zeros(1, np.int32), table])
         pieces = _SPACE.split(run)  # chunk, white space, chunk, ..., chunk
-        tables = [self._chunk(c) for c in pieces[::2]]
+        chunks = pieces[::2]
+        tables = list(map(self._of_chunk.__getitem__, chunks))
+        for i, table in enumerate(tables):
+            if table is None:
+                tables[i] = self._chunk(chunks[i])
         lengths = np.fromiter(map(len, tables), np.int64, len(tables))
         flat = np.concatenate(tables)
         ends = np.cumsum(lengths) - 1
@@ -242,16 +262,19 @@ class PrefixCounter:
         known = self._of_chunk[chunk]
         if known is not None:
             return known
-        counts: list[int] = []
-        total = 0
-        for m in self.words.finditer(chunk):
-            gap = m.start() - len(counts)
-            if gap:
-                counts += [total] * gap
-            word = self.word(m[0])
-            counts += [total + n for n in word] if total else word
-            total = counts[-1]
-        counts += [total] * (len(chunk) + 1 - len(counts))
+        if chunk.isascii() and chunk.isalpha():  # one word
+            counts = self._table(chunk.encode())
+            counts.append(counts[-1])
+        else:
+            counts, total = [], 0
+            for m in self.words.finditer(chunk):
+                gap = m.start() - len(counts)
+                if gap:
+                    counts += [total] * gap
+                word = self.word(m[0])
+                counts += [total + n for n in word] if total else word
+                total = counts[-1]
+            counts += [total] * (len(chunk) + 1 - len(counts))
         table = np.array(counts, np.int32)
         if len(chunk) <= 64:
             self._of_chunk.keep(chunk, table)
