@@ -6,6 +6,10 @@ name, and it imports the file of half its key. The SQL side states what must be
 
 from __future__ import annotations
 
+import os
+import re
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +17,8 @@ from codeloom import fixture as fx
 from codeloom.catalog import Catalog
 from codeloom.operators.resolve import in_listing, resolve_imports
 from codeloom.parse.project import parse_statements, split_parse
-from codeloom.session import durable
+from codeloom.session import durable, shared_folder
+from codeloom.sources.tree import read_trees
 
 catalog = Catalog()
 
@@ -171,6 +176,32 @@ def resolve(spark, sf):
     return edges.select("source_path", "target_path", "specifier", F.array_join("symbols", ",").alias("syms"))
 
 
+def _write_files(batches):
+    for batch in batches:
+        for path, content in zip(batch["path"], batch["content"]):
+            os.makedirs(os.path.dirname(path), exist_ok=True)
+            with open(path, "w", encoding="utf-8") as f:
+                f.write(content)
+        yield batch[["path"]]
+
+
+@catalog.add(
+    "tree_files",
+    f"""with base as ({_BASE}), c as (select {_PATH} file_path, {_CONTENT} content from base)
+select file_path, true as indexable, md5(content) content_hash from c where file_path not like '%/m1/%'""",
+)
+def tree_files(spark, sf):
+    """All files as a tree in the shared folder, beside copies in skipped directories, read back by the data source."""
+    root = re.sub("^file:/+", "/", f"{shared_folder(spark)}/tree-{uuid.uuid4().hex}")
+    text = sources(spark, sf).select("file_path", "content")
+    kept = text.filter("file_path not like '%/m1/%'")
+    skipped = text.select(F.concat(F.lit("/.cache"), "file_path").alias("file_path"), "content")
+    for files in (kept, skipped):
+        files.select(F.concat(F.lit(root), "file_path").alias("path"), "content").mapInPandas(_write_files, "path string").write.format("noop").mode("overwrite").save()
+    found = read_trees(spark, [root], contents=True).filter("not is_dir")
+    return found.select(F.expr(f"substr(path, {len(root) + 1})").alias("file_path"), "indexable", F.md5("content").alias("content_hash"))
+
+
 @catalog.add(
     "index_tree",
     f"""with base as ({_BASE}), c as (select {_PATH} file_path, k, {_CONTENT} content from base), s as ({_SYMBOLS}),

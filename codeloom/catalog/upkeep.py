@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from codeloom import fixture as fx
 from codeloom.catalog import Catalog
 from codeloom.operators import changes
+from codeloom.session import shared_folder
 from codeloom.sources import gittext
+from codeloom.streaming.keyed import code_changes
 
 catalog = Catalog()
 W = fx.with_ctes
@@ -32,10 +36,14 @@ _STATUS_SQL = f"""with s as (select {_EVENT}, ts, event_id from events),
 """
 
 
-def _snapshots(spark, sf):
+def _statuses(spark, sf):
     code = _EVENT.rsplit(", case ", 1)
     project, path = code[0].split(", ", 1)
-    rows = fx.read(spark, sf, "events").selectExpr(project, path, "case " + code[1], "ts as at", "event_id as seq")
+    return fx.read(spark, sf, "events").selectExpr(project, path, "case " + code[1], "ts as at", "event_id as seq")
+
+
+def _snapshots(spark, sf):
+    rows = _statuses(spark, sf)
     cut = F.expr(_CUT.replace("timestamp ", "timestamp_ntz "))
     last = changes.latest_status(rows.filter(F.col("at") < cut))
     current = changes.latest_status(rows.filter(F.col("at") >= cut))
@@ -57,6 +65,30 @@ def incremental_counts(spark, sf):
     return changes.action_counts(changes.split_changes(changes.diff_status(last, current, disk), disk))
 
 
+_BATCHES = 3
+
+
+@catalog.add(
+    "stream_changes",
+    f"""with s as (select {_EVENT}, event_id from events),
+ b as (select project, path, event_id % {_BATCHES} batch, max(event_id) seq, arg_max(code, event_id) code from s group by all),
+ m as (select *, max(seq) over (partition by project, path order by batch rows between unbounded preceding and 1 preceding) seen from b),
+ a as (select *, lag(code) over (partition by project, path order by batch) was from m where seen is null or seq > seen)
+select project, path, batch, code, change from (select *, case when code = 'D' then 'deleted'
+  when code is distinct from was then 'modified' end change from a) z where change is not null""",
+)
+def stream_changes(spark, sf):
+    """The events as a stream in three batches, many of their rows late; the stream is restarted for each."""
+    rows = _statuses(spark, sf).drop("at")
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    for batch in range(_BATCHES):
+        rows.filter(F.col("seq") % _BATCHES == batch).write.mode("append").parquet(f"{folder}/in")
+        found = code_changes(spark.readStream.schema(rows.schema).parquet(f"{folder}/in")).withColumn("batch", F.lit(batch).cast("bigint"))
+        sink = found.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/progress")
+        sink.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
+
+
 # New versions of every file whose first symbol is exported, also copied to a new project.
 _NEW_FILES = (
     "firsts as (select project, file_path from symbols where ord = 1 and visibility = 'exported'),\n"

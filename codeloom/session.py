@@ -21,6 +21,7 @@ def spark_session(app: str = "codeloom", **conf: str) -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.sql.python.filterPushdown.enabled", "true")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
