@@ -11,6 +11,8 @@ from codeloom.session import durable_counted, spread_join
 
 # Longest literal tail of a suffix used as an equi-join key.
 _TAIL = 24
+# Letters of a literal run that stand for a suffix without a tail.
+_GRAM = 3
 
 
 def _neighbours(imports: DataFrame, wanted: DataFrame, near: str, far: str) -> DataFrame:
@@ -44,22 +46,30 @@ def suffix_matches(files: DataFrame, suffixes: DataFrame, limit: int = SUFFIX_LI
 
     '_' and '%' inside a suffix stay wildcards. The match is an equi-join: both sides are
     keyed by the literal tail behind the suffix's last wildcard, and only the tail lengths
-    that occur among the suffixes are cut from each path; LIKE then decides.
+    that occur among the suffixes are cut from each path; LIKE then decides. A suffix that ends
+    in a wildcard is keyed by the first ``_GRAM`` letters of its longest literal run, and paths
+    by all that they hold of that length; only one without such a run meets all paths.
     """
     wanted = suffixes.select("project", "suffix").distinct()
-    literal = F.regexp_extract("suffix", "[^%_]*$", 0)
+    tail = F.right(F.regexp_extract("suffix", "[^%_]*$", 0), F.lit(_TAIL))
+    run = F.array_max(F.transform(F.split("suffix", r"[%_\\]"), lambda r: F.struct(F.length(r).alias("n"), r.alias("r"))))["r"]
+    by_gram = (tail == "") & (F.length(run) >= _GRAM)
     keyed, n = durable_counted(
-        wanted.withColumn("tail", F.right(literal, F.lit(_TAIL))).withColumn("tail_len", F.length("tail"))
+        wanted.withColumns({
+            "tail": F.when(by_gram, F.left(run, F.lit(_GRAM))).otherwise(tail),
+            "tail_len": F.when(by_gram, -1).otherwise(F.length(tail)),
+        })
     )
-    # At most _TAIL + 1 different lengths exist.
+    # At most _TAIL + 2 different lengths exist.
     lengths = sorted(r.tail_len for r in keyed.select("tail_len").distinct().collect())
-    if not lengths:
-        lengths = [0]
-    paths = files.select("project", "file_path").withColumn(
-        "tail_len", F.explode(F.array(*[F.lit(n) for n in lengths]))
-    ).filter(F.length("file_path") >= F.col("tail_len")).withColumn(
-        "tail", F.when(F.col("tail_len") == 0, F.lit("")).otherwise(F.expr("right(file_path, tail_len)"))
-    )
+    kinds = [F.lit(n) for n in lengths if n >= 0] or [F.lit(0)]
+    keys = F.transform(F.array(*kinds), lambda n: F.struct(n.alias("tail_len"), F.col("file_path").substr(F.length("file_path") - n + 1, n).alias("tail")))
+    keys = F.filter(keys, lambda k: k["tail_len"] <= F.length("file_path"))
+    if -1 in lengths:
+        starts = F.sequence(F.lit(1), F.greatest(F.length("file_path") - _GRAM + 1, F.lit(1)))
+        grams = F.array_distinct(F.transform(starts, lambda i: F.col("file_path").substr(i, F.lit(_GRAM))))
+        keys = F.concat(keys, F.transform(grams, lambda g: F.struct(F.lit(-1).alias("tail_len"), g.alias("tail"))))
+    paths = files.select("project", "file_path", F.inline(keys))
     hits = spread_join(paths, keyed, ["project", "tail_len", "tail"], F.col("file_path"), n).filter(
         F.expr("file_path LIKE concat('%', suffix)")
     )

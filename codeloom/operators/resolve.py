@@ -85,10 +85,10 @@ def on_disk(probes: DataFrame) -> DataFrame:
 
 
 def in_tree(listing: DataFrame) -> Exists:
-    """Existence by a listing that does not enter skipped folders; paths inside those are asked of the file system."""
+    """Existence by a listing without skipped folders; these, hidden names and what is inside are asked of the file system."""
     known = listing.select("project", "path").distinct()
     names = "|".join(re.escape(n) for n in sorted(SKIPPED_DIRECTORIES))
-    inside = F.expr("substring(path, length(project) + 1)").rlike(rf"/(?:{names}|\.[^/]+)/")
+    inside = F.expr("substring(path, length(project) + 1)").rlike(rf"/(?:{names}|\.[^/]+)(?:/|$)")
 
     def found(asked: DataFrame) -> DataFrame:
         listed = asked.filter(~inside).join(known, ["project", "path"], "left_semi")

@@ -14,8 +14,9 @@ from codeloom.operators.resolve import Exists, in_tree, on_disk, resolve_imports
 from codeloom.parse.project import parse_statements, split_parse
 from codeloom.session import durable
 from codeloom.sources import gittext
-from codeloom.sources.listing import existing, list_tree, read_sources
+from codeloom.sources.listing import existing, read_sources
 from codeloom.sources.store import Change, CodeStore
+from codeloom.sources.tree import read_trees
 
 
 def parse_sources(sources: DataFrame, exists: Exists, strict_compat: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -76,7 +77,7 @@ def full_index(store: CodeStore, projects: list[str], purge: bool = False) -> Da
 
     Files that vanished stay in the tables unless ``purge`` is set.
     """
-    listing = list_tree(store.spark, projects, skipped=False)
+    listing = durable(read_trees(store.spark, projects))
     hashes = _hashes(listing.filter("indexable").select("project", F.col("path").alias("file_path")))
     roots = store.spark.createDataFrame([(p,) for p in projects], "project string")
     with store.change() as change:  # files, edges, removals and the status are one version
@@ -91,7 +92,7 @@ def full_index(store: CodeStore, projects: list[str], purge: bool = False) -> Da
 
 def parse_only(spark, projects: list[str]) -> DataFrame:
     """(project, indexed, skipped) of parsing whole trees without storing anything."""
-    listing = list_tree(spark, projects, skipped=False)
+    listing = read_trees(spark, projects)
     return _counts(_hashes(listing.filter("indexable").select("project", F.col("path").alias("file_path"))))
 
 
