@@ -15,6 +15,7 @@ from codeloom.operators.detail import detail_of, distinct_keys, edges_of, outlin
 from codeloom.operators.lookup import suffix_matches
 from codeloom.operators.stats import degree
 from codeloom.schema import COMPACT_LIST_CAP, HIGH_FAN_IN, TOOL_LIST_CAP
+from codeloom.session import spread_join, uncounted
 
 _KEY = ["project", "file_path"]
 
@@ -100,15 +101,15 @@ def post_edit_lines(imports: DataFrame, files: DataFrame, changed: DataFrame) ->
     Dependents count only for indexed files.
     """
     located = changed.withColumn("file_path", absolute_path(F.col("file"), F.col("project")))
-    known = degree(edges_of(imports, distinct_keys(located), "target_path"), "target_path", "n").join(
-        files.select(*_KEY), _KEY, "left_semi"
-    )
+    keys = distinct_keys(located)
+    indexed = spread_join(files.select(*_KEY), keys[0], _KEY, F.col("file_path"), keys[1], "left_semi")
+    known = degree(edges_of(imports, keys, "target_path"), "target_path", "n").join(uncounted(indexed), _KEY, "left_semi")
     n = F.coalesce(F.col("n"), F.lit(0))
     line = F.concat(
         F.format_string("- %s (+%s/-%s)", "file", "added", "removed"),
         F.when(n > 0, F.format_string(", %d dependents", n)).otherwise(""),
     )
-    return located.join(known, _KEY, "left").select(*_KEY, n.alias("n_dependents"), line.alias("line"))
+    return located.join(uncounted(known), _KEY, "left").select(*_KEY, n.alias("n_dependents"), line.alias("line"))
 
 
 def compact_context(files: DataFrame, imports: DataFrame, changed: DataFrame) -> DataFrame:

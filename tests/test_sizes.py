@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from codeloom import fixture as fx
 from codeloom.operators import changes
+from codeloom.plans import views
 
 SF = "/root/testdata/sf0.001"
 
@@ -32,3 +33,14 @@ def test_needs_parse_does_not_broadcast_the_stored_files(exploded):
     found = changes.needs_parse(exploded, other)
     assert "Broadcast" not in plan(found)
     assert found.count() == 1000 - 100
+
+
+def test_post_edit_lines_does_not_broadcast_the_files(spark, exploded):
+    changed = spark.createDataFrame([("p", "3", "1", "/p/f7")], "project string, added string, removed string, file string")
+    target = "'/p/f' || if(content_hash < '8', 7, 8) as target_path"
+    imports = exploded.selectExpr("project", "file_path as source_path", target, "'./f7' as specifier", "array('x') as symbols")
+    found = views.post_edit_lines(imports, exploded, changed)
+    # The counted keys are broadcast, once to the edges and once to the files, and nothing else.
+    assert plan(found).count("BroadcastExchange") == 2
+    n = imports.filter("target_path = '/p/f7'").count()
+    assert [r.line for r in found.collect()] == [f"- /p/f7 (+3/-1), {n} dependents"]
