@@ -44,3 +44,9 @@ def test_post_edit_lines_does_not_broadcast_the_files(spark, exploded):
     assert plan(found).count("BroadcastExchange") == 2
     n = imports.filter("target_path = '/p/f7'").count()
     assert [r.line for r in found.collect()] == [f"- /p/f7 (+3/-1), {n} dependents"]
+
+
+def test_upsert_files_does_not_broadcast_the_new_files(exploded):
+    merged = changes.upsert_files(exploded, exploded.filter("file_path < '/p/f2'"))
+    assert "Broadcast" not in plan(merged)
+    assert merged.count() == 1000
