@@ -50,3 +50,9 @@ def test_upsert_files_does_not_broadcast_the_new_files(exploded):
     merged = changes.upsert_files(exploded, exploded.filter("file_path < '/p/f2'"))
     assert "Broadcast" not in plan(merged)
     assert merged.count() == 1000
+
+
+def test_removed_files_are_not_broadcast(exploded):
+    left = changes.remove_files(exploded, exploded.filter("file_path < '/p/f2'"))
+    assert "Broadcast" not in plan(left)
+    assert left.count() == exploded.filter("file_path >= '/p/f2'").count()
