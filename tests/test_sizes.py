@@ -56,3 +56,10 @@ def test_removed_files_are_not_broadcast(exploded):
     left = changes.remove_files(exploded, exploded.filter("file_path < '/p/f2'"))
     assert "Broadcast" not in plan(left)
     assert left.count() == exploded.filter("file_path >= '/p/f2'").count()
+
+
+def test_removed_files_are_not_broadcast_to_edges(exploded):
+    edges = exploded.selectExpr("project", "file_path as source_path", "'/p/f' || left(content_hash, 1) as target_path")
+    left = changes.remove_edges(edges, exploded.filter("file_path < '/p/f2'"))
+    assert "Broadcast" not in plan(left)
+    assert left.count() == edges.filter("source_path >= '/p/f2' and target_path >= '/p/f2'").count()
