@@ -71,3 +71,18 @@ def test_watch_changes(spark, tmp_path):
     assert {r.file_path[-4:] for r in store.files().collect()} == {"a.ts", "c.ts"}
     assert store.imports().count() == 0
     assert store.snapshots().count() == 0
+
+
+def test_paths_share_states(spark, tmp_path):
+    """Many paths are few states, and each path is still compared with its own code."""
+    inbox, out = str(tmp_path / "in"), str(tmp_path / "out")
+    rows = spark.range(2000).selectExpr("if(id % 100 = 0, null, 'p') as project", "if(id = 7, null, 'f' || id) as path", "'M' as code", "id as seq")
+    for again in (rows, rows.withColumn("seq", F.col("seq") + 5000).withColumn("code", F.expr("if(seq % 2 = 0, 'A', 'M')"))):
+        again.write.mode("append").parquet(inbox)
+        found = code_changes(spark.readStream.schema(rows.schema).parquet(inbox), buckets=8)
+        query = found.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "progress")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        assert sum(s["numRowsTotal"] for s in query.lastProgress["stateOperators"]) == 8
+    got = spark.read.parquet(out)
+    assert got.filter("code = 'M'").count() == 2000 and got.filter("code = 'A'").count() == 1000
+    assert got.filter("path is null").count() == 1 and got.filter("project is null").count() == 40
