@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from codeloom.functions.text import analyze, epoch_ms
 from codeloom.operators import changes, search
 from codeloom.schema import DOCS, FILES, GONE, IMPORTS, POSTINGS, SNAPSHOTS
-from codeloom.session import durable, durable_counted, spread_join
+from codeloom.session import durable, durable_counted, spread_join, uncounted
 from codeloom.sources.versions import Versions
 
 # Rows lie in parts by project and by a bucket of this path; postings in parts by token.
@@ -145,8 +145,8 @@ class Change(View):
             return
         key = ["project", "file_path"]
         docs = self._read("code_doc", touched)
-        kept = docs.join(left, key, "left_anti")
-        self._append("code_gone", docs.join(left, key, "left_semi").select(*GONE.fieldNames()))
+        kept = docs.join(uncounted(left), key, "left_anti")
+        self._append("code_gone", docs.join(uncounted(left), key, "left_semi").select(*GONE.fieldNames()))
         if texts is not None:
             seq = F.lit(uuid.uuid4().hex)
             self._append("code_token", search.postings(texts.select(*key, "searchable"), "searchable", key).withColumn("seq", seq))
