@@ -15,7 +15,7 @@ from codeloom.operators.detail import detail_of, distinct_keys, edges_of, outlin
 from codeloom.operators.lookup import suffix_matches
 from codeloom.operators.stats import degree
 from codeloom.schema import COMPACT_LIST_CAP, HIGH_FAN_IN, TOOL_LIST_CAP
-from codeloom.session import spread_join, uncounted
+from codeloom.session import durable, spread_join, uncounted
 
 _KEY = ["project", "file_path"]
 
@@ -48,7 +48,8 @@ def prompt_context(files: DataFrame, imports: DataFrame, prompts: DataFrame) ->
     mentions = prompts.select(
         "prompt_id", "project", F.explode(file_mentions(F.col("prompt"))).alias("suffix")
     )
-    matched = suffix_matches(files, mentions).drop("rank")
+    # Stored: the files are matched once, for the details and for the prompts.
+    matched = durable(suffix_matches(files, mentions).drop("rank"))
     text = _prompt_texts(detail_of(files, imports, distinct_keys(matched)))
     return (
         mentions.join(matched, ["project", "suffix"])

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from codeloom import fixture as fx
 from codeloom.operators import changes
 from codeloom.plans import views
+from codeloom.schema import SYMBOL
 
 SF = "/root/testdata/sf0.001"
 
@@ -63,3 +64,13 @@ def test_removed_files_are_not_broadcast_to_edges(exploded):
     left = changes.remove_edges(edges, exploded.filter("file_path < '/p/f2'"))
     assert "Broadcast" not in plan(left)
     assert left.count() == edges.filter("source_path >= '/p/f2' and target_path >= '/p/f2'").count()
+
+
+def test_prompt_context_matches_the_files_once(spark, exploded):
+    files = exploded.withColumns({"language": F.lit("typescript"), "symbols": F.array().cast(f"array<{SYMBOL.simpleString()}>")})
+    imports = exploded.selectExpr("project", "file_path as source_path", "'/p/f7.ts' as target_path", "'./f7' as specifier", "array('x') as symbols")
+    files = files.withColumn("file_path", F.concat("file_path", F.lit(".ts")))
+    prompts = spark.createDataFrame([(1, "p", "see f7.ts")], "prompt_id long, project string, prompt string")
+    found = views.prompt_context(files, imports, prompts)
+    assert "WindowGroupLimit" not in plan(found)
+    assert [r.file_path for r in found.collect()] == ["/p/f7.ts"]
