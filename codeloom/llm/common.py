@@ -84,9 +84,34 @@ def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]
         yield pa.Table.from_batches(held)
 
 
+# The one model that this worker process keeps for its next tasks: how it was made, and the model.
+_model: list = []
+
+
+def one_model(make: Callable, *args):
+    """``make(*args)``, kept until a task needs another model: workers serve the tasks of all operators, and what each remembers would add up."""
+    if not _model or _model[0] != (make, args):
+        _model.clear()
+        _model[:] = [(make, args), make(*args)]
+    return _model[1]
+
+
+def _let_go(module: str) -> None:
+    """Forget a model of another operator than the task's, and give back memory that Arrow keeps for later batches."""
+    if _model and _model[0][0].__module__ != module:
+        _model.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def arrow_map(df: DataFrame, task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     ship(df.sparkSession)
-    return df.mapInArrow(task, schema)
+    module = task.__module__
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _let_go(module)
+        yield from task(batches)
+
+    return df.mapInArrow(run, schema)
 
 
 def stored(df: DataFrame) -> DataFrame:

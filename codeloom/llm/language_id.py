@@ -11,7 +11,6 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +18,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import arrow_map, slices
+from codeloom.llm.common import arrow_map, one_model, slices
 
 DIMENSIONS = 1024
 # Texts of each language that prototypes are learned from, about: drawn by a hash of the key.
@@ -193,10 +192,9 @@ def profiles(docs: DataFrame, key: str = "doc_id", text: str = "text", label: st
     return found
 
 
-@lru_cache(maxsize=1)
 def _profiler(dimensions: int) -> Profiler:
     """One profiler per worker process, so its trigram vectors serve many tasks."""
-    return Profiler(dimensions)
+    return one_model(Profiler, dimensions)
 
 
 class Predictor:

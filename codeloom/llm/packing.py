@@ -15,7 +15,6 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from codeloom.llm.common import arrow_map, file_broadcast, slices, stored
+from codeloom.llm.common import arrow_map, file_broadcast, one_model, slices, stored
 from codeloom.session import BROADCAST_ROWS
 
 CAPACITY = 2048
@@ -61,7 +60,6 @@ def _ranks(parts: dict) -> dict[bytes, int] | None:
     return {bytes(letters[c] for c in w): i for w, i in vocabulary.items()}
 
 
-@lru_cache(maxsize=1)
 def encoder(vocabulary: bytes) -> Encode:
     """Token ids as the ``tokenizers`` library gives them, special strings included and none added.
 
