@@ -17,8 +17,8 @@ Text is cut into pieces by the vocabulary's pattern; merging never crosses a pie
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +26,11 @@ import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
-from codeloom.llm.common import arrow_map, file_broadcast, slices
+from codeloom.llm.common import arrow_map, file_broadcast, one_model, slices
 from codeloom.llm.merges import RankMerges
 
 # Chunks, and pieces, whose ids a task remembers: twice so many at most.
-REMEMBERED = 250_000
+REMEMBERED = 400_000
 # Positions that are held before agreed tokens are put out.
 _HELD = 4096
 _EDGE = re.compile(r"\A\s|\s\Z")
@@ -56,7 +56,7 @@ class Transducer:
         return found
 
     def encode(self, data: bytes) -> list[int]:
-        compatible = self.merges.compatible
+        compatible, seams = self.merges.compatible, self.merges.seams
         row, out = self._rows[b""], []
         last, widths = [-1], [0]  # token and width of the token that ends at each held position
         for here, byte in enumerate(data, 1):
@@ -64,7 +64,11 @@ class Transducer:
             if others:  # exactly one token closes, so no test is due for the last
                 for other, wide in others:
                     before = last[-wide]
-                    if before < 0 or compatible(before, other):
+                    if before < 0:
+                        token, width = other, wide
+                        break
+                    stands = seams.get(before << 20 | other)
+                    if compatible(before, other) if stands is None else stands:
                         token, width = other, wide
                         break
             last.append(token)
@@ -119,51 +123,62 @@ class Recent(dict):
 
 
 class Encoder:
-    """Token ids of whole texts; ids of pieces and of chunks between single spaces are remembered for a while."""
+    """Token ids of whole texts; ids of pieces and of chunks between single spaces are remembered for a while.
+
+    Ids are remembered as the bytes of 32-bit numbers, so that those of a text are joined in one step.
+    """
 
     def __init__(self, vocabulary: bytes, pattern: str) -> None:
         self.merges = RankMerges(vocabulary)
         self.machine = Transducer(self.merges)
         self.pieces = regex.compile(pattern)
-        self._of_chunk = Recent(REMEMBERED)
+        self._of_chunk = Recent(REMEMBERED)  # by the chunk without the space before it
         self._of_piece = Recent(REMEMBERED)
 
-    def _encode_pieces(self, text: str) -> list[int]:
+    def _pieces(self, text: str) -> bytes:
         known, found = self._of_piece, []
         for piece in self.pieces.findall(text):
             ids = known[piece]
             if ids is None:
-                ids = self.machine.encode(piece.encode())
+                ids = array("i", self.machine.encode(piece.encode())).tobytes()
                 if len(piece) <= 64:
                     known.keep(piece, ids)
             found.append(ids)
-        return found[0] if len(found) == 1 else [token for ids in found for token in ids]
+        return found[0] if len(found) == 1 else b"".join(found)
+
+    def _chunk(self, chunk: str) -> bytes | None:
+        """Ids of a chunk and the space before it; none where white space at its edge would be extended by a space."""
+        ids = self._of_chunk[chunk]
+        if ids is None and not _EDGE.search(chunk):
+            ids = self._pieces(" " + chunk)
+            if len(chunk) < 64:
+                self._of_chunk.keep(chunk, ids)
+        return ids
+
+    def _bytes(self, text: str) -> bytes:
+        """A space between two characters that are not white space always starts a piece; cuts there change nothing."""
+        first, *chunks = text.split(" ")
+        if not first or not all(chunks) or _EDGE.search(first):
+            return self._pieces(text)
+        found = list(map(self._of_chunk.__getitem__, chunks))
+        if None in found:
+            for i, ids in enumerate(found):
+                if ids is None:
+                    found[i] = ids = self._chunk(chunks[i])
+                    if ids is None:  # read the text as a whole
+                        return self._pieces(text)
+        return self._pieces(first) + b"".join(found)
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.frombuffer(self._bytes(text), np.int32)
 
     def encode(self, text: str) -> list[int]:
-        """A space between two characters that are not white space always starts a piece; cuts there change nothing."""
-        chunks = text.split(" ")
-        if not all(chunks):
-            return self._encode_pieces(text)
-        chunks[1:] = [" " + c for c in chunks[1:]]
-        known = self._of_chunk
-        out: list[int] = []
-        for chunk in chunks:
-            ids = known[chunk]
-            if ids is None:
-                if _EDGE.search(chunk[1:] if chunk[0] == " " else chunk):
-                    # white space that a space would extend: read the text as a whole
-                    return self._encode_pieces(text)
-                ids = self._encode_pieces(chunk)
-                if len(chunk) <= 64:
-                    known.keep(chunk, ids)
-            out += ids
-        return out
+        return self.ids(text).tolist()
 
 
-@lru_cache(maxsize=1)
 def _encoder(vocabulary: bytes, pattern: str) -> Encoder:
     """One encoder per worker process, so what it remembers serves many tasks."""
-    return Encoder(vocabulary, pattern)
+    return one_model(Encoder, vocabulary, pattern)
 
 
 # States of the UTF-8 machine: how many bytes are missing and which first bytes are allowed.
@@ -192,9 +207,11 @@ class StreamDecoder:
     def __init__(self, merges: RankMerges) -> None:
         self.bytes_of = merges.bytes_of
         top = max(self.bytes_of) + 1
+        self._bodies = np.empty(top, object)
         self._whole = np.zeros(top, bool)  # tokens that begin and end between characters
         self._steps: list[dict[int, int]] = [{} for _ in range(9)]
         for token, body in self.bytes_of.items():
+            self._bodies[token] = body
             self._whole[token] = self._after(_START, token) == _START
         self.state = _START
 
@@ -207,23 +224,24 @@ class StreamDecoder:
             self._steps[state][token] = found
         return found
 
-    def feed(self, ids: list[int]) -> bytes:
-        if ids:
-            odd = np.flatnonzero(~self._whole[np.asarray(ids)]) if self.state == _START else range(len(ids))
+    def feed(self, ids: list[int] | np.ndarray) -> bytes:
+        ids = np.asarray(ids, np.int32)
+        if len(ids):
+            odd = np.flatnonzero(~self._whole[ids]) if self.state == _START else range(len(ids))
             at = 0
             for i in odd:
                 if i < at and self.state == _START:
                     continue
                 i = max(i, at)
                 while i < len(ids):
-                    self.state = self._after(self.state, ids[i])
+                    self.state = self._after(self.state, int(ids[i]))
                     i += 1
                     if self.state in (_START, _REJECT):
                         break
                 at = i
                 if self.state == _REJECT:
                     break
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+        return b"".join(self._bodies[ids].tolist())
 
     def finish(self) -> bool:
         """Whether the bytes fed so far are whole characters; starts anew."""
@@ -239,13 +257,15 @@ def _round_trip(key: str, text: str, vocabulary: Broadcast, pattern: str):
         encoder = _encoder(vocabulary.value, pattern)
         decoder = StreamDecoder(encoder.merges)
         for batch in slices(batches):
-            ids = [encoder.encode(t) if t else [] for t in batch.column(text).to_pylist()]
+            ids = [encoder.ids(t or "") for t in batch.column(text).to_pylist()]
             decoded, whole = [], []
             for one in ids:
                 decoded.append(b"".join(decoder.feed(one[i : i + 4096]) for i in range(0, len(one), 4096)))
                 whole.append(decoder.finish())
+            ends = np.append(0, np.cumsum([len(one) for one in ids])).astype(np.int32)
+            lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(key), pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.binary()), pa.array(whole)],
+                [batch.column(key), lists, pa.array(decoded, pa.binary()), pa.array(whole)],
                 names=[key, "ids", "decoded", "valid_utf8"],
             )
 
