@@ -15,7 +15,6 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +24,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm.bpe import Recent
-from codeloom.llm.common import arrow_map, file_broadcast, slices
+from codeloom.llm.common import arrow_map, file_broadcast, one_model, slices
 from codeloom.llm.merges import WordEndMerges
 
 # Words, and chunks between white space, that a task remembers: twice so many at most.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 # Prefixes of words that a task remembers, and bytes of the longest.
 PREFIXES, DEPTH = 1_000_000, 8
 # Fixed value: how the vocabulary's words are cut.
@@ -235,21 +234,27 @@ class PrefixCounter:
 
     def _ordinary(self, run: str) -> np.ndarray:
         if _CONTROL.search(run):  # Python takes these for white space, the pattern does not
-            table = self._chunk(run)[:-1]
+            table = _numbers(self._chunk(run)[:-1])
             return np.concatenate([np.zeros(1, np.int32), table])
-        pieces = _SPACE.split(run)  # chunk, white space, chunk, ..., chunk
-        chunks = pieces[::2]
+        chunks, gaps = run.split(), None
+        lengths = np.fromiter(map(len, chunks), np.int64, len(chunks)) + 1
+        if lengths.sum() != len(run) + 1:  # else one space after each chunk but the last, and none before the first
+            pieces = _SPACE.split(run)  # chunk, white space, chunk, ..., chunk
+            chunks = pieces[::2]
+            lengths = np.fromiter(map(len, chunks), np.int64, len(chunks)) + 1
+            gaps = np.fromiter(map(len, pieces[1::2]), np.int64, len(chunks) - 1)
         tables = list(map(self._of_chunk.__getitem__, chunks))
-        for i, table in enumerate(tables):
-            if table is None:
-                tables[i] = self._chunk(chunks[i])
-        lengths = np.fromiter(map(len, tables), np.int64, len(tables))
-        flat = np.concatenate(tables)
+        wide = False
+        if None in tables:
+            for i, table in enumerate(tables):
+                if table is None:
+                    tables[i] = table = self._chunk(chunks[i])
+                    wide = wide or type(table) is not bytes
+        flat = np.concatenate(list(map(_numbers, tables))) if wide else _numbers(b"".join(tables))
         ends = np.cumsum(lengths) - 1
         totals = flat[ends]
         flat += np.repeat(np.cumsum(totals, dtype=np.int32) - totals, lengths)
-        gaps = np.fromiter(map(len, pieces[1::2]), np.int64, len(tables) - 1)
-        if (gaps != 1).any():
+        if gaps is not None and (gaps != 1).any():
             times = np.ones(len(flat), np.int64)
             times[ends[:-1]] = gaps
             flat = np.repeat(flat, times)
@@ -257,8 +262,8 @@ class PrefixCounter:
         flat[0] = 0
         return flat
 
-    def _chunk(self, chunk: str) -> np.ndarray:
-        """Tokens after each code point of what stands between white space, and once more, for the space after it."""
+    def _chunk(self, chunk: str) -> bytes | np.ndarray:
+        """Tokens after each code point of what stands between white space, and once more, for the space after it: a byte each, if all fit."""
         known = self._of_chunk[chunk]
         if known is not None:
             return known
@@ -275,16 +280,21 @@ class PrefixCounter:
                 counts += [total + n for n in word] if total else word
                 total = counts[-1]
             counts += [total] * (len(chunk) + 1 - len(counts))
-        table = np.array(counts, np.int32)
+        if counts[-1] > 255:
+            return np.array(counts, np.int32)
+        table = bytes(counts)
         if len(chunk) <= 64:
             self._of_chunk.keep(chunk, table)
         return table
 
 
-@lru_cache(maxsize=1)
 def _counter(vocabulary: bytes) -> PrefixCounter:
     """One counter per worker process, so what it remembers serves many tasks."""
-    return PrefixCounter(vocabulary)
+    return one_model(PrefixCounter, vocabulary)
+
+
+def _numbers(table: bytes | np.ndarray) -> np.ndarray:
+    return np.frombuffer(table, np.uint8).astype(np.int32) if type(table) is bytes else table
 
 
 _CONTROL = regex.compile("[\x1c-\x1f]")

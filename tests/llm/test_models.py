@@ -1,10 +1,12 @@
 """What worker processes keep between tasks."""
 
+import numpy as np
 import public_tokenizers
 import tiktoken
 
-from codeloom.llm import bpe, common, language_id
+from codeloom.llm import bpe, common, language_id, token_counts
 
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
@@ -33,3 +35,16 @@ def test_ids_are_remembered_as_bytes():
         for _ in range(2):  # the second time from what is remembered
             assert encoder.encode(text) == library.encode_ordinary(text)
     assert {type(v) for v in encoder._of_chunk.values()} | {type(v) for v in encoder._of_piece.values()} == {bytes}
+
+
+def test_prefix_tables_of_chunks_are_bytes_and_long_chunks_stay_exact():
+    from tokenizers import Tokenizer
+
+    counter, library = token_counts.PrefixCounter(read(WORD_BPE)), Tokenizer.from_file(WORD_BPE)
+    long = "?!" * 20 + "日本語🙂" * 90
+    for text in ["one two, two", "  a  b ", f"short {long} short", "a\n\nb", ""]:
+        expected = [len(library.encode(text[:i], add_special_tokens=False).ids) for i in range(len(text) + 1)]
+        for _ in range(2):
+            found = counter.prefixes(text)
+            assert found.dtype == np.int32 and found.tolist() == expected
+    assert {type(v) for v in counter._of_chunk.values()} == {bytes}
