@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.session import BROADCAST_ROWS, durable, durable_counted, spread_join
+from codeloom.session import BROADCAST_ROWS, durable, durable_counted, hot_keys, spread_join
 
 # Trimming stops early once a round removes less than this share, or what is left fits one task; it only saves work.
 _WORTH_TRIMMING = 0.1
@@ -49,7 +49,8 @@ def cyclic_core(imports: DataFrame, rounds: int = 12) -> tuple[DataFrame, int]:
     hashed = ends.withColumns({"a": F.xxhash64("project", "s"), "b": F.xxhash64("project", "t")})
     numbers, rows = durable_counted(hashed.select("a", "b").distinct())
     kept, left = trimmed(numbers, [], "a", "b", rows, rounds)
-    core = spread_join(hashed, kept, ["a", "b"], F.col("b"), left, "left_semi")
+    # A key is one edge, whose rows differ by specifier: none is hot, so the graph need not be read again to count them.
+    core = hashed.join(F.broadcast(kept) if left <= BROADCAST_ROWS else kept, ["a", "b"], "left_semi")
     return durable_counted(core.select("project", "s", "t").distinct())
 
 
@@ -73,10 +74,13 @@ def _coloured(edges: DataFrame) -> DataFrame:
     ways = durable(edges.select(F.inline(both)))
     seen = ways.select("v").distinct().select("v", F.col("v").alias("into"), F.col("v").alias("out"))
     state, fresh = durable_counted(seen.withColumns({"new_into": F.lit(True), "new_out": F.lit(True)}))
+    hot = None
     while fresh:
+        if fresh > BROADCAST_ROWS:
+            hot = hot or hot_keys(ways, ["v"])
         changed = state.filter("new_into or new_out")
         told = (
-            spread_join(ways, changed, ["v"], F.col("node"), fresh)
+            spread_join(ways, changed, ["v"], F.col("node"), fresh, hot_of=hot)
             .filter(F.when(F.col("ahead"), F.col("new_into")).otherwise(F.col("new_out")))
             .groupBy(F.col("node").alias("v"))
             .agg(F.min(F.when(F.col("ahead"), F.col("into"))).alias("by_into"), F.min(F.when(~F.col("ahead"), F.col("out"))).alias("by_out"))

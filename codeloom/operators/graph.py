@@ -14,7 +14,7 @@ from codeloom.functions import symbols as S
 from codeloom.functions.paths import relative_path
 from codeloom.operators import components
 from codeloom.schema import DEFAULT_MAX_DEPTH, DEFAULT_MAX_RESULTS
-from codeloom.session import BROADCAST_ROWS, durable, durable_counted, spread_join
+from codeloom.session import BROADCAST_ROWS, durable, durable_counted, hot_keys, spread_join
 
 
 def entry_frame(spark: SparkSession, project: str, entry_points: list[str], walk: str = "walk") -> DataFrame:
@@ -22,12 +22,6 @@ def entry_frame(spark: SparkSession, project: str, entry_points: list[str], walk
     return spark.createDataFrame(rows, "walk string, project string, path string, ord bigint")
 
 
-def _hop(imports: DataFrame, frontier: DataFrame, rows: int, near: str, far: str) -> DataFrame:
-    """Edges whose ``near`` end is in the frontier, as (frontier columns, node = far end)."""
-    ends = imports.select("project", F.col(near).alias("at"), F.col(far).alias("node"))
-    return spread_join(ends, frontier, ["project", "at"], F.col("node"), rows)
-
-
 def _hop_both(imports: DataFrame, frontier: DataFrame, rows: int) -> DataFrame:
     """``_hop`` along imports (dir 0) and importers (dir 1) in one pass over the edges."""
     s, t = F.col("source_path"), F.col("target_path")
@@ -166,11 +160,16 @@ def reach(imports: DataFrame, starts: DataFrame, max_hops: int | None, backwards
         starts.groupBy("project", F.col("path").alias("node"), "word").agg(F.bit_or("bits").alias("bits")).withColumn("depth", F.lit(0).cast("bigint"))
     )
     visited, total = level, rows
+    ends = imports.select("project", F.col(near).alias("at"), F.col(far).alias("node"))
+    hot = None
     depth = 0
     while rows and (max_hops is None or depth < max_hops):
         depth += 1
+        if rows > BROADCAST_ROWS:
+            hot = hot or hot_keys(ends, ["project", "at"])
         frontier = level.select("project", F.col("node").alias("at"), "word", "bits")
-        found = _hop(imports, frontier, rows, near, far).groupBy(*keys).agg(F.bit_or("bits").alias("bits"))
+        hop = spread_join(ends, frontier, ["project", "at"], F.col("node"), rows, hot_of=hot)
+        found = hop.groupBy(*keys).agg(F.bit_or("bits").alias("bits"))
         seen = visited.groupBy(*keys).agg(F.bit_or("bits").alias("seen"))
         if total <= BROADCAST_ROWS:
             seen = F.broadcast(seen)

@@ -229,3 +229,22 @@ def test_only_hot_keys_are_copied(spark, monkeypatch, how):
     )
     plan = spread._jdf.queryExecution().toString()
     assert "_hot" in plan and "explode" in plan
+
+
+def test_hot_keys_of_a_loop_are_counted_once(spark, monkeypatch):
+    counted = []
+
+    def count(big, keys, found=session.hot_keys):
+        counted.append(keys)
+        return found(big, keys)
+
+    for module in (session, graph, components):
+        monkeypatch.setattr(module, "BROADCAST_ROWS", 0)
+        monkeypatch.setattr(module, "hot_keys", count)
+    ring = [("/p", f"/p/{i:02d}", f"/p/{(i + 1) % 12:02d}", "./x", ["a"]) for i in range(12)]
+    edges = spark.createDataFrame(ring, "project string, source_path string, target_path string, specifier string, symbols array<string>")
+    assert {r["size"] for r in components.strong_components(edges).collect()} == {12}
+    assert counted == [["v"]]
+    starts = graph.numbered_starts(spark.createDataFrame([("w", "/p", "/p/00")], "walk string, project string, path string"))
+    assert sorted(r["depth"] for r in graph.reach(edges, starts, 5).collect()) == list(range(6))
+    assert counted == [["v"], ["project", "at"]]
