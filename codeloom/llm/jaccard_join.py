@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import BROADCAST_BYTES, LOWER_ASCII, arrow_map, hot_split_join, scratch, slices, stored
+from codeloom.llm.common import LOWER_ASCII, arrow_map, hot_split_join, scratch, slices, stored
 from codeloom.llm.components import components
 
 POOR = 1
@@ -39,6 +39,8 @@ POOR = 1
 SKETCH = 16
 # Members of one signature that are compared with each other in one task.
 BLOCK = 2048
+# The largest table of facts, in bytes, that is broadcast: the driver holds its rows, the hashed rows and their blocks at once.
+FACT_BYTES = 16 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -301,7 +303,7 @@ def _set_task(words: int):
 
 def _fitting(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """Marked for broadcast if its ``rows`` fit the bound, else as it is."""
-    return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
+    return F.broadcast(df) if rows * row_bytes <= FACT_BYTES else df
 
 
 class JaccardJoin:
@@ -332,7 +334,7 @@ class JaccardJoin:
     def _sides(self, pairs: DataFrame, left: str, right: str) -> DataFrame:
         """Documents of pairs replaced by their kinds, screened by size and sketch; distinct ``a < b``."""
         kinds = _fitting(self.kinds, self.total, 64)
-        if self.total * 64 > BROADCAST_BYTES:
+        if self.total * 64 > FACT_BYTES:
             pairs = pairs.distinct()
         for side, name in (("1", left), ("2", right)):
             pairs = pairs.join(kinds.select(F.col("doc").alias(name), F.col("kind").alias("k" + side), F.col("n").alias("n" + side)), name)
@@ -388,7 +390,7 @@ class JaccardJoin:
         rows = rows.withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
         rows = rows.select("sig", "doc", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), (F.col("own") > F.col("other")).cast("int").alias("side"))
         keys = ["sig", "b1", "b2"]
-        fits = self.fact_bytes <= BROADCAST_BYTES
+        fits = self.fact_bytes <= FACT_BYTES
         facts = members.join(self.profile.select("doc", "n", "sketch").distinct(), ["doc", "n"]).select("doc", "kind", "comp", "n", "sketch")
         rows = rows.repartition(*keys).join(F.broadcast(facts), "doc") if fits else rows.join(facts, "doc").repartition(*keys)
         wide = rows.select(*keys, "kind", "comp", "n", "side", "sketch").sortWithinPartitions(*keys)
