@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from codeloom.parse.scanner import ruby_scanner, rust_scanner, scanned, script_scanner
+from codeloom.session import uncounted
 
 FILE = ["project", "file_path"]
 
@@ -66,35 +67,44 @@ ELIXIR = Lexicon(
 )
 
 
-def by_file(sources: DataFrame) -> DataFrame:
-    """(project, file_path, content) placed by file.
+def by_file(sources: DataFrame, what: str = "content") -> DataFrame:
+    """(project, file_path, ``what``) placed by file.
 
     The partition count is given, so that adaptive execution does not merge partitions by
     the size of the compact text: cut into tokens it grows many times over.
     """
     n = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return sources.select(*FILE, "content").repartition(n, *FILE)
+    return sources.select(*FILE, what).repartition(n, *FILE)
 
 
 def _cut(sources: DataFrame, lexicon: Lexicon) -> DataFrame:
     opening = F.regexp_extract("content", f"^{lexicon.trivia}", 0)
     rest = F.expr("substring(content, length(opening) + 1)")
     pattern = F.lit(f"(?:{lexicon.token}){lexicon.trivia}")
+    # Outer: the array is never empty, and Spark would cut every text once more to see that.
     cut = (
         by_file(sources)
         .withColumn("opening", opening)
-        .select(*FILE, F.posexplode(F.concat(F.array("opening"), F.regexp_extract_all(rest, pattern, F.lit(0)))).alias("i", "raw"))
+        .select(*FILE, F.posexplode_outer(F.concat(F.array("opening"), F.regexp_extract_all(rest, pattern, F.lit(0)))).alias("i", "raw"))
     )
     # Row 0 is the file's leading trivia, possibly empty, and has no token.
     sig = F.when(F.col("i") == 0, F.lit("")).otherwise(F.regexp_extract("raw", f"^(?:{lexicon.token})", 0))
-    return cut.withColumn("sig", sig).withColumn("trivia", F.expr("substring(raw, length(sig) + 1)"))
+    newlines = F.length("raw") - F.length(F.replace("raw", F.lit("\n"), F.lit("")))
+    return cut.withColumn("sig", sig).withColumns(
+        {
+            "trivia": F.expr("substring(raw, length(sig) + 1)"),
+            "line": (F.lit(1) + F.coalesce(F.sum(newlines).over(before()), F.lit(0))).cast("int"),
+            "start": (F.lit(1) + F.coalesce(F.sum(F.length("raw")).over(before()), F.lit(0))).cast("int"),
+        }
+    )
 
 
 def _scan(sources: DataFrame, scanner: Callable) -> DataFrame:
     # Plain TypeScript has type arguments where the others have elements.
     more = [~F.endswith(F.lower("file_path"), F.lit(".ts"))] if scanner is SCRIPT else []
-    cut = by_file(sources).select(*FILE, scanned(F.col("content"), scanner, *more).alias("found")).select(*FILE, F.posexplode("found").alias("i", "t"))
-    return cut.select(*FILE, "i", F.concat("t.sig", "t.trivia").alias("raw"), "t.sig", "t.trivia")
+    # Scanned before it is placed: Spark forgets the placement behind Python, and would place every token again.
+    found = by_file(sources.select(*FILE, scanned(F.col("content"), scanner, *more).alias("found")), "found")
+    return found.select(*FILE, F.posexplode_outer("found").alias("i", "t")).select(*FILE, "i", "t.*")
 
 
 def tokens(sources: DataFrame, lexicon: Lexicon | Callable) -> DataFrame:
@@ -103,20 +113,12 @@ def tokens(sources: DataFrame, lexicon: Lexicon | Callable) -> DataFrame:
     Columns: i (order), sig (the token), trivia (what follows it), gap (the trivia before
     it), line (1-based), start and stop (1-based character offsets, stop exclusive).
 
-    Content is placed by file before it is cut, so the compact text is what travels and
+    Texts, or the tokens of a text in one row, are placed by file before they become rows, so
     every window below runs without another exchange.
     """
     split = _cut(sources, lexicon) if isinstance(lexicon, Lexicon) else _scan(sources, lexicon)
-    newlines = F.length("raw") - F.length(F.regexp_replace("raw", "\n", ""))
-    return split.select(
-        *FILE,
-        "i",
-        "sig",
-        "trivia",
-        F.coalesce(F.lag("trivia").over(in_order()), F.lit("")).alias("gap"),
-        (F.lit(1) + F.coalesce(F.sum(newlines).over(before()), F.lit(0))).cast("int").alias("line"),
-        (F.lit(1) + F.coalesce(F.sum(F.length("raw")).over(before()), F.lit(0))).cast("int").alias("start"),
-    ).withColumn("stop", F.col("start") + F.length("sig"))
+    gap = F.coalesce(F.lag("trivia").over(in_order()), F.lit(""))
+    return split.select(*FILE, "i", "sig", "trivia", gap.alias("gap"), "line", "start").withColumn("stop", F.col("start") + F.length("sig"))
 
 
 def previous(column: str, n: int = 1) -> Column:
@@ -171,9 +173,9 @@ def statements(rows: DataFrame, gathered: dict[str, Column], ends: Column | None
 def with_text(statements: DataFrame, sources: DataFrame) -> DataFrame:
     """Join statements back to their file's content as ``text`` (start … end).
 
-    Both sides are placed by file already; the exchange of the content is the one used by
-    ``tokens``.
+    Both sides are placed by file already. Spark takes the statements for as many rows as there are files, and the
+    contents for what their compressed file holds, so neither may be broadcast by its estimate.
     """
-    return statements.join(by_file(sources), FILE).withColumn(
+    return statements.join(uncounted(by_file(sources)), FILE).withColumn(
         "text", F.expr("substring(content, start, end - start)")
     ).drop("content")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from codeloom import fixture as fx
 from codeloom.operators import changes
+from codeloom.parse import elixir, ruby, rust, script
 from codeloom.plans import views
 from codeloom.schema import SYMBOL
 
@@ -74,3 +75,12 @@ def test_prompt_context_matches_the_files_once(spark, exploded):
     found = views.prompt_context(files, imports, prompts)
     assert "WindowGroupLimit" not in plan(found)
     assert [r.file_path for r in found.collect()] == ["/p/f7.ts"]
+
+
+@pytest.mark.parametrize("extract, name", [(script.extract, "a.ts"), (rust.extract, "a.rs"), (ruby.extract, "a.rb"), (elixir.extract, "a.ex")])
+def test_texts_are_scanned_once_and_tokens_stay_where_they_are(spark, extract, name):
+    sources = spark.createDataFrame([("p", f"/p/{name}", "")], "project string, file_path string, content string")
+    found = plan(extract(sources))
+    assert found.count("regexp_extract_all" if extract is elixir.extract else "ArrowEvalPython") == 1
+    # Texts and contents are placed, nothing else moves.
+    assert "ENSURE_REQUIREMENTS" not in found and "Broadcast" not in found
