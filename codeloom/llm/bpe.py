@@ -136,8 +136,11 @@ class Encoder:
         self._of_piece = Recent(REMEMBERED)
 
     def _pieces(self, text: str) -> bytes:
+        return self._joined(self.pieces.findall(text))
+
+    def _joined(self, pieces: list[str]) -> bytes:
         known, found = self._of_piece, []
-        for piece in self.pieces.findall(text):
+        for piece in pieces:
             ids = known[piece]
             if ids is None:
                 ids = array("i", self.machine.encode(piece.encode())).tobytes()
@@ -150,7 +153,11 @@ class Encoder:
         """Ids of a chunk and the space before it; none where white space at its edge would be extended by a space."""
         ids = self._of_chunk[chunk]
         if ids is None and not _EDGE.search(chunk):
-            ids = self._pieces(" " + chunk)
+            pieces = self.pieces.findall(" " + chunk)
+            if len(pieces) == 1 and len(chunk) < 64:  # remembered as a chunk, so not as a piece too
+                ids = array("i", self.machine.encode(pieces[0].encode())).tobytes()
+            else:
+                ids = self._joined(pieces)
             if len(chunk) < 64:
                 self._of_chunk.keep(chunk, ids)
         return ids

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -96,11 +97,19 @@ def one_model(make: Callable, *args):
     return _model[1]
 
 
+def _give_back() -> None:
+    """Give back memory that Arrow and the C library keep for later: an idle worker's counts as the executor's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # other C libraries have none
+    if trim:
+        trim(0)
+
+
 def _let_go(module: str) -> None:
-    """Forget a model of another operator than the task's, and give back memory that Arrow keeps for later batches."""
+    """Forget a model of another operator than the task's."""
     if _model and _model[0][0].__module__ != module:
         _model.clear()
-    pa.default_memory_pool().release_unused()
+        _give_back()
 
 
 def arrow_map(df: DataFrame, task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
@@ -110,6 +119,7 @@ def arrow_map(df: DataFrame, task: Callable[[Iterator[pa.RecordBatch]], Iterator
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _let_go(module)
         yield from task(batches)
+        _give_back()
 
     return df.mapInArrow(run, schema)
 
