@@ -1,5 +1,7 @@
 """Joins with sides that Spark takes for smaller than they are: none is broadcast uncounted."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,6 +10,7 @@ from codeloom.operators import changes
 from codeloom.parse import elixir, ruby, rust, script
 from codeloom.plans import views
 from codeloom.schema import SYMBOL
+from codeloom.session import TASK_ROWS
 
 SF = "/root/testdata/sf0.001"
 
@@ -84,3 +87,19 @@ def test_texts_are_scanned_once_and_tokens_stay_where_they_are(spark, extract, n
     assert found.count("regexp_extract_all" if extract is elixir.extract else "ArrowEvalPython") == 1
     # Texts and contents are placed, nothing else moves.
     assert "ENSURE_REQUIREMENTS" not in found and "Broadcast" not in found
+
+
+def test_a_task_that_removes_edges_gets_a_bounded_number_of_rows(spark, exploded):
+    """Parts follow the rows, not the session's number of shuffle partitions."""
+    files = exploded.withColumn("project", F.expr("'p' || substr(file_path, 5, 1)"))
+    edges = files.selectExpr("project", "file_path as source_path", "'/p/f' || left(content_hash, 1) as target_path")
+    gone = files.filter("file_path < '/p/f2'")
+    left = changes.remove_edges(edges, gone, 40 * TASK_ROWS)
+    exchanges = re.findall(r"Exchange hashpartitioning\(.*, (\d+)\)", plan(left))
+    assert exchanges == ["40"] * 4
+    assert sorted(left.collect()) == sorted(changes.remove_edges(edges, gone).collect())
+
+
+def test_duplicate_edges_are_not_grouped_before_they_are_placed(spark):
+    found = plan(fx.imports(spark, SF))
+    assert "Aggregate" in found and "Aggregate" not in found.split("Exchange", 1)[1]
