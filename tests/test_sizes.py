@@ -103,3 +103,12 @@ def test_a_task_that_removes_edges_gets_a_bounded_number_of_rows(spark, exploded
 def test_duplicate_edges_are_not_grouped_before_they_are_placed(spark):
     found = plan(fx.imports(spark, SF))
     assert "Aggregate" in found and "Aggregate" not in found.split("Exchange", 1)[1]
+
+
+@pytest.mark.parametrize("change", [changes.remove_files, changes.upsert_files])
+def test_a_task_that_removes_or_replaces_files_gets_a_bounded_number_of_rows(change, exploded):
+    files = exploded.withColumn("project", F.expr("'p' || substr(file_path, 5, 1)"))
+    new = files.filter("file_path < '/p/f2'")
+    left = change(files, new, 40 * TASK_ROWS)
+    assert re.findall(r"Exchange hashpartitioning\(.*, (\d+)\)", plan(left)) == ["40"] * 2
+    assert sorted(left.collect()) == sorted(change(files, new).collect())
