@@ -63,7 +63,7 @@ def project_stats(spark, sf):
     " from edges group by all",
 )
 def fan_in(spark, sf):
-    return stats.fan_in(fx.imports(spark, sf))
+    return stats.fan_in(fx.imports(spark, sf), fx.edge_rows(spark, sf))
 
 
 _REPORT = W("symbols") + """, r as (select project, file_path, count(*) n_symbols,

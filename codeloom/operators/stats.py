@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions import symbols as S
+from codeloom.session import placed
 
 
 def file_count(files: DataFrame, project: str) -> DataFrame:
@@ -48,13 +49,15 @@ def project_stats(files: DataFrame, imports: DataFrame) -> DataFrame:
     )
 
 
-def fan_in(imports: DataFrame) -> DataFrame:
+def fan_in(imports: DataFrame, rows: int | None = None) -> DataFrame:
     """Edge rows per target, plus how many different files those rows come from.
 
     The two-level grouping turns a hot target into one row per importer per task before
-    anything is shuffled on the target alone.
+    anything is shuffled on the target alone. ``rows``, if known, is the number of edges; they are
+    then placed by importer and target, so that no task groups more than its share.
     """
-    per_pair = imports.groupBy("project", "target_path", "source_path").agg(F.count("*").alias("n"))
+    pair = ["project", "target_path", "source_path"]
+    per_pair = placed(imports.select(pair), rows, *pair).groupBy(*pair).agg(F.count("*").alias("n"))
     return per_pair.groupBy("project", "target_path").agg(
         F.sum("n").alias("fan_in"), F.count("*").alias("distinct_importers")
     )

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codeloom import fixture as fx
-from codeloom.operators import changes
+from codeloom.operators import changes, stats
 from codeloom.parse import elixir, ruby, rust, script
 from codeloom.plans import views
 from codeloom.schema import SYMBOL
@@ -112,3 +112,10 @@ def test_a_task_that_removes_or_replaces_files_gets_a_bounded_number_of_rows(cha
     left = change(files, new, 40 * TASK_ROWS)
     assert re.findall(r"Exchange hashpartitioning\(.*, (\d+)\)", plan(left)) == ["40"] * 2
     assert sorted(left.collect()) == sorted(change(files, new).collect())
+
+
+def test_a_task_that_counts_importers_gets_a_bounded_number_of_rows(spark):
+    edges = fx.imports(spark, SF)
+    found = stats.fan_in(edges, 40 * TASK_ROWS)
+    assert re.search(r"Exchange hashpartitioning\(project#\d+, target_path#\d+, source_path#\d+, 40\)", plan(found))
+    assert sorted(found.collect()) == sorted(stats.fan_in(edges).collect())
