@@ -188,8 +188,9 @@ class Change(View):
         ends = gone.withColumnRenamed("file_path", "target_path")
         inbound = spread_join(self.imports(), ends, ["project", "target_path"], F.col("source_path"), rows, "left_semi")
         edges = self._parts("code_import", gone, inbound.select("project", "source_path"))
-        self._replace("code_file", touched, changes.remove_files(self._read("code_file", touched), gone))
-        self._replace("code_import", edges, changes.remove_edges(self._read("code_import", edges), gone))
+        left, kept = changes.remove_file(self._read("code_file", touched), self._read("code_import", edges), gone)
+        self._replace("code_file", touched, left)
+        self._replace("code_import", edges, kept)
         self._index(touched, gone, None)
 
     def save_status(self, projects: DataFrame, status: DataFrame) -> None:

@@ -5,6 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from codeloom import fixture as fx
 from codeloom.operators import changes, stats
 from codeloom.parse import elixir, ruby, rust, script
@@ -119,3 +120,23 @@ def test_a_task_that_counts_importers_gets_a_bounded_number_of_rows(spark):
     found = stats.fan_in(edges, 40 * TASK_ROWS)
     assert re.search(r"Exchange hashpartitioning\(project#\d+, target_path#\d+, source_path#\d+, 40\)", plan(found))
     assert sorted(found.collect()) == sorted(stats.fan_in(edges).collect())
+
+
+def test_remove_file_takes_the_edges_at_either_end_along(spark):
+    files = spark.createDataFrame([("p", "a"), ("p", "b"), ("q", "a")], "project string, file_path string")
+    pairs = [("p", "a", "b"), ("p", "b", "a"), ("p", "b", "c"), ("q", "b", "a"), ("p", "b", None)]
+    edges = spark.createDataFrame([(*e, "./x") for e in pairs], "project string, source_path string, target_path string, specifier string")
+    gone = spark.createDataFrame([("p", "a"), ("p", "a"), ("p", "none")], "project string, file_path string")
+    left, kept = changes.remove_file(files, edges, gone, 10)
+    assert sorted(map(tuple, left.collect())) == [("p", "b"), ("q", "a")]
+    assert sorted((r.project, r.source_path, r.target_path or "") for r in kept.collect()) == [("p", "b", ""), ("p", "b", "c"), ("q", "b", "a")]
+
+
+def test_the_remove_file_query_deletes_edges_of_removed_files(spark):
+    left = queries()["remove_file"](spark, SF)
+    files, edges = left.filter("kind = 'file'"), left.filter("kind = 'import'")
+    assert edges.count() == queries()["remove_edges"](spark, SF).count() < fx.imports(spark, SF).count()
+    gone = fx.files(spark, SF).join(files, ["project", "file_path"], "left_anti").select("project", "file_path")
+    assert gone.count() > 0
+    for end in ("file_path", "target_path"):
+        assert edges.join(gone.toDF("project", end), ["project", end]).count() == 0
