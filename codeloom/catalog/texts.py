@@ -155,7 +155,7 @@ def prompt_context(spark, sf):
         F.expr("conv_id * 1000 + turn").alias("prompt_id"), F.expr("'/w/p' || (conv_id % 30)").alias("project"),
         F.expr(_ASKED).alias("prompt"),
     )
-    return views.prompt_context(fx.files(spark, sf), fx.stored_imports(spark, sf), prompts)
+    return views.prompt_context(fx.files(spark, sf), fx.imports(spark, sf), prompts)
 
 
 @catalog.add(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import symbols as S
 from codeloom.operators.stats import degree
-from codeloom.session import durable_counted, spread_join
+from codeloom.session import durable_counted, may_hold, spread_join
 
 _EMPTY_LIST = "array<struct<path:string,symbols:array<string>>>"
 
@@ -71,6 +71,12 @@ def edges_of(imports: DataFrame, keys: tuple[DataFrame, int], near: str) -> Data
     return spread_join(imports, ends, ["project", near], F.col(far), keys[1])
 
 
+def edges_near(imports: DataFrame, keys: tuple[DataFrame, int]) -> DataFrame:
+    """The edges with an end among ``distinct_keys``, and few others: what lists of these files can be made of, without the rest."""
+    test = may_hold(keys[0], ["project", "file_path"], keys[1])
+    return imports.filter(test(F.col("project"), F.col("source_path")) | test(F.col("project"), F.col("target_path")))
+
+
 def detail_of(files: DataFrame, imports: DataFrame, keys: tuple[DataFrame, int]) -> DataFrame:
     """``file_detail`` of the ``distinct_keys``, reading only their edges."""
     chosen = spread_join(files, keys[0], ["project", "file_path"], F.col("file_path"), keys[1])

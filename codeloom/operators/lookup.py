@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import symbols as S
 from codeloom.schema import SUFFIX_LIMIT
-from codeloom.session import durable_counted, spread_join
+from codeloom.session import BROADCAST_ROWS, durable_counted, may_hold, spread_join
 
 # Longest literal tail of a suffix used as an equi-join key.
 _TAIL = 24
@@ -70,6 +70,10 @@ def suffix_matches(files: DataFrame, suffixes: DataFrame, limit: int = SUFFIX_LI
         grams = F.array_distinct(F.transform(starts, lambda i: F.col("file_path").substr(i, F.lit(_GRAM))))
         keys = F.concat(keys, F.transform(grams, lambda g: F.struct(F.lit(-1).alias("tail_len"), g.alias("tail"))))
     paths = files.select("project", "file_path", F.inline(keys))
+    if n > BROADCAST_ROWS:
+        # Hardly any end of a path is a suffix: the others are neither counted nor moved.
+        key = ["project", "tail_len", "tail"]
+        paths = paths.filter(may_hold(keyed, key, n)(*map(F.col, key)))
     hits = spread_join(paths, keyed, ["project", "tail_len", "tail"], F.col("file_path"), n).filter(
         F.expr("file_path LIKE concat('%', suffix)")
     )

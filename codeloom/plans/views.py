@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from codeloom.functions import symbols as S
 from codeloom.functions.paths import absolute_path, relative_path
 from codeloom.functions.text import capped_list, file_mentions
-from codeloom.operators.detail import detail_of, distinct_keys, edges_of, outline_of
+from codeloom.operators.detail import detail_of, distinct_keys, edges_near, edges_of, outline_of
 from codeloom.operators.lookup import suffix_matches
 from codeloom.operators.stats import degree
 from codeloom.schema import COMPACT_LIST_CAP, HIGH_FAN_IN, TOOL_LIST_CAP
@@ -50,7 +50,9 @@ def prompt_context(files: DataFrame, imports: DataFrame, prompts: DataFrame) ->
     )
     # Stored: the files are matched once, for the details and for the prompts.
     matched = durable(suffix_matches(files, mentions).drop("rank"))
-    text = _prompt_texts(detail_of(files, imports, distinct_keys(matched)))
+    keys = distinct_keys(matched)
+    # Of the edges only those near the files are stored, to be read from both ends.
+    text = _prompt_texts(detail_of(files, durable(edges_near(imports, keys)), keys))
     return (
         mentions.join(matched, ["project", "suffix"])
         .select("prompt_id", "project", "file_path")

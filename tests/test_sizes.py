@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
 from codeloom import fixture as fx
-from codeloom.operators import changes, stats
+from codeloom.operators import changes, detail, stats
 from codeloom.parse import elixir, ruby, rust, script
 from codeloom.plans import views
 from codeloom.schema import SYMBOL
-from codeloom.session import TASK_ROWS
+from codeloom.session import TASK_ROWS, may_hold
 
 SF = "/root/testdata/sf0.001"
 
@@ -140,3 +140,27 @@ def test_the_remove_file_query_deletes_edges_of_removed_files(spark):
     assert gone.count() > 0
     for end in ("file_path", "target_path"):
         assert edges.join(gone.toDF("project", end), ["project", end]).count() == 0
+
+
+def test_prompt_context_moves_no_edges_of_other_files(spark):
+    """What it stores of the edges are those near the files asked about."""
+    files = fx.files(spark, SF)
+    some = files.select("project", "file_path").orderBy("project", "file_path").limit(20)
+    imports = fx.imports(spark, SF)
+    near = detail.edges_near(imports, detail.distinct_keys(some))
+    # The test is below the shuffle that makes the edges.
+    assert plan(near).index("Exchange hashpartitioning(p#") < plan(near).index("getbit")
+    kept = imports.join(some.toDF("project", "source_path"), ["project", "source_path"], "left_semi").unionByName(
+        imports.join(some.toDF("project", "target_path"), ["project", "target_path"], "left_semi")
+    )
+    assert kept.count() > 0 and kept.exceptAll(near.unionByName(near)).count() == 0
+    assert near.count() < imports.count() / 10
+
+
+def test_may_hold_rejects_no_key_that_is_there(spark):
+    rows = spark.range(20_000).selectExpr("if(id % 100 = 7, null, 'p' || id % 3) as project", "'f' || id as file_path")
+    small = rows.filter("file_path like '%77'")
+    found = rows.filter(may_hold(small, ["project", "file_path"], small.count())(F.col("project"), F.col("file_path")))
+    assert small.exceptAll(found).count() == 0 and found.count() < 1_000
+    nothing = rows.filter(may_hold(rows.limit(0), ["file_path"], 0)(F.col("file_path")))
+    assert nothing.count() == 0
