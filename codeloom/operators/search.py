@@ -7,13 +7,15 @@ inverted index (``postings``) answers repeated queries by reading only the query
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions.text import analyze
-from codeloom.schema import DEFAULT_SEARCH_LIMIT
+from codeloom.schema import DEFAULT_SEARCH_LIMIT, POSTINGS
 from codeloom.session import durable
 
 
@@ -111,6 +113,147 @@ def postings(corpus: DataFrame, text: str, keys: list[str]) -> DataFrame:
     return each.groupBy("token", *keys, "dl").agg(F.count("*").alias("tf")).select("token", *keys, "tf", "dl")
 
 
+# How many texts, and bytes unless one batch has more, a task holds as it makes posting lists.
+LIST_TEXTS = 16_384
+LIST_BYTES = 1 << 25
+
+
+def _cutter() -> Callable[[pa.Array], tuple]:
+    """``analyze`` of texts in ASCII, all of a batch at once: the number of tokens of each text, and all tokens in a row."""
+
+    def cut(texts: pa.Array) -> tuple:
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+        if len(texts) == 0 or ends[0] == ends[-1]:
+            return np.zeros(len(texts), np.int64), pa.array([], pa.string())
+        signs, ends = np.frombuffer(texts.buffers()[2], np.uint8)[ends[0] : ends[-1]], ends - ends[0]
+        # Blanks 0, letters 1, digits 2, any other sign 3; a run of letters or digits is one token.
+        kinds, lower = np.full(256, 3, np.uint8), np.arange(256, dtype=np.uint8)
+        kinds[list(b" \t\n\x0b\x0c\r")] = 0
+        kinds[65:91] = kinds[97:123] = 1
+        kinds[48:58] = 2
+        lower[65:91] += 32
+        kind = kinds[signs]
+        begins = kind == 3
+        begins[1:] |= kind[1:] != kind[:-1]
+        begins[ends[:-1][ends[:-1] < len(signs)]] = True
+        kept = kind != 0
+        begins &= kept
+        starts = np.cumsum(kept, dtype=np.int32)[begins] - 1
+        held = lower[signs[kept]]
+        words = pa.StringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, len(held)).astype(np.int32)), pa.py_buffer(held))
+        upto = np.append(0, np.cumsum(begins))
+        return upto[ends[1:]] - upto[ends[:-1]], words
+
+    return cut
+
+
+def _in_ascii(text: Column) -> Column:
+    return F.length(text) == F.octet_length(text)
+
+
+def token_count(text: Column) -> Column:
+    """The number of tokens that ``analyze`` finds; 0 for no text."""
+    cut = _cutter()
+
+    def count(texts: pa.Array) -> pa.Array:
+        import pyarrow as pa
+
+        return pa.array(cut(texts)[0], pa.int64())
+
+    counted = F.arrow_udf(count, "bigint")(F.when(_in_ascii(text), text))
+    return F.coalesce(F.when(_in_ascii(text), counted).otherwise(F.size(analyze(text)).cast("bigint")), F.lit(0).cast("bigint"))
+
+
+def posting_lists(texts: DataFrame, text: str) -> DataFrame:
+    """Posting lists (token, block, gaps, tfs) of texts (block, place, ``text``): ``postings`` of numbered texts, many to a row.
+
+    Tokens are counted where the texts are, so no posting is moved or grouped by itself. A token may have several lists of one
+    block. Places rise within a list.
+    """
+    cut = _cutter()
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        def lists(held):
+            plain, tokens, block, place = (pa.concat_arrays([b.column(k) for b in held]) for k in ("text", "tokens", "block", "place"))
+            tokens = pc.split_pattern(tokens.cast(pa.string()), "\n")
+            n, lengths = len(tokens), pc.fill_null(pc.list_value_length(tokens), 0).to_numpy()
+            plain_lengths, words = cut(plain)
+            words = pa.concat_arrays([words, tokens.flatten()]).dictionary_encode()
+            block, place = block.dictionary_encode(), place.to_numpy()
+            blocks = block.indices.to_numpy()
+            order = np.lexsort((place, blocks))
+            rank = np.empty(n, np.int64)
+            rank[order] = np.arange(n)
+            # One number per token of a text; equal ones are counted.
+            key = words.indices.to_numpy().astype(np.int64) * n + np.concatenate([np.repeat(rank, plain_lengths), np.repeat(rank, lengths)])
+            key.sort()
+            first = np.flatnonzero(np.diff(key, prepend=-1))
+            tfs, key = np.diff(first, append=len(key)), key[first]
+            token, at = key // n, order[key % n]
+            blocks, place = blocks[at], place[at]
+            begins = (np.diff(token, prepend=-1) != 0) | (np.diff(blocks, prepend=-1) != 0)
+            starts = np.flatnonzero(begins)
+            ends = np.append(starts, len(key)).astype(np.int32)
+            gaps = np.where(begins, place, np.diff(place, prepend=0))
+            columns = [words.dictionary.take(pa.array(token[starts])), block.dictionary.take(pa.array(blocks[starts]))]
+            columns += [pa.ListArray.from_arrays(ends, pa.array(v, pa.int64())) for v in (gaps, tfs)]
+            return pa.RecordBatch.from_arrays(columns, ["token", "block", "gaps", "tfs"])
+
+        held, rows, size = [], 0, 0
+        for batch in batches:
+            held, rows, size = [*held, batch], rows + len(batch), size + batch.nbytes
+            if rows >= LIST_TEXTS or size >= LIST_BYTES:
+                yield lists(held)
+                held, rows, size = [], 0, 0
+        if rows:
+            yield lists(held)
+
+    # Few texts hold other signs than ASCII; those are cut by Spark. No token holds a line's end, and as a list of lists
+    # Spark would measure all that a batch holds anew with each row.
+    found = F.col(text)
+    other = F.when(~_in_ascii(found), F.nullif(F.array_join(analyze(found), "\n"), F.lit("")))
+    return texts.select("block", "place", F.when(_in_ascii(found), found).alias("text"), other.alias("tokens")).mapInArrow(task, POSTINGS)
+
+
+def listed(lists: DataFrame) -> DataFrame:
+    """The postings (token, block, place, tf) of posting lists."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            lengths = pc.list_value_length(batch.column("gaps")).to_numpy()
+            gaps, rows = batch.column("gaps").flatten().to_numpy(), pa.array(np.repeat(np.arange(len(batch)), lengths))
+            # Sums run over all lists of the batch; what was summed before a list is taken off again.
+            before = np.append(0, np.cumsum(gaps))
+            place = before[1:] - np.repeat(before[np.cumsum(lengths) - lengths], lengths)
+            columns = [batch.column(k).take(rows) for k in ("token", "block")] + [pa.array(place, pa.int64()), batch.column("tfs").flatten()]
+            yield pa.RecordBatch.from_arrays(columns, ["token", "block", "place", "tf"])
+
+    return lists.mapInArrow(task, "token string, block string, place bigint, tf bigint")
+
+
+def as_lists(postings: DataFrame) -> DataFrame:
+    """Posting lists of postings (token, block, place, tf), a list for each ``LIST_TEXTS`` places of a block."""
+    held = postings.groupBy("token", "block", F.floor(F.col("place") / LIST_TEXTS).alias("_range")).agg(
+        F.array_sort(F.collect_list(F.struct("place", "tf"))).alias("_items")
+    )
+    before = F.concat(F.array(F.lit(0).cast("bigint")), F.col("_items.place"))
+    gaps = F.transform("_items", lambda x, i: x["place"] - F.get(before, i))
+    return held.select("token", "block", gaps.alias("gaps"), F.col("_items.tf").alias("tfs"))
+
+
 def search_postings(
     index: DataFrame,
     corpus_size: DataFrame,

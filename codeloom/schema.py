@@ -52,14 +52,12 @@ SNAPSHOTS = T.StructType(
     ]
 )
 
-# Search index: one row per file and its text's length, one per token of a text, one per text that is gone.
-# ``seq`` names the change that a text came with.
-DOCS = T.StructType([T.StructField(n, T.StringType()) for n in ("project", "file_path", "seq")] + [T.StructField("dl", T.LongType())])
+# Search index: one row per text with its length and its place, one per token and block of texts. A block is a stored
+# file of texts; ``gaps`` are the places of a list's texts, each less the one before it, ``tfs`` the token's numbers in them.
+DOCS = T.StructType([T.StructField(n, T.StringType()) for n in ("project", "file_path", "block")] + [T.StructField(n, T.LongType()) for n in ("place", "dl")])
 POSTINGS = T.StructType(
-    [T.StructField(n, T.StringType()) for n in ("token", "project", "file_path", "seq")]
-    + [T.StructField(n, T.LongType()) for n in ("tf", "dl")]
+    [T.StructField(n, T.StringType()) for n in ("token", "block")] + [T.StructField(n, T.ArrayType(T.LongType())) for n in ("gaps", "tfs")]
 )
-GONE = T.StructType([T.StructField(n, T.StringType()) for n in ("project", "file_path", "seq")])
 
 # ---- Fixed values: these must equal the established tool's for equal results. ----
 

@@ -11,15 +11,17 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.functions.text import analyze, epoch_ms
+from codeloom.functions.text import epoch_ms
 from codeloom.operators import changes, search
-from codeloom.schema import DOCS, FILES, GONE, IMPORTS, POSTINGS, SNAPSHOTS
-from codeloom.session import durable, durable_counted, spread_join, uncounted
+from codeloom.schema import DOCS, FILES, IMPORTS, POSTINGS, SNAPSHOTS
+from codeloom.session import BROADCAST_ROWS, durable, durable_counted, may_hold, spread_join, uncounted
 from codeloom.sources.versions import Versions
 
+_FILE = ["project", "file_path"]
+_TEXT = ["block", "place"]
 # Rows lie in parts by project and by a bucket of this path; postings in parts by token.
 _PATHS = {"code_file": "file_path", "code_import": "source_path", "code_status": "path", "code_doc": "file_path"}
-_SCHEMAS = {"code_file": FILES, "code_import": IMPORTS, "code_status": SNAPSHOTS, "code_doc": DOCS, "code_token": POSTINGS, "code_gone": GONE}
+_SCHEMAS = {"code_file": FILES, "code_import": IMPORTS, "code_status": SNAPSHOTS, "code_doc": DOCS, "code_token": POSTINGS}
 TOKEN_PARTS = 16
 # Segments of postings that are kept before a change merges them.
 SEGMENTS = 16
@@ -73,23 +75,29 @@ class View:
         for name in ("code_file", "code_import", "code_status"):
             self._read(name).createOrReplaceTempView(name)
 
-    def _live(self, postings: DataFrame) -> DataFrame:
-        """Postings of texts that are still there."""
-        gone, rows = durable_counted(self._read("code_gone"))
-        return spread_join(postings, gone, ["project", "file_path", "seq"], F.col("token"), rows, "left_anti") if rows else postings
+    def _live(self, postings: DataFrame, rows: int) -> DataFrame:
+        """The ``rows`` postings with their texts, those of texts that are still there: (token, project, file_path, tf, dl)."""
+        docs = self._read("code_doc")
+        if rows <= BROADCAST_ROWS:
+            found = docs.join(F.broadcast(postings), _TEXT)
+        else:
+            found = docs.filter(may_hold(postings, _TEXT, rows)(*_TEXT)).join(uncounted(postings), _TEXT)
+        # A text that came twice in one change counts as one.
+        return found.groupBy("token", *_FILE, "dl").agg(F.sum("tf").alias("tf"))
 
     def search(self, queries: list[str], limit: int, project: str | None = None, by_project: bool = False) -> DataFrame:
         """(query, project, file_path, score, rank) of the texts that hold all terms of a query, best first, for all queries in one pass.
 
-        ``query`` is the place in the list. Only the postings of the queries' terms are read. Statistics cover all
+        ``query`` is the place in the list. Only the lists of the queries' terms are read, and the names of texts. Statistics cover all
         projects; ``project`` filters what is returned. ``by_project`` counts ``limit`` by project.
         """
         asked = search.terms_of(self.spark, queries)
         tokens = sorted({t for terms in asked for t in terms})
-        postings = self._read("code_token", {_token_part(t) for t in tokens}).filter(F.col("token").isin(tokens))
+        lists = self._read("code_token", {_token_part(t) for t in tokens}).filter(F.col("token").isin(tokens))
+        postings = self._live(*durable_counted(search.listed(lists)))
         held = [self._manifest["stats"][p] for p in self._manifest["tables"].get("code_doc", {})]
         n, length = sum(h[0] for h in held), sum(h[1] for h in held)
-        return search.rank_postings(durable(self._live(postings)), asked, n, length / n if n else 0.0, limit, project, by_project)
+        return search.rank_postings(durable(postings), asked, n, length / n if n else 0.0, limit, project, by_project)
 
 
 class Change(View):
@@ -102,8 +110,6 @@ class Change(View):
     def _part(self, name: str) -> Column:
         if name == "code_token":
             part = F.concat(F.lit("t"), F.conv(F.left(F.md5(F.col("token").cast("binary")), F.lit(6)), 16, 10).cast("int") % TOKEN_PARTS)
-        elif name == "code_gone":
-            part = F.lit("all")
         else:
             project = F.left(F.md5(F.col("project").cast("binary")), F.lit(16))
             part = F.concat(project, F.lit("-"), F.pmod(F.xxhash64(_PATHS[name]), F.lit(self.buckets)))
@@ -117,15 +123,25 @@ class Change(View):
             found = rows if found is None else found.unionByName(rows)
         return {r.part for r in found.distinct().toLocalIterator()}
 
-    def _write(self, name: str, rows: DataFrame) -> tuple[str, list[str]]:
-        """Rows in a new folder; its name and the parts it has."""
+    def _write(self, name: str, rows: DataFrame, spread: bool = True) -> tuple[str, list[str]]:
+        """Rows in a new folder; its name and the parts it has. Rows that lie by parts already need no ``spread``."""
         commit = uuid.uuid4().hex
         rows = rows.select(*_SCHEMAS[name].fieldNames(), self._part(name))
+        order = ["token"] if name == "code_token" else ["project", _PATHS[name]] if spread else []
         # Rebalancing sizes the output files, splitting a part that holds much of the data.
-        order = ["token"] if name == "code_token" else ["project", "file_path"] if name == "code_gone" else ["project", _PATHS[name]]
-        rows.hint("rebalance", "part").sortWithinPartitions("part", *order).write.partitionBy("part").parquet(f"{self._versions.root}/data/{name}/{commit}")
+        rows = rows.hint("rebalance", "part") if spread else rows
+        rows.sortWithinPartitions("part", *order).write.partitionBy("part").parquet(f"{self._versions.root}/data/{name}/{commit}")
         return commit, [n[5:] for n in self._versions.names(f"data/{name}/{commit}") if n.startswith("part=")]
 
+    def _texts(self, commit: str, parts: list[str]) -> DataFrame:
+        """The files of one folder with the block and the place that number them: the stored file and the row in it."""
+        folders = [f"{self._versions.root}/data/code_file/{commit}/part={part}" for part in parts]
+        rows = self.spark.read.schema(FILES).parquet(*folders).select("*", F.col("_metadata.file_path").alias("_at"), F.col("_metadata.row_index").alias("place"))
+        part, name = F.substring_index(F.substring_index("_at", "/part=", -1), "/", 1), F.substring_index("_at", "/", -1)
+        # Names are part-<task>-<job>.c<number>.…, so this is a file of the folder, and the folder's name makes it one of all.
+        task, number = F.substring_index(F.substring_index(name, "-", 2), "-", -1), F.substring_index(F.substring_index(name, ".", 2), ".", -1)
+        return rows.withColumn("block", F.concat_ws("/", F.lit(commit), part, task, number)).drop("_at")
+
     def _replace(self, name: str, touched: set[str], rows: DataFrame) -> None:
         if touched:
             commit, parts = self._write(name, rows)
@@ -134,26 +150,39 @@ class Change(View):
                 held.pop(part, None)
             held.update({part: [commit] for part in parts})
 
-    def _append(self, name: str, rows: DataFrame) -> None:
-        commit, parts = self._write(name, rows)
+    def _append(self, name: str, commit: str, parts: list[str]) -> None:
         for part in parts:
             self._manifest["tables"].setdefault(name, {}).setdefault(part, []).append(commit)
 
-    def _index(self, touched: set[str], left: DataFrame, texts: DataFrame | None) -> None:
-        """Bring the search index up to date: files of ``left`` (project, file_path) lose their postings, ``texts`` get new ones."""
+    def _swap(self, name: str, touched: set[str], hit: Column | None, left: DataFrame | None, *added: tuple[str, list[str]]) -> None:
+        """The touched parts without their rows that ``hit`` holds for, but with ``left`` and the folders ``added``.
+
+        The other rows are copied as they lie; they are neither joined nor moved. Without ``hit`` there are no rows yet.
+        """
+        held = self._manifest["tables"].setdefault(name, {})
+        kept = []
+        if hit is not None and any(part in held for part in touched):
+            kept = [self._write(name, self._read(name, touched).filter(~hit), spread=False), self._write(name, left)]
+        for part in touched:
+            held.pop(part, None)
+        for folder in (*kept, *added):
+            self._append(name, *folder)
+
+    def _index(self, touched: set[str], left: DataFrame, hit: Column | None, texts: DataFrame | None) -> None:
+        """Bring the search index up to date: files of ``left`` (project, file_path) lose their texts, ``texts`` (block, place, file columns) come.
+
+        Postings of texts that are gone stay until segments are merged; they meet no text.
+        """
         if not touched:
             return
-        key = ["project", "file_path"]
-        docs = self._read("code_doc", touched)
-        kept = docs.join(uncounted(left), key, "left_anti")
-        self._append("code_gone", docs.join(uncounted(left), key, "left_semi").select(*GONE.fieldNames()))
+        kept = None if hit is None else self._read("code_doc", touched).filter(hit).join(uncounted(left), _FILE, "left_anti")
+        added = []
         if texts is not None:
-            seq = F.lit(uuid.uuid4().hex)
-            self._append("code_token", search.postings(texts.select(*key, "searchable"), "searchable", key).withColumn("seq", seq))
+            self._append("code_token", *self._write("code_token", search.posting_lists(texts, "searchable"), spread=False))
             # A text without tokens has a length of 0 and no postings.
-            fresh = texts.select(*key, F.coalesce(F.size(analyze(F.col("searchable"))), F.lit(0)).cast("bigint").alias("dl"), seq.alias("seq"))
-            kept = kept.unionByName(fresh.select(*DOCS.fieldNames()))
-        self._replace("code_doc", touched, kept)
+            lengths = texts.select(*_FILE, *_TEXT, search.token_count(F.col("searchable")).alias("dl"))
+            added.append(self._write("code_doc", lengths, spread=False))
+        self._swap("code_doc", touched, hit, kept, *added)
         counted = self._read("code_doc", touched).groupBy(self._part("code_doc")).agg(F.count("*").alias("n"), F.sum("dl").alias("dl"))
         self._manifest["stats"].update({r["part"]: [r["n"], r["dl"]] for r in counted.toLocalIterator()})  # one row per part touched
         if any(len(commits) > SEGMENTS for commits in self._manifest["tables"].get("code_token", {}).values()):
@@ -162,15 +191,23 @@ class Change(View):
     def merge(self) -> None:
         """Postings as one segment without those of texts that are gone."""
         parts = set(self._manifest["tables"].get("code_token", {}))
-        self._replace("code_token", parts, self._live(self._read("code_token")))
-        self._manifest["tables"].pop("code_gone", None)
+        live = search.listed(self._read("code_token")).join(uncounted(self._read("code_doc").select(*_TEXT)), _TEXT, "left_semi")
+        self._replace("code_token", parts, search.as_lists(live))
 
     def upsert_files(self, new: DataFrame) -> None:
-        new = durable(new)
-        keys = new.select("project", "file_path").distinct()
-        touched = self._parts("code_file", keys)
-        self._replace("code_file", touched, changes.upsert_files(self._read("code_file", touched), new.select(*FILES.fieldNames())))
-        self._index(touched, keys, new)
+        """Written once: what else is made of the new files is read from where they are stored."""
+        commit, parts = self._write("code_file", new)
+        touched = set(parts)
+        if not touched:
+            return
+        texts = self._texts(commit, parts)
+        keys = texts.select(*_FILE)
+        hit = left = None
+        if touched & set(self._manifest["tables"].get("code_file", {})):
+            hit = may_hold(keys, _FILE, keys.count())(*_FILE)
+            left = changes.remove_files(self._read("code_file", touched).filter(hit), keys)
+        self._swap("code_file", touched, hit, left, (commit, parts))
+        self._index(touched, keys, hit, texts)
 
     def replace_imports(self, sources: DataFrame, edges: DataFrame) -> None:
         """Replace the edges of the re-read ``sources`` (project, source_path)."""
@@ -188,10 +225,11 @@ class Change(View):
         ends = gone.withColumnRenamed("file_path", "target_path")
         inbound = spread_join(self.imports(), ends, ["project", "target_path"], F.col("source_path"), rows, "left_semi")
         edges = self._parts("code_import", gone, inbound.select("project", "source_path"))
-        left, kept = changes.remove_file(self._read("code_file", touched), self._read("code_import", edges), gone)
-        self._replace("code_file", touched, left)
+        hit = may_hold(gone, _FILE, rows)(*_FILE)
+        left, kept = changes.remove_file(self._read("code_file", touched).filter(hit), self._read("code_import", edges), gone)
+        self._swap("code_file", touched, hit, left)
         self._replace("code_import", edges, kept)
-        self._index(touched, gone, None)
+        self._index(touched, gone, hit, None)
 
     def save_status(self, projects: DataFrame, status: DataFrame) -> None:
         """Replace the snapshot of each project; an empty status clears it."""

@@ -3,7 +3,9 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
+from codeloom.functions.text import analyze
 from codeloom.operators import search
 from codeloom.schema import FILES, IMPORTS
 from codeloom.sources import store as store_module
@@ -117,3 +119,54 @@ def test_empty_store(spark, place):
     place.remove(spark.createDataFrame([("/p", "/p/a")], "project string, file_path string"))
     place.replace_imports(sources(spark, []), edges(spark, []))
     assert held(place.view()) == ([], [])
+
+
+def test_posting_lists_hold_what_postings_do(spark):
+    every = "".join(map(chr, range(1, 128)))
+    rows = ["a b a", "", None, "   ", "Foo_bar1 2", every, every + "x", "Äpfel 12 äpfel\u2003x", "\u0130x", "ab" * 50, "x" + "1" * 9, "a\x0bb\x85c", "no\nmore ", "red"]
+    texts = spark.createDataFrame([(f"b{k % 3}", k, t) for k, t in enumerate(rows * 40)], "block string, place bigint, text string").repartition(3)
+    lists = search.posting_lists(texts, "text")
+    wanted = sorted((r.token, r.block, r.place, r.tf) for r in search.postings(texts, "text", ["block", "place"]).collect())
+    assert sorted(map(tuple, search.listed(lists).collect())) == wanted
+    merged = search.as_lists(search.listed(lists))
+    assert sorted(map(tuple, search.listed(merged).collect())) == wanted and merged.count() < len(wanted) / 10
+    counted = texts.select(search.token_count(F.col("text")).alias("n"), F.coalesce(F.size(analyze(F.col("text"))), F.lit(0)).alias("m"))
+    assert counted.filter("n <> m or n is null").count() == 0
+
+
+def test_new_files_are_written_once_and_no_posting_is_moved(spark, place, monkeypatch):
+    """The files are stored where they stay, not beside it, and the index is made from there without a shuffle."""
+    written, plans = [], []
+    write, stored = store_module.Change._write, store_module.durable
+
+    def watched(self, name, rows, spread=True):
+        plans.append((name, rows._jdf.queryExecution().executedPlan().toString()))
+        return write(self, name, rows, spread)
+
+    monkeypatch.setattr(store_module.Change, "_write", watched)
+    monkeypatch.setattr(store_module, "durable", lambda df: written.append(df.columns) or stored(df))
+    place.upsert_files(files(spark, {"a": "red", "b": "blue", "c": "red blue"}))
+    plans.clear()
+    place.upsert_files(files(spark, {"a": "green", "d": "blue"}))
+    assert not [c for c in written if "searchable" in c]
+    assert [p for n, p in plans if n == "code_token"] and "Exchange" not in "".join(p for n, p in plans if n == "code_token")
+    # Of the files that stay, those that no new file's key can be are copied as they lie.
+    assert [n for n, p in plans].count("code_file") == 3 and "Exchange" not in [p for n, p in plans if n == "code_file"][1]
+    assert held(place.view())[0] == ["blue", "blue", "green", "red blue"]
+    assert [(r["query"], r.file_path) for r in place.view().search(["red", "green"], 5).orderBy("query").collect()] == [(0, "/p/c"), (1, "/p/a")]
+
+
+def test_many_hits_are_found_as_few_are(spark, place, monkeypatch):
+    place.upsert_files(files(spark, {f"f{k}": f"red {'blue ' * (k % 4)}" for k in range(40)}))
+    place.remove(spark.createDataFrame([("/p", f"/p/f{k}") for k in range(0, 40, 3)], "project string, file_path string"))
+    few = place.view().search(["red", "red blue"], 50).orderBy("query", "rank").collect()
+    monkeypatch.setattr(store_module, "BROADCAST_ROWS", 0)
+    assert place.view().search(["red", "red blue"], 50).orderBy("query", "rank").collect() == few and len(few) > 30
+
+
+def test_a_file_that_comes_twice_counts_once_in_the_ranking(spark, place):
+    row = ("/p", "/p/a", "ruby", [], "", "red blue", "h", 0)
+    place.upsert_files(spark.createDataFrame([row, row, ("/p", "/p/b", "ruby", [], "", "red", "h", 0), ("/p", "/p/c", "ruby", [], "", "red", "h", 0)], FILES))
+    assert place.view().files().count() == 4
+    assert [r.file_path for r in place.view().search(["red blue"], 5).collect()] == ["/p/a"]
+    assert len(place.view().search(["red"], 5).collect()) == 3
